@@ -1,10 +1,13 @@
 """The queries of this subpackage, each over a whole table, and their SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docrecon.llm.bpe_lexicon import bpe_encode
 from docrecon.llm.decontamination import decontaminate
 from docrecon.llm.license_scan import license_scan
 from docrecon.llm.quality_rules import quality_rules
+from docrecon.llm.token_records import token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +26,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op6_quality_rules, op7_decontamination)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {f.__name__: f for f in (op3_license_scan, op6_quality_rules, op7_decontamination, op9_bpe, op10_token_records)}
+
 ORACLE_SQL: dict[str, str] = {}
