@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docrecon.llm.storage import map_batches
 from docrecon.llm.tokens import SIMPLE, WORD_PIECES, Pieces, special_tokens
 
 HEADER = struct.Struct("<8sIII")
@@ -177,7 +178,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max
                     yield rows()
         yield rows()
 
-    counted = docs.select(F.col(text).alias("_text")).filter("_text is not null").mapInArrow(run, "word string, n long")
+    counted = map_batches(docs.select(F.col(text).alias("_text")).filter("_text is not null"), run, "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words)
     return [r["word"] for r in top.collect()]
 
@@ -251,5 +252,5 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     chosen = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
     kind = chosen.schema["_id"].dataType.simpleString()
     more = ", ids array<int>, decoded string" if with_ids else ""
-    return chosen.mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return map_batches(chosen, run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 

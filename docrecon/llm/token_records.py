@@ -19,6 +19,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docrecon.llm.storage import keep, map_batches, new_folder
+from docrecon.llm.tokens import byte_encoder, pack
+
 MASK = 0xA282EAD8
 FRAME, HEAD = struct.Struct("<QI"), struct.Struct("<?qB")
 SCAN = "file string, place long, doc_id long, n_tokens long, ids_crc32 long"
@@ -84,8 +87,6 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     Null texts are as empty ones: they hold the end id alone. Rows of one id stand together, ordered by text; null ids
     come first. An empty table writes an empty index and no record file. Other columns are not read.
     """
-    from docrecon.llm.tokens import byte_encoder, pack
-
     def run(batches):
         import uuid
 
@@ -120,7 +121,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     chosen = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
     ordered = chosen.repartitionByRange(shards(docs), "_id").sortWithinPartitions("_id", "_text")
-    ordered.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    map_batches(ordered, run, INDEX).write.parquet(f"{folder}/index")
     return read_index(docs.sparkSession, folder)
 
 
@@ -158,7 +159,7 @@ def scan_records(spark: SparkSession, folder: str) -> DataFrame:
                 yield batch_of(rows, SCAN)
 
     files = read_index(spark, folder).filter("place = 0").select("file")
-    return files.repartition(shards(files), "file").mapInArrow(run, SCAN)
+    return map_batches(files.repartition(shards(files), "file"), run, SCAN)
 
 
 def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFr
                 rows.append((row["file"], row["offset"], doc_id, ids.tolist()))
             yield batch_of(rows, FETCH)
 
-    return wanted.select("file", "offset", "length").mapInArrow(run, FETCH)
+    return map_batches(wanted.select("file", "offset", "length"), run, FETCH)
 
 
 def record_starts(records: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -194,8 +195,6 @@ def record_starts(records: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_column: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the records of all documents, reads the files back, and returns per document: id, start, n_tokens, ids_crc32."""
-    from docrecon.llm.storage import keep, new_folder
-
     folder = folder or new_folder(docs.sparkSession, "records")
     write_records(docs, folder, tokenizer_path, end_id, id_column, text)
     return record_starts(keep(scan_records(docs.sparkSession, folder), "scanned"), id_column)
