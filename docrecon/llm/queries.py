@@ -7,6 +7,7 @@ from docrecon.llm.bpe_lexicon import bpe_encode
 from docrecon.llm.decontamination import decontaminate
 from docrecon.llm.language_id import identify_languages
 from docrecon.llm.license_scan import license_scan
+from docrecon.llm.main_text import main_text
 from docrecon.llm.near_duplicates import Similarity, near_duplicates
 from docrecon.llm.quality_classifier import classify_quality
 from docrecon.llm.quality_rules import quality_rules
@@ -34,6 +35,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("kept_chars", "line_chars", "cleaned")
 
@@ -54,6 +59,6 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_license_scan, op4_quality_classifier, op6_quality_rules, op7_decontamination, op8_language_id, op9_bpe, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_license_scan, op4_quality_classifier, op5_main_text, op6_quality_rules, op7_decontamination, op8_language_id, op9_bpe, op10_token_records)}
 
 ORACLE_SQL: dict[str, str] = {}
