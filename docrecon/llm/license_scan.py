@@ -43,7 +43,8 @@ def _words(text: str) -> list[str]:
     return "".join(c.lower() if c.isalnum() else " " for c in text).split()
 
 
-def _templates(templates, threshold: float, max_template_words: int) -> list[dict]:
+def template_rows(templates, threshold: float, max_template_words: int = 5000) -> list[dict]:
+    """Templates as their distinct words, their length, and how many distinct words a block needs."""
     found = [{"template": i, "label": label, "words": list(dict.fromkeys(_words(text))), "length": len(_words(text))} for i, (label, text) in enumerate(templates)]
     found = [t | {"need": ceil(round(threshold * len(t["words"]), 9))} for t in found if t["words"]]
     if (total := sum(len(t["words"]) for t in found)) > max_template_words:
@@ -66,7 +67,7 @@ def template_labels(words: DataFrame, templates=TEMPLATES, threshold: float = 0.
     one block. Repeated input rows count once. No templates give no rows.
     """
     spark = words.sparkSession
-    chosen = _templates(templates, threshold, max_template_words)
+    chosen = template_rows(templates, threshold, max_template_words)
     if not chosen:
         return spark.createDataFrame([], "_id long, _hash long, _labels array<string>, _share double")
     lexicon = sorted({w for t in chosen for w in t["words"]})

@@ -9,6 +9,7 @@ from docrecon.llm.language_id import identify_languages
 from docrecon.llm.license_scan import license_scan
 from docrecon.llm.main_text import main_text
 from docrecon.llm.near_duplicates import Similarity, near_duplicates
+from docrecon.llm.oracles import ORACLE_SQL
 from docrecon.llm.quality_classifier import classify_quality
 from docrecon.llm.quality_rules import quality_rules
 from docrecon.llm.token_records import token_records
@@ -59,6 +60,6 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_license_scan, op4_quality_classifier, op5_main_text, op6_quality_rules, op7_decontamination, op8_language_id, op9_bpe, op10_token_records)}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_license_scan, op4_quality_classifier, op5_main_text, op6_quality_rules, op7_decontamination, op8_language_id, op9_bpe, op10_token_records)}
