@@ -1,13 +1,11 @@
 """What operators write for themselves: tables in the folder that all executors share, and this package for Python workers."""
 
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docrecon.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session names it; a folder of our own only where it is unset, as in tests."""
@@ -34,12 +32,5 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow for functions of this package, which goes to the executors' Python workers first."""
-    context = df.sparkSession.sparkContext
-    if not any(name.startswith("docrecon-") for name in context._python_includes):
-        package = Path(__file__).resolve().parent.parent
-        made = Path(os.path.realpath(tempfile.mkdtemp(prefix="docrecon-"))) / f"docrecon-{uuid.uuid4().hex}.zip"
-        with zipfile.ZipFile(made, "w") as z:
-            for source in sorted(package.rglob("*.py")):
-                z.write(source, source.relative_to(package.parent))
-        context.addPyFile(str(made))
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
