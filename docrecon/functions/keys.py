@@ -110,7 +110,7 @@ def sentence_note(c: Column) -> Column:
 
 def page_numbers(c: Column) -> Column:
     """`12-13, 15` as [12, 13, 15]; null where a part is no number or range."""
-    parts = F.transform(F.split(c, ","), F.trim)
+    parts = F.transform(F.split(c, ","), lambda x: F.trim(x))
     good = F.forall(parts, lambda x: x.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$"))
     spread = F.flatten(F.transform(parts, lambda x: F.sequence(F.regexp_extract(x, r"^([0-9]+)", 1).cast("int"), F.regexp_extract(x, r"([0-9]+)$", 1).cast("int"))))
     return F.when(good, spread)

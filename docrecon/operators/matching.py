@@ -47,6 +47,6 @@ def find_in_layer(values: DataFrame, pages: DataFrame, value_id: str, value: str
     """
     v = values.select(value_id, norm_label(F.col(value)).alias("_key")).filter(F.char_length("_key") >= least).withColumn("_probe", F.substring("_key", 1, least))
     p = pages.select(page_id, norm_label(F.col(page)).alias("_page")).filter(F.char_length("_page") >= least)
-    cut = p.select(page_id, "_page", F.posexplode(F.expr(f"transform(sequence(1, char_length(_page) - {least - 1}), i -> substring(_page, i, {least}))")).alias("_i", "_probe"))
+    cut = p.select(page_id, "_page", F.posexplode(F.regexp_extract_all("_page", F.lit(f"(?=(.{{{least}}}))"), F.lit(1))).alias("_i", "_probe"))
     met = cut.join(v, "_probe").filter(F.expr("substring(_page, _i + 1, char_length(_key)) = _key"))
     return met.groupBy(value_id, page_id).agg((F.min("_i") + 1).cast("int").alias("at"))
