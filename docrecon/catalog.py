@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docrecon.plans import queries as plans
+from docrecon.plans import structure_queries  # noqa: F401  adds its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,10 +22,10 @@ def pending_files(spark: SparkSession, folder: str, seen: DataFrame | None, sett
     return now if seen is None else now.join(seen.select("signature"), "signature", "left_anti").select("path", "signature")
 
 
-def ingest_stream(spark: SparkSession, folder: str, schema, checkpoint: str, sink: Callable[[DataFrame, int], None], source: str = "parquet", max_files: int = 1000) -> None:
+def ingest_stream(spark: SparkSession, folder: str, schema, checkpoint: str, sink: Callable[[DataFrame, int], None], source: str = "parquet", max_files: int = 1000, pattern: str = "*") -> None:
     """Runs `sink` on each batch of new files until none is left. The checkpoint remembers files, so each is read once
     over any number of runs; sinks should be idempotent by batch id."""
-    stream = spark.readStream.format(source).schema(schema).option("maxFilesPerTrigger", max_files).load(folder)
+    stream = spark.readStream.format(source).schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern).load(folder)
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -5,6 +5,7 @@ from conftest import same_rows
 
 import __spark_entry__ as entry
 from docrecon.plans import queries as plans
+from docrecon.plans import structure_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
