@@ -77,7 +77,7 @@ def test_hyperdimensional_bundle_is_the_sum_of_its_runs():
 def test_quality(docs, labels, spark):
     found = classify_quality(docs, labels).collect()
     truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
-    assert np.mean([r.kept == bool(truth[r.doc_id]) for r in found if r.doc_id in truth and r.doc_id < 900000]) > 0.95
+    assert np.mean([r.kept == bool(truth[r.doc_id]) for r in found if r.doc_id in truth and r.doc_id is not None and r.doc_id < 900000]) > 0.95
     assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
     assert classify_quality(docs.limit(0), labels).count() == 0 and classify_quality(docs, labels.limit(0)).count() == docs.count()
     # a site of few documents stays near its parent, one of many follows its own
