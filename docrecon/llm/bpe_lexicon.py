@@ -8,53 +8,36 @@ the lexicon lacks is merged exactly by the vocabulary's ranks. The lexicon's siz
 
 import mmap
 import os
+import re
 import struct
 import tempfile
+from bisect import bisect_left
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm.storage import map_batches
-from docrecon.llm.tokens import SIMPLE, WORD_PIECES, Pieces, special_tokens
+from docrecon.llm.tokens import SIMPLE, WORD_PIECES, Pieces, byte_alphabet, special_tokens
 
 HEADER = struct.Struct("<8sIII")
 MAGIC = b"DAWGBPE1"
-EDGE = np.dtype([("byte", "<u1"), ("target", "<u4"), ("output", "<u4")])
-
-
-def byte_alphabet() -> dict[int, str]:
-    """Bytes as the characters in which byte-level vocabularies write them: printable ones as they are, others from U+0100 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
 class Merger:
-    """Exact merges of one word: the pair of the lowest rank first, the leftmost of equal ones."""
+    """Exact merges of one word by the vocabulary's own ranks: token ids, and the tokens as they are written."""
 
     def __init__(self, tokenizer_path: str):
-        import json
+        from tokenizers import Tokenizer
 
-        with open(tokenizer_path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.ids, self.end = model["vocab"], model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
-        self.letters = byte_alphabet()
-        self.tokens = {i: t for t, i in self.ids.items()}
+        self.library = Tokenizer.from_file(tokenizer_path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.letters = self.library.model, byte_alphabet()
+        self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
 
     def __call__(self, word: str) -> list[int]:
-        parts = [self.letters[b] for b in word.encode("utf-8")]
-        if not parts:
-            return []
-        parts[-1] += self.end
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts if p in self.ids]
+        return [t.id for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))]
 
 
 def build_lexicon(entries: dict[str, list[int]]) -> bytes:
@@ -101,7 +84,8 @@ def build_lexicon(entries: dict[str, list[int]]) -> bytes:
     starts = np.cumsum([0, *(len(ids) for _, ids in words)]).astype("<u4")
     flat = np.array([i for _, ids in words for i in ids], "<u4")
     head = HEADER.pack(MAGIC, root, len(edges_out), len(words))
-    return head + np.array(first, "<u4").tobytes() + np.array(edges_out, EDGE).tobytes() + starts.tobytes() + flat.tobytes() + finals.tobytes()
+    labels, targets, outputs = np.array(edges_out, "<u4").reshape(-1, 3).T
+    return head + np.array(first, "<u4").tobytes() + targets.tobytes() + outputs.tobytes() + starts.tobytes() + flat.tobytes() + labels.astype("u1").tobytes() + finals.tobytes()
 
 
 class Lexicon:
@@ -115,37 +99,35 @@ class Lexicon:
             raise ValueError(f"{path} is not a lexicon")
         at = HEADER.size
 
-        def view(kind, n):
+        def view(kind: str, n: int) -> memoryview:
             nonlocal at
-            found = np.frombuffer(self.data, kind, n, at)
+            found = memoryview(self.data)[at : at + n * struct.calcsize(kind)].cast(kind)
             at += found.nbytes
             return found
 
-        self.first = view("<u4", self.root + 2)
-        edges = view(EDGE, n_edges)
-        self.bytes, self.targets, self.outputs = edges["byte"], edges["target"], edges["output"]
-        self.starts = view("<u4", n_words + 1)
-        self.ids = view("<u4", int(self.starts[-1]))
-        self.finals = view("<u1", self.root + 1)
+        self.first, self.targets, self.outputs = view("I", self.root + 2), view("I", n_edges), view("I", n_edges)
+        self.starts = view("I", n_words + 1)
+        self.ids = view("I", self.starts[n_words])
+        self.bytes, self.finals = view("B", n_edges), view("B", self.root + 1)
 
     def __call__(self, word: str) -> list[int] | None:
-        state, number = self.root, 0
+        state, number, first, labels = self.root, 0, self.first, self.bytes
         for byte in word.encode("utf-8"):
-            low, high = int(self.first[state]), int(self.first[state + 1])
-            at = low + int(np.searchsorted(self.bytes[low:high], byte))
-            if at == high or self.bytes[at] != byte:
+            high = first[state + 1]
+            at = bisect_left(labels, byte, first[state], high)
+            if at == high or labels[at] != byte:
                 return None
-            number += int(self.outputs[at])
-            state = int(self.targets[at])
+            number += self.outputs[at]
+            state = self.targets[at]
         if not self.finals[state]:
             return None
-        return self.ids[int(self.starts[number]) : int(self.starts[number + 1])].tolist()
+        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
 def cutter(tokenizer_path: str):
     """text -> words as the vocabulary normalizes and cuts it, or None where the library has to do it (see tokens.py)."""
     specials = special_tokens(tokenizer_path)
-    cut, odd = regex.compile(WORD_PIECES).findall, regex.compile(f"[^{SIMPLE}]").search
+    cut, odd = re.compile(WORD_PIECES).findall, re.compile(f"[^{SIMPLE}]").search
 
     def words(text: str) -> list[str] | None:
         if odd(text) or any(s in text for s in specials):
@@ -193,18 +175,16 @@ def ship_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", max_w
     return os.path.basename(f.name)
 
 
-def encoder(tokenizer_path: str, lexicon: Lexicon | None, max_pieces: int = 300_000):
+def encoder(tokenizer_path: str, lexicon: Lexicon | None, max_pieces: int = 600_000):
     """text -> list of (ids of a word) as what `made` gives for each word; see bpe_encode."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(tokenizer_path)
-    library.no_truncation()
-    library.no_padding()
     merge, words = Merger(tokenizer_path), cutter(tokenizer_path)
-    special_ids = {i: t.content for i, t in library.get_added_tokens_decoder().items()}
+    names = {i: (f" {i}", f" {t}") for i, t in merge.tokens.items()}
 
     def written(ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), "".join(f" {i}" for i in ids), "".join(f" {merge.tokens.get(i) or special_ids[i]}" for i in ids)
+        if len(ids) == 1:
+            return 1, *names[ids[0]]
+        numbers, tokens = zip(*[names[i] for i in ids], strict=True) if ids else ((), ())
+        return len(ids), "".join(numbers), "".join(tokens)
 
     def one(word: str) -> tuple[int, str, str]:
         found = lexicon(word) if lexicon else None
@@ -215,7 +195,7 @@ def encoder(tokenizer_path: str, lexicon: Lexicon | None, max_pieces: int = 300_
     def encode(text: str | None) -> tuple[int, str, str]:
         """(number of ids, ids joined by one space, decoded text)"""
         cut = words(text or "")
-        parts = [written(library.encode(text, add_special_tokens=False).ids)] if cut is None else [*map(pieces.__getitem__, cut)]
+        parts = [written(merge.library.encode(text, add_special_tokens=False).ids)] if cut is None else [*map(pieces.__getitem__, cut)]
         if not parts:
             return 0, "", ""
         numbers, ids, tokens = zip(*parts, strict=True)

@@ -7,14 +7,20 @@ token of the vocabulary, are left to the library as a whole: there the cut could
 
 import array
 import json
+import re
 
-import regex
+# How the two vocabularies cut a text, in terms that mean the same for the characters in SIMPLE.
+BYTE_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+WORD_PIECES = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+#: Characters whose class, case and normal form no Unicode version has changed; no digits or numbers but 0-9.
+SIMPLE = "\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ſ‐-‧‰-›€™"
 
-# How the two vocabularies cut a text.
-BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: Characters whose class, case and normal form no Unicode version has changed.
-SIMPLE = "\t\n\r\x20-\x7e\xa0-\xac\xae-įĲ-ſ‐-‧‰-›€™"
+
+def byte_alphabet() -> dict[int, str]:
+    """Bytes as the characters in which byte-level vocabularies write them: printable ones as they are, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
 class Pieces(dict):
@@ -50,8 +56,12 @@ def byte_encoder(tokenizer_path: str, max_pieces: int = 300_000):
     library.no_truncation()
     library.no_padding()
     specials = special_tokens(tokenizer_path)
-    pieces = Pieces(lambda x: pack(library.encode(x, add_special_tokens=False).ids), max_pieces)
-    cut, odd, get = regex.compile(BYTE_PIECES).findall, regex.compile(f"[^{SIMPLE}]").search, pieces.__getitem__
+    model, letters = library.model, byte_alphabet()
+
+    def merged(piece: str) -> bytes:
+        return pack([t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))])
+
+    cut, odd, get = re.compile(BYTE_PIECES).findall, re.compile(f"[^{SIMPLE}]").search, Pieces(merged, max_pieces).__getitem__
 
     def encode(text: str | None) -> bytes:
         if not text:
