@@ -36,11 +36,12 @@ class Pieces(dict):
         return found
 
 
+if array.array("I", [1]).tobytes() != b"\x01\x00\x00\x00":
+    raise ImportError("this platform's integers are not 32-bit little-endian")
+
+
 def pack(ids: list[int]) -> bytes:
-    made = array.array("I", ids)
-    if made.itemsize != 4 or array.array("H", [1]).tobytes() != b"\x01\x00":
-        raise RuntimeError("this platform's integers are not 32-bit little-endian")
-    return made.tobytes()
+    return array.array("I", ids).tobytes()
 
 
 def special_tokens(tokenizer_path: str) -> list[str]:
@@ -48,7 +49,7 @@ def special_tokens(tokenizer_path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
-def byte_encoder(tokenizer_path: str, max_pieces: int = 300_000):
+def byte_encoder(tokenizer_path: str, max_pieces: int = 800_000):
     """text -> packed ids under a byte-level vocabulary; None is as the empty text."""
     from tokenizers import Tokenizer
 
