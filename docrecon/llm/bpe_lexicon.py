@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.storage import map_batches
+from docrecon.llm.storage import keep, map_batches
 from docrecon.llm.tokens import SIMPLE, WORD_PIECES, Pieces, byte_alphabet, special_tokens
 
 HEADER = struct.Struct("<8sIII")
@@ -137,8 +137,9 @@ def cutter(tokenizer_path: str):
     return words
 
 
-def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max_words: int = 50_000) -> list[str]:
-    """The max_words most frequent words of all documents, ties by word. Each task hands on its own counts of words."""
+def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max_words: int = 50_000, min_places: int = 5) -> list[str]:
+    """The most frequent words of all documents, max_words at most, of those with min_places or more. Each task hands on
+    its own counts of words; of the sums only how many words have which count and the words themselves reach the driver."""
 
     def run(batches):
         from collections import Counter
@@ -161,8 +162,16 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max
         yield rows()
 
     counted = map_batches(docs.select(F.col(text).alias("_text")).filter("_text is not null"), run, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words)
-    return [r["word"] for r in top.collect()]
+    counts = keep(counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_places), "words")
+    # the smallest count above which no more than max_words words stand; ties at the edge stay out
+    steps = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(max_words).collect()
+    held, edge = 0, None
+    for step in steps:
+        held += step["words"]
+        if held > max_words:
+            break
+        edge = step["n"]
+    return [] if edge is None else sorted(r["word"] for r in counts.filter(F.col("n") >= edge).select("word").collect())
 
 
 def ship_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", max_words: int = 50_000) -> str:

@@ -43,6 +43,13 @@ def test_bpe(docs):
     assert B.bpe_encode(docs.limit(0), WORDS).count() == 0
 
 
+def test_frequent_words(spark):
+    rows = [("a " * 9 + "b " * 8 + "c " * 8 + "d " * 4,), ("A b",), (None,)]
+    df = spark.createDataFrame(rows, "text string")
+    assert B.frequent_words(df, WORDS, max_words=3) == ["a", "b", "c"] and B.frequent_words(df, WORDS, max_words=2) == ["a", "b"]
+    assert B.frequent_words(df, WORDS, max_words=3, min_places=1) == ["a", "b", "c"] and B.frequent_words(df.limit(0), WORDS) == []
+
+
 def test_lexicon(tmp_path):
     draw = random.Random(4)
     words = {"".join(draw.choice("abcdé") for _ in range(draw.randint(1, 7))): [draw.randint(0, 9) for _ in range(draw.randint(0, 4))] for _ in range(2000)}
