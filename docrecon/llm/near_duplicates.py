@@ -1,19 +1,19 @@
 """Near-duplicates by HyperMinHash.
 
 A document's signature has one register per hash function: of the smallest hash of its shingles, the count of leading
-zeros (6 bits) and the mantissa bits that follow (10 bits). Registers stand in bands of four; documents that agree in a
-band are candidates. At a similarity of 0.8 each band agrees with probability 0.41, so 32 bands miss a pair once in
-twenty million. Of a candidate's registers the share that agrees, corrected for equal registers of different hashes,
-estimates the similarity; pairs far below the threshold go, and the others are confirmed on their full sets.
+zeros (6 bits) and the mantissa bits that follow (10 bits). Registers stand in bands of six, and documents that agree in
+a band are candidates. At a similarity of 0.8 a band agrees with probability 0.26, so 42 bands miss a pair three times in
+a million; at 0.3 a pair is a candidate three times in a hundred, which keeps what shares a passage apart. Of a
+candidate's registers the share that agrees, corrected for equal registers of different hashes, estimates the
+similarity; pairs far below the threshold go, and the others are confirmed on their full sets.
 
 One register per hash function is kept, not one hash dealt into buckets: most buckets of a short text would be empty and
 equal to every other short text's.
 
 Groups of copies. Documents with the same set are one class, found by grouping on a digest of the set, and only its
 smallest id goes on. In a bucket (the documents that agree in a band) everyone meets one centre, the member with most
-candidates, instead of everyone else. Buckets whose members are then connected are done. The others' members meet the
-next centre of each part, and so on; what is still apart after centre_rounds is compared pair by pair between parts, so
-no link between two parts is lost. Nothing is capped.
+candidates, instead of everyone else. Buckets whose members are then connected are done, which ends groups of near
+copies. In the others, members of different parts are compared, so no link between two parts is lost; nothing is capped.
 """
 
 from dataclasses import dataclass
@@ -25,21 +25,22 @@ from pyspark.sql import functions as F
 from docrecon.llm.components import connected_components
 from docrecon.llm.storage import keep, map_batches
 
-MANTISSA_BITS, ROWS = 10, 4
+MANTISSA_BITS, ROWS = 10, 6
 #: Chance that registers of different smallest hashes are equal, for sets of like size: 0.1699 / 2^mantissa bits.
 COLLISION = 0.169919487159739 / (1 << MANTISSA_BITS)
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """words: in a shingle. percent: least 100 * intersection / union. bands: of four registers each. margin: how far
-    below the threshold an estimate may lie (at 0.8 and 128 registers one deviation is 0.035). centre_rounds: see above."""
+    """words: in a shingle. percent: least 100 * intersection / union. bands: of six registers each. margin: how far
+    below the threshold an estimate may lie (at 0.8 and 252 registers one deviation is 0.025). centre_rounds: how often
+    buckets are met by a centre before their parts are compared."""
 
     words: int = 5
     percent: int = 80
-    bands: int = 32
+    bands: int = 42
     margin: float = 0.25
-    centre_rounds: int = 3
+    centre_rounds: int = 1
 
 
 class _Words(dict):
@@ -84,20 +85,32 @@ def registers(least: np.ndarray) -> np.ndarray:
     exponent = np.minimum(np.frexp(least.astype(np.float64))[1].astype(np.int64), 64)
     exponent -= (exponent > 0) & (least < np.left_shift(np.uint64(1), np.maximum(exponent - 1, 0).astype(np.uint64)))
     zeros = (64 - exponent).astype(np.uint64)
-    shifted = np.left_shift(least, np.minimum(zeros + np.uint64(1), np.uint64(63)))
+    shifted = np.left_shift(np.left_shift(least, np.minimum(zeros, np.uint64(63))), np.uint64(1))
     return ((np.minimum(zeros, np.uint64(63)) << np.uint64(MANTISSA_BITS)) | (shifted >> np.uint64(64 - MANTISSA_BITS))).astype("<u2")
 
 
+def _hash_functions(how: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(20240229)
+    factors = draw.integers(0, 1 << 63, how.bands * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, draw.integers(0, 1 << 63, how.bands * ROWS, np.uint64)
+
+
+def _band_keys(marks: np.ndarray) -> np.ndarray:
+    """Rows of ROWS registers as one 64-bit key each."""
+    made = np.zeros(len(marks), np.uint64)
+    for i in range(ROWS):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + marks[:, i].astype(np.uint64)
+    return _mix(made).view(np.int64)
+
+
 def signatures(docs: DataFrame, how: Similarity, id_column: str, text: str) -> DataFrame:
-    """Per document: _id, _class (digest of its set, null if that is empty), _size and _bands (packed registers)."""
+    """Per document: _id, _class (digest of its set, null if that is empty), _size and _bands (keys of its bands)."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        known, draw = _Words(), np.random.default_rng(20240229)
-        factors = draw.integers(0, 1 << 63, how.bands * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-        terms = draw.integers(0, 1 << 63, how.bands * ROWS, np.uint64)
+        known, (factors, terms) = _Words(), _hash_functions(how)
         for batch in batches:
             classes, sizes, least = [], [], []
             for content in batch.column("_text").to_pylist():
@@ -105,7 +118,7 @@ def signatures(docs: DataFrame, how: Similarity, id_column: str, text: str) -> D
                 sizes.append(len(hashes))
                 classes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                 least.append(_smallest(hashes, factors, terms))
-            bands = registers(np.array(least).reshape(-1)).view("<i8") if least else np.empty(0, np.int64)
+            bands = _band_keys(registers(np.array(least)).reshape(-1, ROWS)) if least else np.empty(0, np.int64)
             offsets = np.arange(0, len(bands) + 1, how.bands, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, bands)], ["_id", "_class", "_size", "_bands"])
 
@@ -120,12 +133,12 @@ def _estimate(pairs: DataFrame, marks: DataFrame, how: Similarity) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            one, other = (np.asarray(batch.column(c).flatten()).view("<u2").reshape(batch.num_rows, -1) for c in ("_one", "_other"))
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("_one", "_other"))
             share = (one == other).mean(axis=1) if batch.num_rows else np.empty(0)
             near = (share - COLLISION) / (1 - COLLISION) >= how.percent / 100 - how.margin
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
-    one, other = marks.select(F.col("_id").alias("a"), F.col("_bands").alias("_one")), marks.select(F.col("_id").alias("b"), F.col("_bands").alias("_other"))
+    one, other = marks.select(F.col("_id").alias("a"), F.col("_registers").alias("_one")), marks.select(F.col("_id").alias("b"), F.col("_registers").alias("_other"))
     return map_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "_one", "_other"), run, "a long, b long")
 
 
@@ -150,20 +163,21 @@ def _confirm(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, how: Similarity, id_column: str, text: str) -> DataFrame:
-    """Full sets of the wanted documents: _id, _size, _set."""
+    """Full sets and registers of the wanted documents: _id, _size, _set, _registers."""
 
     def run(batches):
         import pyarrow as pa
 
-        known = _Words()
+        known, (factors, terms) = _Words(), _hash_functions(how)
         for batch in batches:
-            found = [shingle_hashes(x, how.words, known).view(np.int64) for x in batch.column("_text").to_pylist()]
+            found = [shingle_hashes(x, how.words, known) for x in batch.column("_text").to_pylist()]
+            marks = [registers(_smallest(x, factors, terms)).tobytes() for x in found]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(x) for x in found], pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["_id", "_size", "_set"])
+            values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(x) for x in found], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(marks, pa.binary())], ["_id", "_size", "_set", "_registers"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return keep(map_batches(chosen.join(wanted, "_id", "left_semi"), run, "_id long, _size long, _set array<long>"), "sets")
+    return keep(map_batches(chosen.join(wanted, "_id", "left_semi"), run, "_id long, _size long, _set array<long>, _registers binary"), "sets")
 
 
 def _centres(members: DataFrame) -> DataFrame:
@@ -201,7 +215,7 @@ def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: s
             pairs = _between(left)
         pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        new = keep(_confirm(_estimate(pairs, heads, how), sets, how), "confirmed")
+        new = keep(_confirm(_estimate(pairs, sets, how), sets, how), "confirmed")
         links = new if links is None else links.unionAll(new)
         found = keep(connected_components(links), "components").withColumnRenamed("_node", "_id")
         # buckets whose members are not all connected yet
