@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 
 from docrecon.llm.bpe_lexicon import bpe_encode
 from docrecon.llm.decontamination import decontaminate
-from docrecon.llm.language_id import UNKNOWN, language_prototypes, predict_language
+from docrecon.llm.language_id import UNKNOWN, language_prototypes, predict_language, with_bound
 from docrecon.llm.near_duplicates import Similarity, near_duplicates
 from docrecon.llm.quality_classifier import combine_evidence, fit_quality, site_posteriors, with_evidence
 from docrecon.llm.storage import keep
 
-#: A text whose cosine with the nearest language is below this is in none of them.
-LEAST_COSINE = 0.05
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. It learns from the labelled ones among docs."""
@@ -30,9 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that docs name; texts without a letter or near none of them go."""
+    """Documents in one of the languages that docs name; texts without a letter or further from their nearest language
+    than its own texts of as many letter runs go."""
     languages, prototypes = language_prototypes(docs)
-    return predict_language(docs, languages, prototypes).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    found = keep(predict_language(docs, languages, prototypes, runs_column="runs"), "language")
+    return with_bound(found).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.col("bound"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

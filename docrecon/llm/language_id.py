@@ -125,15 +125,15 @@ def language_prototypes(df: DataFrame, text: str = "text", lang: str = "lang", d
     return [r["_lang"] for r in rows], np.array([[x["_value"] for x in r["_sum"]] for r in rows]).reshape(len(rows), dims)
 
 
-def predict_language(df: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text", seed: int = 7) -> DataFrame:
-    """df with lang_pred and score (cosine with its prototype, at least 0).
+def predict_language(df: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text", seed: int = 7, runs_column: str | None = None) -> DataFrame:
+    """df with lang_pred and score (cosine with its prototype, at least 0), and on demand its number of distinct letter runs.
 
     A text that is null or has no letter is `und` with score 0, and so is every text if there are no languages. Equal
-    cosines go to the language that comes first. Columns of df of these two names are replaced; repeated rows and an
+    cosines go to the language that comes first. Columns of df of these names are replaced; repeated rows and an
     empty table need no care.
     """
     dims = prototypes.shape[1] if len(languages) else 1024
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in df.columns if c not in ("lang_pred", "score", runs_column)]
 
     def run(batches):
         import pyarrow as pa
@@ -141,9 +141,10 @@ def predict_language(df: DataFrame, languages: list[str], prototypes: np.ndarray
         vectors = Vectors(dims, seed)
         units = prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True) if languages else None
         for batch in batches:
-            names, scores = [], []
+            names, scores, sizes = [], [], []
             for content in batch.column("_text_").to_pylist():
                 runs, counts = letter_runs(content)
+                sizes.append(len(runs))
                 if not len(runs) or not languages:
                     names.append(UNKNOWN)
                     scores.append(0.0)
@@ -153,13 +154,37 @@ def predict_language(df: DataFrame, languages: list[str], prototypes: np.ndarray
                 best = int(cosines.argmax())
                 names.append(languages[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+            more = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())} | ({runs_column: pa.array(sizes, pa.int32())} if runs_column else {})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more.values()], [*kept, *more])
 
     chosen = df.withColumn("_text_", F.col(text)).select(*kept, "_text_")
-    schema = df.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = df.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({runs_column: F.lit(0)} if runs_column else {})).schema
     return map_batches(chosen, run, schema)
 
 
+def with_bound(found: DataFrame, lang: str = "lang", runs: str = "runs", low: float = 0.05, part: float = 0.5, least_texts: int = 50, classes: int = 32) -> DataFrame:
+    """found, which has lang_pred, score and runs (distinct letter runs), with bound: the score under which a text is not
+    in lang_pred.
+
+    The bound is a part of the low quantile of the scores of all texts that are labelled and predicted as the language,
+    by the power of two of their runs, as texts with few different runs have lower cosines. So it stays below a
+    language's own texts, and mislabelled ones that are fewer than `low` of a size do not move it. With fewer than
+    least_texts of a language and size, those of all languages count; with fewer of these, a size takes the bound of the
+    next smaller one, or 0 without one.
+    """
+    sized = found.withColumn("_size", F.floor(F.log2(F.greatest(F.col(runs), F.lit(1)))).cast("int"))
+    own = sized.filter(F.col(lang) == F.col("lang_pred")).select(F.explode(F.array("lang_pred", F.lit(None))).alias("name"), "_size", "score")
+    lows = own.groupBy("name", "_size").agg(F.percentile_approx("score", low).alias("low"), F.count("*").alias("n")).collect()
+    known, rows = {(r["name"], r["_size"]): part * r["low"] for r in lows if r["n"] >= least_texts}, []
+    for name in {r["name"] for r in lows} - {None}:
+        bound = 0.0
+        for size in range(classes):
+            bound = known.get((name, size), known.get((None, size), bound))
+            rows.append((name, size, bound))
+    bounds = found.sparkSession.createDataFrame(rows, "lang_pred string, _size int, bound double")
+    return sized.join(F.broadcast(bounds), ["lang_pred", "_size"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).drop("_size")
+
+
 def fold_of(id_column: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; 0 for a null id, as of the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds

@@ -101,3 +101,53 @@ def test_pipeline(spark, small):
     last = P.STAGES[-1][1](spark, docs, small)
     assert last.count() == docs.count()
     assert 0 < P.run(spark, small).count() < docs.count()
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+]
+
+
+def foreign_texts():
+    draw = random.Random(3)
+    texts = [" ".join(x.split()[k:] + x.split()[:k]) for x in FOREIGN for k in range(4)]
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"):
+        texts += [" ".join("".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(60)) for _ in range(10)]
+    return texts
+
+
+def test_language_stage(spark):
+    """Planted texts of other languages go, labelled or not, clean ones stay, and the rows are those of a plain version."""
+    import corpus_pipeline as P
+    from docrecon.llm import language_id as L
+
+    clean = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").filter("doc_id < 5000").collect()]
+    planted = [(10_000_000 + i, t, "en" if i % 14 == 0 else None) for i, t in enumerate(foreign_texts())]
+    rows = clean + planted + [(20_000_000, None, "en"), (20_000_001, " 12 ", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = sorted(r.doc_id for r in P.language(spark, docs, "").collect())
+
+    vectors = L.Vectors(1024, 7)
+    own = {i: vectors.bundle(*L.letter_runs(t)) for i, t, _ in rows}
+    names = sorted({lang for _, _, lang in rows if lang})
+    units = np.array([sum(own[i] for i, _, lang in rows if lang == n) for n in names])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    scored, groups = {}, {}
+    for i, t, lang in rows:
+        if not own[i].any():
+            continue
+        cosines = units @ own[i] / np.linalg.norm(own[i])
+        size = len(L.letter_runs(t)[0]).bit_length() - 1
+        scored[i] = names[int(cosines.argmax())], size, max(0, cosines.max())
+        if lang == scored[i][0]:
+            for name in (lang, None):
+                groups.setdefault((name, size), []).append(scored[i][2])
+    low = {k: 0.5 * sorted(v)[-(-len(v) * 5 // 100) - 1] for k, v in groups.items() if len(v) >= 50}
+    bound = lambda name, size: next((low[n, s] for s in range(size, -1, -1) for n in (name, None) if (n, s) in low), 0.0)
+    assert kept == sorted(i for i, (name, size, score) in scored.items() if score >= bound(name, size))
+
+    stay = set(kept)
+    assert not stay & {i for i, _, _ in planted}
+    assert sum(i not in stay for i, t, _ in clean) <= 0.002 * len(clean)
