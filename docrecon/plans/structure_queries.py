@@ -13,7 +13,7 @@ _LABELS = rf"{S.SQL_LINES}, b as (select source, doc_id * 1000 + pos // 3 as uni
 
 
 def _label_lines(spark, sf):
-    return S.doc_lines(spark, sf).select("source", (F.col("doc_id") * 1000 + F.expr("pos div 3")).alias("unit"), "pos", F.regexp_extract("line", r"^\s*(\S+)", 1).alias("label"))
+    return S.doc_lines(spark, sf).select("source", F.struct("doc_id", F.expr("pos div 3").alias("place")).alias("unit"), "pos", F.regexp_extract("line", r"^\s*(\S+)", 1).alias("label"))
 
 
 @query(

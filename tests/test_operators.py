@@ -97,3 +97,14 @@ def test_ingest(spark, tmp_path):
     assert rows(ingest.drift_counts(spark.read.parquet(done), "ts", "id"), "n") == [(2,)] * 10
     pending = ingest.pending_files(spark, source, None, "v1", "*.parquet")
     assert pending.count() == 2 and ingest.pending_files(spark, source, pending, "v1", "*.parquet").count() == 0 and ingest.pending_files(spark, source, pending, "v2", "*.parquet").count() == 2
+
+
+def test_learn_labels_of_long_documents(spark, tmp_path):
+    """Units past the 1000th of a document are not those of the next one."""
+    from docrecon.plans import structure_queries
+
+    long = "\n".join(["head", "x", "x"] * 1000 + ["late", "y", "y"] * 60)
+    short = "\n".join(["late", "y", "y"] * 60)
+    spark.createDataFrame([(1, "s", long), (2, "s", short)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = structure_queries.q_learn_labels(spark, str(tmp_path))
+    assert rows(found, "label", "units", "place") == [("head", 1000, 1), ("late", 120, 3), ("x", 1000, 2), ("y", 120, 4)]
