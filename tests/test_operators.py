@@ -108,3 +108,19 @@ def test_learn_labels_of_long_documents(spark, tmp_path):
     spark.createDataFrame([(1, "s", long), (2, "s", short)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = structure_queries.q_learn_labels(spark, str(tmp_path))
     assert rows(found, "label", "units", "place") == [("head", 1000, 1), ("late", 120, 3), ("x", 1000, 2), ("y", 120, 4)]
+
+
+def test_rows_of_one_large_key(spark):
+    """Rows of any size are folded without holding a key: its plan gathers no list, and the rows are those of a loop."""
+    n = 60_000
+    spans = spark.range(n).selectExpr("id % 3 div 2 as page", "cast(id * 7919 % 60000 as double) / 8 as y", "id as x").unionAll(spark.createDataFrame([(9, None, 1), (9, None, 2), (9, 1.0, 3)], "page long, y double, x long"))
+    grouped = layout.group_rows(spans, ["page"], "y", "x")
+    assert "collect_list" not in grouped._jdf.queryExecution().toString()
+    want, at = [], {}
+    for r in sorted(spans.collect(), key=lambda r: (r.page, r.y is not None, r.y or 0.0, r.x)):
+        first, number = at.get(r.page, (None, 0))
+        if first is None or abs(r.y - first) > 3.0:
+            first, number = r.y, number + 1
+        at[r.page] = first, number
+        want.append((r.x, r.page, number))
+    assert rows(grouped, "x", "page", "row") == sorted(want)
