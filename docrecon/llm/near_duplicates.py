@@ -1,19 +1,24 @@
 """Near-duplicates by HyperMinHash.
 
-A document's signature has one register per hash function: of the smallest hash of its shingles, the count of leading
-zeros (6 bits) and the mantissa bits that follow (10 bits). Registers stand in bands of six, and documents that agree in
-a band are candidates. At a similarity of 0.8 a band agrees with probability 0.26, so 42 bands miss a pair three times in
-a million; at 0.3 a pair is a candidate three times in a hundred, which keeps what shares a passage apart. Of a
-candidate's registers the share that agrees, corrected for equal registers of different hashes, estimates the
-similarity; pairs far below the threshold go, and the others are confirmed on their full sets.
-
-One register per hash function is kept, not one hash dealt into buckets: most buckets of a short text would be empty and
-equal to every other short text's.
+A document's signature has one register per bucket: of the smallest hash that its shingles have there, the count of
+leading zeros (6 bits) and the mantissa bits that follow (10 bits). A shingle falls into one bucket; a bucket that stays
+empty is filled in a further turn, in which all shingles are dealt anew, so that it agrees with another document's just
+as often as the sets do, however short the text. Registers stand in bands of six, and documents that agree in a band are
+candidates. At a similarity of 0.8 a band agrees with probability 0.26, so 42 bands miss a pair three times in a million;
+at 0.3 a pair is a candidate three times in a hundred, which keeps what shares a passage apart. Of a candidate's
+registers the share that agrees, corrected for equal registers of different hashes, estimates the similarity; pairs far
+below the threshold go, and the others are confirmed on their full sets.
 
 Groups of copies. Documents with the same set are one class, found by grouping on a digest of the set, and only its
-smallest id goes on. In a bucket (the documents that agree in a band) everyone meets one centre, the member with most
-candidates, instead of everyone else. Buckets whose members are then connected are done, which ends groups of near
-copies. In the others, members of different parts are compared, so no link between two parts is lost; nothing is capped.
+smallest id goes on. In a group (the documents that agree in a band) everyone meets one centre, the member with most
+candidates, instead of everyone else. Groups whose members are then connected are done, which ends most groups of near
+copies. In the others no link between two parts may be lost:
+
+* a group of few members compares those of different parts;
+* a group of many members is met by prefix. In the order "shingles that the centre lacks, then those that it has", two
+  similar sets share one of their first n - 0.8 n + 1 shingles, and the place of the first shared one bounds what they
+  can share. So members that have only the centre's body in common are never paired. Those that share a prefix shingle
+  meet the one of them with most left to share; what is then still apart, and within the bound, is compared.
 """
 
 from dataclasses import dataclass
@@ -33,14 +38,18 @@ COLLISION = 0.169919487159739 / (1 << MANTISSA_BITS)
 @dataclass(frozen=True)
 class Similarity:
     """words: in a shingle. percent: least 100 * intersection / union. bands: of six registers each. margin: how far
-    below the threshold an estimate may lie (at 0.8 and 252 registers one deviation is 0.025). centre_rounds: how often
-    buckets are met by a centre before their parts are compared."""
+    below the threshold an estimate may lie (at 0.8 and 252 registers one deviation is 0.025). few: members of a group
+    that are compared directly once the centre has met them; larger groups are met by prefix, with the same links."""
 
     words: int = 5
     percent: int = 80
     bands: int = 42
     margin: float = 0.25
-    centre_rounds: int = 1
+    few: int = 16
+
+    @property
+    def buckets(self) -> int:
+        return self.bands * ROWS
 
 
 class _Words(dict):
@@ -73,11 +82,25 @@ def shingle_hashes(text: str | None, words: int, known: dict) -> np.ndarray:
     return np.unique(_mix(made))
 
 
-def _smallest(hashes: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 256):
-        np.minimum(least, (hashes[i : i + 256, None] * factors + terms).min(axis=0), out=least)
-    return least
+def bucket_minima(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The smallest hash in each bucket, 32 bits each, in the first turn that deals the bucket a hash; of sorted distinct
+    hashes. Turns are made as many at a time as will mostly fill all buckets."""
+    least, empty = np.full(buckets, 0xFFFFFFFF, np.uint64), np.ones(buckets, bool)
+    at_once = -(-8 * buckets // max(1, len(hashes)))
+    for first in range(0, 1 << 16, at_once):
+        if not len(hashes) or not empty.any():
+            break
+        turns = np.arange(first, min(first + at_once, 1 << 16), dtype=np.uint64)
+        dealt = _mix(hashes[None, :] + ((turns + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+        # bucket (16 bits), turn (16), hash (32): in order, a bucket's first is its smallest of its first turn
+        low = np.uint64(0xFFFFFFFF)
+        keys = np.sort((((dealt >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(48)) | turns[:, None] << np.uint64(32) | dealt & low).ravel())
+        bucket = (keys >> np.uint64(48)).astype(np.int64)
+        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+        heads = heads[empty[bucket[heads]]]
+        least[bucket[heads]] = keys[heads] & low
+        empty[bucket[heads]] = False
+    return least << np.uint64(32)
 
 
 def registers(least: np.ndarray) -> np.ndarray:
@@ -89,12 +112,6 @@ def registers(least: np.ndarray) -> np.ndarray:
     return ((np.minimum(zeros, np.uint64(63)) << np.uint64(MANTISSA_BITS)) | (shifted >> np.uint64(64 - MANTISSA_BITS))).astype("<u2")
 
 
-def _hash_functions(how: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240229)
-    factors = draw.integers(0, 1 << 63, how.bands * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    return factors, draw.integers(0, 1 << 63, how.bands * ROWS, np.uint64)
-
-
 def _band_keys(marks: np.ndarray) -> np.ndarray:
     """Rows of ROWS registers as one 64-bit key each."""
     made = np.zeros(len(marks), np.uint64)
@@ -110,14 +127,14 @@ def signatures(docs: DataFrame, how: Similarity, id_column: str, text: str) -> D
         import pyarrow as pa
         import xxhash
 
-        known, (factors, terms) = _Words(), _hash_functions(how)
+        known = _Words()
         for batch in batches:
             classes, sizes, least = [], [], []
             for content in batch.column("_text").to_pylist():
                 hashes = shingle_hashes(content, how.words, known)
                 sizes.append(len(hashes))
                 classes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-                least.append(_smallest(hashes, factors, terms))
+                least.append(bucket_minima(hashes, how.buckets))
             bands = _band_keys(registers(np.array(least)).reshape(-1, ROWS)) if least else np.empty(0, np.int64)
             offsets = np.arange(0, len(bands) + 1, how.bands, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, bands)], ["_id", "_class", "_size", "_bands"])
@@ -168,10 +185,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, how: Similarity, id_column: str, t
     def run(batches):
         import pyarrow as pa
 
-        known, (factors, terms) = _Words(), _hash_functions(how)
+        known = _Words()
         for batch in batches:
             found = [shingle_hashes(x, how.words, known) for x in batch.column("_text").to_pylist()]
-            marks = [registers(_smallest(x, factors, terms)).tobytes() for x in found]
+            marks = [registers(bucket_minima(x, how.buckets)).tobytes() for x in found]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(x) for x in found], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(marks, pa.binary())], ["_id", "_size", "_set", "_registers"])
@@ -180,18 +197,89 @@ def _sets(docs: DataFrame, wanted: DataFrame, how: Similarity, id_column: str, t
     return keep(map_batches(chosen.join(wanted, "_id", "left_semi"), run, "_id long, _size long, _set array<long>, _registers binary"), "sets")
 
 
+def _pairs(one: str, other: str) -> list:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
 def _centres(members: DataFrame) -> DataFrame:
-    """Pairs a < b of a bucket's heaviest member with its members of other parts, each pair once."""
-    top = members.groupBy("_band", "_key").agg(F.max(F.struct("_weight", "_id", "_component")).alias("_top"))
-    met = members.join(top, ["_band", "_key"]).filter("_component <> _top._component")
-    return met.select(F.least("_id", "_top._id").alias("a"), F.greatest("_id", "_top._id").alias("b")).distinct()
+    """Pairs a < b of a group's heaviest member with its other members, each pair once."""
+    top = members.groupBy("_band", "_key").agg(F.max(F.struct("_weight", "_id")).alias("_top"))
+    return members.join(top, ["_band", "_key"]).filter("_id <> _top._id").select(*_pairs("_id", "_top._id")).distinct()
+
+
+def _apart(members: DataFrame, key: list[str]) -> DataFrame:
+    """Groups whose members are in several parts, with their number of members and heaviest one."""
+    found = members.groupBy(*key).agg(F.min("_component").alias("_x"), F.max("_component").alias("_y"), F.count("*").alias("_m"), F.max(F.struct("_weight", "_id")).alias("_top"))
+    return found.filter("_x < _y").drop("_x", "_y")
+
 
+def _between(members: DataFrame, key: list[str], condition: str = "true") -> DataFrame:
+    """Pairs a < b of a group's members of different parts, each pair once."""
+    names = [c for c in members.columns if c not in key]
+    one, other = (members.select(*key, *(F.col(c).alias(f"{side}{c}") for c in names)) for side in "lr")
+    met = one.join(other, key).filter("l_id < r_id and l_component <> r_component").filter(condition)
+    return met.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
 
-def _between(members: DataFrame) -> DataFrame:
-    """Pairs a < b of a bucket's members of different parts, each pair once."""
-    one, other = (members.select("_band", "_key", F.col("_id").alias(i), F.col("_component").alias(c)) for i, c in (("a", "_a"), ("b", "_b")))
-    met = one.join(other, ["_band", "_key"]).filter("_a < _b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _prefixes(members: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """members(_centre, _id) -> _centre, _id, _n (size of its set), _token and _reach: each shingle of the member's
+    prefix, and how many shingles stand from there on, in the order of what the centre lacks before what it has."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own, central, tokens, kept = batch.column("_set"), batch.column("_body"), [], []
+            for i in range(batch.num_rows):
+                x = np.asarray(own[i].values)
+                within = np.isin(x, np.asarray(central[i].values), assume_unique=True)
+                kept.append(len(x) - (how.percent * len(x) + 99) // 100 + 1)
+                tokens.append(np.concatenate([x[~within], x[within]])[: kept[-1]])
+            offsets = np.cumsum([0, *kept], dtype=np.int32)
+            values = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_centre"), batch.column("_id"), batch.column("_size"), pa.ListArray.from_arrays(offsets, values)], ["_centre", "_id", "_n", "_tokens"])
+
+    body = sets.select(F.col("_id").alias("_centre"), F.col("_set").alias("_body"))
+    with_sets = members.join(sets.select("_id", "_size", "_set"), "_id").join(body, "_centre").select("_centre", "_id", "_size", "_set", "_body")
+    found = map_batches(with_sets, run, "_centre long, _id long, _n long, _tokens array<long>")
+    return found.select("_centre", "_id", "_n", F.posexplode("_tokens").alias("_place", "_token")).withColumn("_reach", F.col("_n") - F.col("_place")).drop("_place")
+
+
+def _within_reach(prefixes: DataFrame, how: Similarity) -> DataFrame:
+    """Members of (_centre, _token) groups in several parts, without those that can reach no other member: what two sets
+    share from their first shared shingle on must be (0.8 / 1.8) of their sizes' sum, and a partner has no fewer
+    shingles than the group's smallest set and than 0.8 of one's own."""
+    key = ["_centre", "_token"]
+    for _ in range(2):  # who is left may be in one part
+        parts = prefixes.groupBy(*key).agg(F.min("_component").alias("_x"), F.max("_component").alias("_y"), F.min("_n").alias("_least")).filter("_x < _y")
+        least = F.greatest(F.col("_least"), F.ceil(F.col("_n") * how.percent / 100))
+        prefixes = prefixes.join(parts, key).filter((100 + how.percent) * F.col("_reach") >= how.percent * (F.col("_n") + least)).drop("_x", "_y", "_least")
+    return prefixes
+
+
+class _Links:
+    """Links that are confirmed so far, and the parts that they make."""
+
+    def __init__(self, sets: DataFrame, how: Similarity):
+        self.sets, self.how, self.tried, self.links, self.parts = sets, how, None, None, None
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs = keep(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
+        new = keep(_confirm(_estimate(pairs, self.sets, self.how), self.sets, self.how), "confirmed")
+        # a part is one node from now on, so later rounds are small
+        if self.parts is None:
+            self.parts = keep(connected_components(new), "components").withColumnRenamed("_node", "_id")
+            return
+        ends = self.named(self.named(new.select(F.col("a").alias("_id"), "b")).select(F.col("_component").alias("a"), F.col("b").alias("_id"))).select("a", F.col("_component").alias("b"))
+        merged = connected_components(ends).select(F.col("_node").alias("_component"), F.col("_component").alias("_to"))
+        ids = self.parts.unionAll(merged.select(F.col("_component").alias("_id"), "_component"))
+        ids = ids.groupBy("_id").agg(F.min("_component").alias("_component"))
+        self.parts = keep(ids.join(merged, "_component", "left").select("_id", F.coalesce("_to", "_component").alias("_component")), "components")
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows with _id, with the part it is in."""
+        return rows.join(self.parts, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
 
 
 def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: str) -> DataFrame:
@@ -201,30 +289,28 @@ def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: s
     own = marks.select("_id", "_class", "_size")
     # the smallest id of a class carries its bands on; the others only its name
     heads = marks.join(classes.select(F.col("_least").alias("_id")).distinct(), "_id", "left_semi").filter("_class is not null").select("_id", "_bands")
-    spread = heads.select("_id", F.posexplode("_bands").alias("_band", "_key"))
-    buckets = spread.groupBy("_band", "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    members = keep(spread.join(buckets, ["_band", "_key"]), "members")
+    spread, key = heads.select("_id", F.posexplode("_bands").alias("_band", "_key")), ["_band", "_key"]
+    groups = spread.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    members = keep(spread.join(groups, key), "members")
     weights = members.groupBy("_id").agg(F.sum("_n").alias("_weight"))
     members = keep(members.drop("_n").join(weights, "_id"), "members")
     sets = _sets(docs, members.select("_id").distinct(), how, id_column, text)
-    left, links, tried, found = members.withColumn("_component", F.col("_id")), None, None, None
-    for step in range(how.centre_rounds + 1):
-        if step < how.centre_rounds:
-            pairs = _centres(left if step == 0 else left.withColumn("_weight", F.xxhash64("_id", F.lit(step))))
-        else:
-            pairs = _between(left)
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        new = keep(_confirm(_estimate(pairs, sets, how), sets, how), "confirmed")
-        links = new if links is None else links.unionAll(new)
-        found = keep(connected_components(links), "components").withColumnRenamed("_node", "_id")
-        # buckets whose members are not all connected yet
-        named = members.join(found, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
-        apart = named.groupBy("_band", "_key").agg(F.min("_component").alias("_x"), F.max("_component").alias("_y")).filter("_x < _y").select("_band", "_key")
-        left = keep(named.join(apart, ["_band", "_key"]), "apart")
-        if left.isEmpty():
-            break
-    reached = classes.join(found.withColumnRenamed("_id", "_least"), "_least", "left").select("_class", F.coalesce("_component", "_least").alias("_component"))
+
+    found = _Links(sets, how)
+    found.add(_centres(members))
+    named = found.named(members)
+    left = keep(named.join(_apart(named, key), key), "apart")
+    few = _between(left.filter(F.col("_m") <= how.few).select(*key, "_id", "_component"), key)
+    many = left.filter(F.col("_m") > how.few).select(F.col("_top._id").alias("_centre"), "_id").distinct()
+    prefixes = keep(_prefixes(many, sets, how), "prefixes")
+    bound = f"{100 + how.percent} * least(l_reach, r_reach) >= {how.percent} * (l_n + r_n)"
+    near = _within_reach(found.named(prefixes), how)
+    top = near.groupBy("_centre", "_token").agg(F.max(F.struct((F.col("_reach") / F.col("_n")).alias("_share"), "_id", "_component", "_reach", "_n")).alias("_top"))
+    sides = {"l_reach": "_reach", "r_reach": "_top._reach", "l_n": "_n", "r_n": "_top._n"}
+    met = near.join(top, ["_centre", "_token"]).filter("_component <> _top._component").withColumns({k: F.col(v) for k, v in sides.items()}).filter(bound).select(*_pairs("_id", "_top._id")).distinct()
+    found.add(few.unionAll(met).distinct())
+    found.add(_between(_within_reach(found.named(prefixes), how), ["_centre", "_token"], bound))
+    reached = classes.join(found.parts.withColumnRenamed("_id", "_least"), "_least", "left").select("_class", F.coalesce("_component", "_least").alias("_component"))
     return own.join(reached, "_class", "left").select("_id", "_size", F.coalesce("_component", "_id").alias("_component"))
 
 
