@@ -1,10 +1,15 @@
 """Hierarchical codes such as `MAT.5.1.2.`: parsing, shapes and the cover relation."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docrecon.functions.keys import dehyphen
+
 SEGMENT = r"\p{L}+[0-9]*|[0-9]+"
-GENERIC = r"(?<![\p{L}\p{N}_.])(\p{L}{1,5}[0-9]+(?:\.[0-9]+)*)(?![\p{L}\p{N}])"
+GENERIC = r"(?<![\p{L}\p{N}_.])(\p{L}{1,5}[0-9]+(?:\.[0-9]+)*)(?![\p{L}\p{N}_])"
+#: A comma where a full stop should be, or a prefix alone: not corrected by guess.
+MALFORMED = r"(?<![\p{L}\p{N}_.])(\p{L}{1,5}(?:[0-9]*(?:\.[0-9]+)*,[0-9]+(?:\.[0-9]+)*|(?=\s*(?:,|$))))"
+PARENTHESES = r"\([^()]*\)"
 
 
 def code_prefix(raw: Column) -> Column:
@@ -33,12 +38,24 @@ def code_shape(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, r"\p{Lu}+", "A"), "[0-9]+", "N")
 
 
-def used_codes(text: Column, known: list[str]) -> Column:
-    """Codes in parentheses whose prefix is all capitals, and codes of known prefixes anywhere, in order of the text."""
-    inside = F.array_join(F.regexp_extract_all(text, F.lit(r"\([^()]*\)"), F.lit(0)), " ")
-    held = F.filter(F.regexp_extract_all(inside, F.lit(GENERIC), F.lit(1)), lambda x: x.rlike(r"^\p{Lu}+[0-9]"))
-    anywhere = F.regexp_extract_all(text, F.lit(GENERIC), F.lit(1))
-    return F.filter(anywhere, lambda x: F.array_contains(held, x) | F.regexp_extract(x, r"^\p{L}+", 0).isin(*known or [""]))
+def used_codes(text: Column, known: list[str], lo_prefix: str | None = None) -> Column:
+    """Codes of a text in its order: in parentheses those whose prefix is all capitals, anywhere those of a known prefix.
+
+    Decided place by place on the text in which line ends break no code. Codes of outcomes (lo_prefix) and those with a
+    comma for a full stop are left out; the latter are malformed_codes.
+    """
+    view, prefix = dehyphen(text), lambda x: F.regexp_extract(x, r"^\p{L}+", 0)
+    outside, inside = F.split(view, PARENTHESES, -1), F.regexp_extract_all(view, F.lit(PARENTHESES), F.lit(0))
+    found = lambda part: F.regexp_extract_all(part, F.lit(GENERIC.replace(")(?!", ")(?!,[0-9])(?!")), F.lit(1))
+    is_known = lambda x: prefix(x).isin(*known) if known else F.lit(False)
+    parts = F.transform(F.arrays_zip(outside.alias("o"), inside.alias("i")), lambda p: F.concat(F.filter(found(p["o"]), is_known), F.coalesce(F.filter(found(p["i"]), lambda x: is_known(x) | x.rlike(r"^\p{Lu}+[0-9]")), F.array().cast("array<string>"))))
+    return F.filter(F.flatten(parts), lambda x: prefix(x) != F.lit(lo_prefix or ""))
+
+
+def malformed_codes(text: Column, known: list[str]) -> Column:
+    """Broken spellings of codes in parentheses, as they stand: `KB2,4`, or a known prefix without a number."""
+    inner = F.transform(F.regexp_extract_all(dehyphen(text), F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(MALFORMED), F.lit(1)))
+    return F.filter(F.flatten(inner), lambda x: F.regexp_extract(x, r"^\p{L}+", 0).isin(*known) if known else F.lit(False))
 
 
 def sort_key(prefix: Column, segments: Column) -> list[Column]:
@@ -46,6 +63,22 @@ def sort_key(prefix: Column, segments: Column) -> list[Column]:
     return [prefix, F.transform(segments, lambda x: F.coalesce(F.try_to_number(x, F.lit("9999999999")), F.lit(0)).cast("long")), segments]
 
 
+def code_places(codes: DataFrame, prefix: str, segments: str) -> DataFrame:
+    """Adds place, the dense rank of a code in the order of sort_key, equal codes sharing one.
+
+    Distinct keys are ranked within their prefix and first number; each such group begins after those before it, whose
+    sizes are one row a group.
+    """
+    order = {f"_s{i}": x for i, x in enumerate(sort_key(F.col(prefix), F.col(segments)))}
+    own, names, group = codes.withColumns(order), list(order), ["_s0", "_g"]
+    keys = own.select(*names).distinct().withColumn("_g", F.get("_s1", F.lit(0)))
+    ranked = keys.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*names)))
+    sizes = ranked.groupBy(*group).agg(F.max("_r").alias("_n"))
+    before = sizes.select(*[F.col(g).alias(f"{g}_") for g in group], (F.sum("_n").over(Window.orderBy(*group)) - F.col("_n")).alias("_before"))
+    placed = ranked.join(before, F.expr("_s0 <=> _s0_ and _g <=> _g_")).select(*[F.col(n).alias(f"{n}_") for n in names], (F.col("_r") + F.col("_before")).cast("int").alias("place"))
+    return own.join(placed, F.expr(" and ".join(f"{n} <=> {n}_" for n in names)), "left").select(*codes.columns, "place")
+
+
 def uncovered(used: DataFrame, declared: DataFrame, scope: list[str], prefix: str = "prefix", segments: str = "segments") -> DataFrame:
     """Rows of used that no declared code of the same scope covers (same prefix, its segments a leading part of theirs).
 

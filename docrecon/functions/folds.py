@@ -2,21 +2,21 @@
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from docrecon.functions import keys
+from docrecon.functions.keys import HYPHENS, QUOTES_FROM, QUOTES_TO
+
+QUOTES = dict(zip(QUOTES_FROM, QUOTES_TO, strict=True))
+DOTTED = str.maketrans(keys.DOTTED, keys.DOTLESS)
 ENTRIES = ArrayType(StructType([StructField("pos", IntegerType()), StructField("open", IntegerType()), StructField("entry", StringType())]))
 MARKS = ArrayType(StructType([StructField("op", StringType()), StructField("word", StringType())]))
 KEY = StructType([StructField("norm", StringType()), StructField("idx", ArrayType(IntegerType()))])
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed characters; null stays null."""
-    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
-
-
 def _entries(text: str) -> list[tuple[int, int, str]]:
     found, depth, start = [], 0, 0
     for i, c in enumerate(text + ","):
@@ -37,31 +37,54 @@ def declared_entries(text: pd.Series) -> pd.Series:
     return text.map(lambda x: [{"pos": p, "open": o, "entry": e} for p, o, e in _entries(x)], na_action="ignore")
 
 
+def _common_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How long the longest common subsequence of x and each leading part of y is; one row of the table at a time.
+
+    With the row above known, an entry is the largest, so far in the row, of the entry above it and of one more than the
+    entry above and before it where both items agree.
+    """
+    row = np.zeros(len(y) + 1, np.int32)
+    for item in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == item, row[:-1] + 1, 0)))
+    return row
+
+
+def _keep(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: x is halved, y cut where both halves have most in common."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) == 1:
+        at = np.flatnonzero(y == x[0])
+        return [(0, int(at[0]))] if len(at) else []
+    half = len(x) // 2
+    cut = int(np.argmax(_common_lengths(x[:half], y) + _common_lengths(x[half:][::-1], y[::-1])[::-1]))
+    return _keep(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in _keep(x[half:], y[cut:])]
+
+
 def _words(a: str, b: str, limit: int) -> list[tuple[str, str]] | None:
     x, y = a.split(), b.split()
     if len(x) * len(y) > limit:
         return None
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    number = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
+    p, q = (np.array([number[w] for w in s], np.int64) for s in (x, y))
+    short = min(len(p), len(q))
+    head = short if (p[:short] == q[:short]).all() else int(np.argmin(p[:short] == q[:short]))
+    p, q = p[head:], q[head:]
+    short = min(len(p), len(q))
+    same = p[len(p) - short :][::-1] == q[len(q) - short :][::-1]
+    tail = short if same.all() else int(np.argmin(same))
+    held = [*((i, i) for i in range(head)), *((i + head, j + head) for i, j in _keep(p[: len(p) - tail], q[: len(q) - tail])), *((len(x) - k, len(y) - k) for k in range(tail, 0, -1))]
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append(("same", x[i]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(("del", x[i]))
-            i += 1
-        else:
-            out.append(("ins", y[j]))
-            j += 1
+    for s, t in [*held, (len(x), len(y))]:
+        out += [("del", w) for w in x[i:s]] + [("ins", w) for w in y[j:t]] + [("same", w) for w in x[s : s + 1]]
+        i, j = s + 1, t + 1
     return out
 
 
 def word_diff(limit: int = 1_500_000):
-    """Words of two texts as same, del or ins along a longest common sequence, deletions first among equals; null where
-    the product of their word counts is over the limit or a side is null."""
+    """Words of two texts as same, del or ins along a longest common subsequence, between two same ones the deletions
+    first; null where the product of their word counts is over the limit or a side is null. Memory grows with the longer
+    side alone."""
 
     @F.pandas_udf(MARKS)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -72,9 +95,10 @@ def word_diff(limit: int = 1_500_000):
 
 @F.pandas_udf(KEY)
 def indexed_key(text: pd.Series) -> pd.DataFrame:
-    """Letters and digits in lower case, and for each the place of its character in the composed text."""
+    """The text as layer_key of keys.py gives it, and for each of its characters the place in the composed text."""
     rows = []
     for x in text:
-        found = [(c, i) for i, c in enumerate(unicodedata.normalize("NFC", x or "").replace("İ", "i").replace("I", "ı").lower()) if c.isalnum()]
+        composed = unicodedata.normalize("NFC", x or "")
+        found = [(c, i) for i, own in enumerate(composed) if not own.isspace() and own not in HYPHENS for c in QUOTES.get(own, own.translate(DOTTED).lower().replace("ı", "i"))]
         rows.append({"norm": "".join(c for c, _ in found), "idx": [i for _, i in found]})
     return pd.DataFrame(rows, columns=["norm", "idx"])

@@ -81,11 +81,17 @@ def coverage(all_ids: DataFrame, assigned: list[DataFrame], keys: list[str]) ->
     return held.filter("n <> 1").select(*keys, F.when(F.col("n") == 0, "UNASSIGNED_SPANS").otherwise("DOUBLE_ASSIGNED_SPANS").alias("code"))
 
 
-def not_in_source(fields: DataFrame, sources: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Fields whose text, white space aside, is not part of their source."""
+def not_in_source(fields: DataFrame, sources: DataFrame, key: str, text: str, source: str, ids: list[str], block: int = 64) -> DataFrame:
+    """Fields whose text, white space aside, is not part of their source: all columns of fields. ids name a field; their
+    last one tells in which block of fields it is.
+
+    A source is cleaned once and meets its fields a block at a time, so it is copied for a block, not for each field.
+    """
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t-\r]+", "")
-    joined = fields.join(sources.select(key, F.col(source).alias("_source")), key)
-    return joined.filter(~F.contains(bare(F.col("_source")), bare(F.col(text)))).drop("_source")
+    clean = sources.select(key, bare(F.col(source)).alias("_source"))
+    packed = fields.select(key, F.expr(f"{ids[-1]} div {block}").alias("_block"), F.struct(bare(F.col(text)).alias("_bare"), *ids).alias("_f")).groupBy(key, "_block").agg(F.collect_list("_f").alias("_fields"))
+    missing = packed.join(clean, key).select(F.explode(F.filter("_fields", lambda f: ~F.contains(F.col("_source"), f["_bare"]))).alias("_f")).select(*[F.col(f"_f.{i}").alias(i) for i in ids])
+    return fields.join(missing.distinct(), ids)
 
 
 def subset_pairs(df: DataFrame, group: str, member: str) -> DataFrame:

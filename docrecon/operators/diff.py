@@ -6,15 +6,12 @@ from pyspark.sql import functions as F
 from docrecon.functions.status import text_status
 
 
-def once(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key no other row has."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n = 1").drop("_n")
-
-
 def keyed_diff(document: DataFrame, sheet: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Both sides by key with status. A key that a side has twice is left to review, never picked from."""
-    a = document.groupBy(*keys).agg(F.count("*").alias("_na"), F.min(text).alias("document"))
-    b = sheet.groupBy(*keys).agg(F.count("*").alias("_nb"), F.min(text).alias("sheet"))
+    """Both sides by key with status. A key that a side has twice is left to review, and that side's text stays null, as
+    none is picked from several."""
+    only = F.when(F.count("*") == 1, F.min(text))
+    a = document.groupBy(*keys).agg(F.count("*").alias("_na"), only.alias("document"))
+    b = sheet.groupBy(*keys).agg(F.count("*").alias("_nb"), only.alias("sheet"))
     status = (
         F.when((F.col("_na") > 1) | (F.col("_nb") > 1), "İNCELEME_GEREKLİ").when(F.col("_nb").isNull(), "PDF_DE_VAR_EXCELDE_YOK")
         .when(F.col("_na").isNull(), "EXCELDE_VAR_PDF_DE_YOK").otherwise(text_status(F.col("document"), F.col("sheet")))
@@ -23,11 +20,32 @@ def keyed_diff(document: DataFrame, sheet: DataFrame, keys: list[str], text: str
 
 
 def rematch(left: DataFrame, right: DataFrame, keys: list[str], key: str, name: str) -> DataFrame:
-    """Rows without a partner by key that share a name with exactly one such row of the other side: KOD_FARKLI."""
+    """Rows without a partner by key, paired one to one by name: KOD_FARKLI. Of several with one name the first meets
+    the first, the second the second."""
     a = left.join(right.select(*keys, key).distinct(), [*keys, key], "left_anti")
     b = right.join(left.select(*keys, key).distinct(), [*keys, key], "left_anti")
-    a, b = once(a, [*keys, name]), once(b, [*keys, name])
-    return a.select(*keys, name, F.col(key).alias("left_key")).join(b.select(*keys, name, F.col(key).alias("right_key")), [*keys, name]).withColumn("status", F.lit("KOD_FARKLI"))
+    placed = F.row_number().over(Window.partitionBy(*keys, name).orderBy(key))
+    a, b = (x.select(*keys, name, F.col(key).alias(f"{side}_key"), placed.alias("_n")) for x, side in ((a, "left"), (b, "right")))
+    return a.join(b, [*keys, name, "_n"]).drop("_n").withColumn("status", F.lit("KOD_FARKLI"))
+
+
+def count_differs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that both sides have, with other numbers of rows: SAYI_FARKLI."""
+    a, b = left.groupBy(*keys).agg(F.count("*").alias("document")), right.groupBy(*keys).agg(F.count("*").alias("sheet"))
+    return a.join(b, keys).filter("document <> sheet").withColumn("status", F.lit("SAYI_FARKLI"))
+
+
+def wrong_section(diff: DataFrame, elsewhere: DataFrame, keys: list[str]) -> DataFrame:
+    """diff, which has status and sheet, with YANLIŞ_BÖLÜM for texts of the sheet alone that stand in another section:
+    elsewhere has the keys and found_in."""
+    joined = diff.join(elsewhere.select(*keys, "found_in"), keys, "left")
+    return joined.withColumn("status", F.when(F.col("found_in").isNotNull() & (F.col("status") != "AYNI"), "YANLIŞ_BÖLÜM").otherwise(F.col("status")))
+
+
+def out_of_scope(diff: DataFrame, scope: DataFrame, unit: str) -> DataFrame:
+    """diff with KAPSAM_DIŞI as the status of units that scope does not list. Scope is as small as the units are."""
+    held = scope.select(unit).distinct().withColumn("_in", F.lit(True))
+    return diff.join(held, unit, "left").withColumn("status", F.when(F.col("_in"), F.col("status")).otherwise("KAPSAM_DIŞI")).drop("_in")
 
 
 def positional_diff(left: DataFrame, right: DataFrame, keys: list[str], place: str, text: str) -> DataFrame:
@@ -44,10 +62,17 @@ def set_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def found_elsewhere(missing: DataFrame, fields: DataFrame, scope: str, section: str, key: str, least: int = 20) -> DataFrame:
-    """missing rows with the first other section of their scope that has the same key of `least` characters or more."""
-    other = fields.filter(F.char_length(key) >= least).select(F.col(scope).alias("_scope"), F.col(section).alias("_section"), F.col(key).alias("_key"))
-    hit = missing.join(other, (F.col(scope) == F.col("_scope")) & (F.col(key) == F.col("_key")) & (F.col(section) != F.col("_section")))
-    return hit.groupBy(*missing.columns).agg(F.min("_section").alias("found_in"))
+    """missing rows with the first other section of their scope that has the same key of `least` characters or more.
+
+    Of each key only its first two sections are kept, so a line that a scope repeats is one row.
+    """
+    other = fields.filter(F.char_length(key) >= least).select(scope, key, section)
+    first = other.groupBy(scope, key).agg(F.min(section).alias("_first"))
+    second = other.join(first, [scope, key]).filter(F.col(section) > F.col("_first")).groupBy(scope, key).agg(F.min(section).alias("_second"))
+    places = first.join(second, [scope, key], "left")
+    hit = missing.distinct().join(places, [scope, key])
+    found = F.when(F.col("_first") != F.col(section), F.col("_first")).otherwise(F.col("_second"))
+    return hit.withColumn("found_in", found).filter("found_in is not null").select(*missing.columns, "found_in")
 
 
 def plurality(pairs: DataFrame, left: str, right: str, order: Column) -> DataFrame:

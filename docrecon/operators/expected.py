@@ -1,14 +1,27 @@
 """Expected summary rows matched with units: each step takes a match only where it is the only one."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _alone(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per keys the number of distinct values and the smallest; null keys are left out."""
+    held = df.select(*keys, value).dropna(subset=keys).distinct()
+    return held.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias(value))
+
+
 def unique_match(units: DataFrame, rows: DataFrame, keys: list[str], unit: str, row: str) -> DataFrame:
-    """Pairs (unit, row) by keys where neither side has a second candidate. Null keys match nothing."""
-    pairs = units.select(*keys, unit).join(rows.select(*keys, row), keys).select(unit, row).distinct()
-    counted = pairs.withColumns({"_u": F.count("*").over(Window.partitionBy(unit)), "_r": F.count("*").over(Window.partitionBy(row))})
-    return counted.filter("_u = 1 and _r = 1").select(unit, row)
+    """Pairs (unit, row) by keys where neither side has a second candidate. Null keys match nothing. Both sides are
+    counted before they meet, so a key meets in one row."""
+    a, b = _alone(units, keys, unit).filter("_n = 1").drop("_n"), _alone(rows, keys, row).filter("_n = 1").drop("_n")
+    return a.join(b, keys).select(unit, row)
+
+
+def ambiguous_rows(units: DataFrame, rows: DataFrame, keys: list[str], unit: str, row: str) -> DataFrame:
+    """Units whose keys have rows but no single pair, with how many rows and units share the keys: EXPECTED_ROW_AMBIGUOUS."""
+    a, b = _alone(units, keys, unit).withColumnRenamed("_n", "units").drop(unit), _alone(rows, keys, row).withColumnRenamed("_n", "rows").drop(row)
+    shared = a.join(b, keys).filter("units > 1 or rows > 1")
+    return units.select(unit, *keys).distinct().join(shared, keys).select(unit, "units", "rows", F.lit("EXPECTED_ROW_AMBIGUOUS").alias("code"), F.lit("INFO").alias("severity"))
 
 
 def match_expected(units: DataFrame, rows: DataFrame, context: str, name: str, place: str, unit: str, row: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docrecon.shipping import ship
+
 
 def nested_items(rows: DataFrame, keys: list[str], order: list[str], outer: Column, inner: Column) -> DataFrame:
     """Numbers rows by the outer item that they are in (0 before the first) and by the inner one within it (0 for the
@@ -28,20 +30,40 @@ def first_section(rows: DataFrame, unit: str, section: str, pos: str, matches: C
 
 
 def title_runs(spans: DataFrame, keys: list[str], order: str, color: str, text: str, tolerance: int = 10) -> DataFrame:
-    """Runs of spans whose colour is within the tolerance of the run's first, per keys (a row of a page): run, text.
+    """Runs of spans whose colour is within the tolerance of the run's first, per keys (a row of a page): keys, run, text.
 
-    A fold, as runs are measured from their first span; what is folded is one row of a page.
+    A streaming fold over the spans in order, as runs are measured from their first span. What it carries is the run at
+    hand, so a key may have any number of spans.
     """
-    packed = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(color).cast("long").alias("c"), F.col(text).alias("t")))).alias("_all"))
-    start = F.struct(F.lit(None).cast("long").alias("c"), F.expr("cast(array() as array<string>)").alias("r"))
+    placed = spans.select(F.struct(*keys).alias("_k"), F.col(order).alias("_o"), F.col(color).cast("long").alias("_c"), F.col(text).alias("_t"))
+    ordered = placed.repartition("_k").sortWithinPartitions("_k", "_o", "_c", "_t")
+    schema = ordered.select("_k", F.lit(0).alias("run"), F.col("_t").alias("text")).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, first, number, parts, kind = None, None, 0, [], None
+
+        def near(a: int | None, b: int | None) -> bool:
+            return a is not None and b is not None and max(abs((a >> s & 255) - (b >> s & 255)) for s in (16, 8, 0)) <= tolerance
 
-    def far(a: Column, b: Column) -> Column:
-        return F.greatest(*[F.abs(F.shiftright(a, s).bitwiseAND(F.lit(255)) - F.shiftright(b, s).bitwiseAND(F.lit(255))) for s in (16, 8, 0)]) > tolerance
+        def made(rows):
+            held = [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int32()), pa.array([" ".join(r[2]) for r in rows], pa.string())]
+            return pa.RecordBatch.from_arrays(held, ["_k", "run", "text"])
 
-    def step(acc, s):
-        new = acc["c"].isNull() | far(acc["c"], s["c"])
-        last = F.size(acc["r"])
-        grown = F.concat(F.slice(acc["r"], 1, F.greatest(last - 1, F.lit(0))), F.array(F.concat(F.element_at(acc["r"], F.greatest(last, F.lit(1))), F.lit(" "), s["t"])))
-        return F.struct(F.when(new, s["c"]).otherwise(acc["c"]).alias("c"), F.when(new, F.concat(acc["r"], F.array(s["t"]))).otherwise(grown).alias("r"))
+        for batch in batches:
+            kind, rows = batch.schema.field("_k").type, []
+            for k, c, t in zip(*(batch.column(n).to_pylist() for n in ("_k", "_c", "_t")), strict=True):
+                if parts and k == key and near(first, c):
+                    parts.append(t or "")
+                    continue
+                if parts:
+                    rows.append((key, number, parts))
+                number = number + 1 if parts and k == key else 0
+                key, first, parts = k, c, [t or ""]
+            yield made(rows)
+        if parts:
+            yield made([(key, number, parts)])
 
-    return packed.select(*keys, F.posexplode(F.aggregate("_all", start, step)["r"]).alias("run", "text"))
+    ship(spans.sparkSession)
+    return ordered.select("_k", "_c", "_t").mapInArrow(run, schema).select("_k.*", "run", "text")

@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
-    """Per keys, the value with the largest total weight; ties to the smallest value."""
-    totals = df.groupBy(*keys, value).agg(F.sum(weight).alias("weight"))
-    best = F.min(F.struct((-F.col("weight")).alias("w"), F.col(value).alias("v")))
+def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column, order: list[str]) -> DataFrame:
+    """Per keys, the value with the largest total weight; ties to the one whose first row comes first in `order`."""
+    totals = df.groupBy(*keys, value).agg(F.sum(weight).alias("weight"), F.min(F.struct(*order)).alias("first"))
+    best = F.min(F.struct((-F.col("weight")).alias("w"), F.col("first"), F.col(value).alias("v")))
     return totals.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.v").alias(value), (-F.col("_b.w")).alias("weight"))
 
 
@@ -25,12 +25,10 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("median"), F.col("_n").alias("n"))
 
 
-def modal_sequence(df: DataFrame, key: str, value: str, order: list[str], length: int) -> DataFrame:
-    """Per key, its first `length` values in order as one text, and whether that is the most frequent such text (ties to
-    the smallest key)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= length)
-    own = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", value))), lambda x: x[value]), ">").alias("sequence"))
+def modal_sequence(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """Per key, all its values in order as one text, and whether that is the most frequent such text (ties to the
+    smallest key). A key is a unit, whose values are a few outcomes."""
+    own = df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"]), ">").alias("sequence"))
     modal = own.groupBy("sequence").agg(F.count("*").alias("n"), F.min(key).alias("k")).agg(F.min(F.struct((-F.col("n")).alias("n"), "k", F.col("sequence").alias("s"))).alias("_m")).select(F.col("_m.s").alias("modal"))
     return own.join(F.broadcast(modal)).select(key, "sequence", (F.col("sequence") == F.col("modal")).alias("is_modal"))
 

@@ -38,9 +38,9 @@ def q_compare_key(spark, sf):
     return S.edited_lines(spark, sf).select("doc_id", "pos", keys.compare_key(F.col("line")).alias("key"))
 
 
-@query("select doc_id, length(text) - length(replace(text, '.', '')) as removed, text as cleaned from documents where doc_id % 5 = 0")
+@query("select doc_id, length(text) - length(replace(text, '.', '')) as removed, text as cleaned from documents")
 def q_control_chars(spark, sf):
-    dirty = S.table(spark, sf, "documents").filter("doc_id % 5 = 0").withColumn("dirty", F.replace(F.col("text"), F.lit("."), F.lit(".\x07")))
+    dirty = S.table(spark, sf, "documents").withColumn("dirty", F.replace(F.col("text"), F.lit("."), F.lit(".\x07")))
     clean = keys.visible(F.col("dirty"))
     return dirty.select("doc_id", (F.char_length("dirty") - F.char_length(clean)).cast("long").alias("removed"), clean.alias("cleaned"))
 
@@ -63,13 +63,27 @@ def q_code_parse(spark, sf):
     return S.part_codes(spark, sf).select("p_partkey", C.code_prefix(F.col("raw")).alias("prefix"), F.array_join(segments, ".").alias("segments"), F.array_join(C.segment_types(segments), "").alias("types"), C.code_shape(F.col("raw")).alias("shape"))
 
 
-_CODE_TEXT = "concat('see (', upper(substring(p_type, 1, 2)), p_size, '.', p_partkey % 7, ') and (x', p_size, ', D', p_size, ') or E', p_partkey % 5, '.1, Q', p_size, '.')"
+# Codes in parentheses and outside, one of them in both places; broken by a line's end; with a comma; of an outcome.
+_CODE_TEXT = "concat('see (', upper(substring(p_type, 1, 2)), p_size, '.', p_partkey % 7, ') and (x', p_size, ', D', p_size, ') or E', p_partkey % 5, '.1, Q', p_size, ', D', p_size, ' (KB2.\\n', p_size, ', MAT', p_size, '.1) KB', p_size, ',4 cm_E9_', if(p_partkey % 2 = 0, ' E-\\n8.2', ''), '.')"
 
 
-@query(f"""select p_partkey, concat_ws(',', upper(substring(p_type, 1, 2)) || p_size || '.' || (p_partkey % 7), 'D' || p_size, 'E' || (p_partkey % 5) || '.1') as codes from part""")
+@query("""select p_partkey, concat_ws(',', upper(substring(p_type, 1, 2)) || p_size || '.' || (p_partkey % 7), 'D' || p_size, 'E' || (p_partkey % 5) || '.1', 'KB2.' || p_size, case when p_partkey % 2 = 0 then 'E8.2' end) as codes from part""")
 def q_extract_codes(spark, sf):
     rows = S.table(spark, sf, "part").select("p_partkey", F.expr(_CODE_TEXT).alias("t"))
-    return rows.select("p_partkey", F.array_join(C.used_codes(F.col("t"), ["E"]), ",").alias("codes"))
+    return rows.select("p_partkey", F.array_join(C.used_codes(F.col("t"), ["E"], "MAT"), ",").alias("codes"))
+
+
+@query("select p_partkey, 'KB' || p_size || ',4;SDB' as codes from part")
+def q_malformed_codes(spark, sf):
+    rows = S.table(spark, sf, "part").select("p_partkey", F.expr("concat('text KB9,9 (KB', p_size, ',4, SDB, OB', p_size, ') and (D7, x)')").alias("t"))
+    return rows.select("p_partkey", F.array_join(C.malformed_codes(F.col("t"), ["KB", "SDB", "OB", "D"]), ";").alias("codes"))
+
+
+@query("""with p as (select p_partkey, p_name, p_size, length(p_name) as n from part) select p_partkey, '(KB2.' || p_size || ', ' || p_name || 'x) 3.' || chr(10) || '4' as view, n + length(p_size::varchar) + 14 as size,
+    n + length(p_size::varchar) + 13 + 4 as last from p""")
+def q_dehyphen(spark, sf):
+    raw = F.expr("concat('(KB2.\\n', p_size, ', ', p_name, '-\\n x) 3.\\n4')")
+    return S.table(spark, sf, "part").withColumn("t", raw).select("p_partkey", keys.dehyphen(F.col("t")).alias("view"), F.size(keys.dehyphen_places(F.col("t"))).cast("long").alias("size"), F.array_max(keys.dehyphen_places(F.col("t"))).cast("long").alias("last"))
 
 
 _COVERS = "d.l_suppkey = u.l_suppkey and d.prefix = u.prefix and u.segments[1:len(d.segments)] = d.segments"
@@ -94,10 +108,12 @@ def q_incomplete_code(spark, sf):
     return declared.join(least, "prefix").filter(F.size("segments") < F.col("least")).select("l_suppkey", "prefix", F.array_join("segments", ".").alias("code"), "least")
 
 
-@query(f"with {S.SQL_CODES}, s as (select p_partkey, raw, regexp_extract(raw, '^(\\p{{L}}+)', 1) as prefix, list_transform(regexp_extract_all(regexp_replace(raw, '^\\p{{L}}+', ''), '[0-9]+'), lambda x: x::bigint) as n from codes) select raw, min(p_partkey) as p_partkey, dense_rank() over (order by prefix, n)::int as place from s group by raw, prefix, n")
+@query("with c as (select distinct p_partkey, 'K' || (p_partkey % 3) as x, p_type, upper(substring(p_type, 1, 3)) as prefix, regexp_extract(p_brand, '[0-9]+')::bigint as b, p_size::bigint as z, case p_partkey % 3 when 0 then '' when 1 then 'SÖS' else 'L' || p_size end as skill from part), d as (select min(p_partkey) as p_partkey, prefix, b, z, skill from c group by prefix, b, z, skill) select p_partkey, dense_rank() over (order by prefix, b, z, skill <> '', skill)::int as place from d")
 def q_code_sort(spark, sf):
-    rows = S.part_codes(spark, sf).groupBy("raw").agg(F.min("p_partkey").alias("p_partkey")).withColumns({"prefix": C.code_prefix(F.col("raw")), "segments": C.code_segments(F.col("raw"))})
-    return rows.withColumn("place", F.dense_rank().over(Window.orderBy(*C.sort_key(F.col("prefix"), F.col("segments"))[:2]))).select("raw", "p_partkey", "place")
+    skill = F.when(F.col("p_partkey") % 3 == 1, ".SÖS").when(F.col("p_partkey") % 3 == 2, F.concat(F.lit(".L"), F.col("p_size").cast("string"))).otherwise("")
+    raw = S.part_codes(spark, sf).join(S.table(spark, sf, "part").select("p_partkey", skill.alias("skill")), "p_partkey").select("p_partkey", F.concat(F.rtrim("raw", F.lit(".")), "skill").alias("raw"))
+    rows = raw.groupBy("raw").agg(F.min("p_partkey").alias("p_partkey")).withColumns({"prefix": C.code_prefix(F.col("raw")), "segments": C.code_segments(F.col("raw"))})
+    return C.code_places(rows, "prefix", "segments").select("p_partkey", "place")
 
 
 @query(f"with {S.SQL_EDITED} select doc_id, pos, {S.sql_text_status('l.line', 'e.line')} as status from lines l join edited e using (doc_id, pos)")
@@ -130,9 +146,9 @@ def q_status_summary_zero_fill(spark, sf):
 # ---- votes, medians, windows
 
 
-@query("select source, lang, w::bigint as weight from (select *, row_number() over (partition by source order by w desc, lang) as r from (select source, lang, sum(length(trim(text))) as w from documents group by all)) where r = 1")
+@query("select source, lang, w::bigint as weight from (select *, row_number() over (partition by source order by w desc, first) as r from (select source, lang, sum(length(trim(text)) // 500) as w, min(doc_id) as first from documents group by all)) where r = 1")
 def q_weighted_mode(spark, sf):
-    return votes.weighted_mode(S.table(spark, sf, "documents"), ["source"], "lang", F.char_length(F.trim("text")))
+    return votes.weighted_mode(S.table(spark, sf, "documents"), ["source"], "lang", F.floor(F.char_length(F.trim("text")) / 500), ["doc_id"])
 
 
 @query("with f as (select user_id, event_type, count(*) as n, min(epoch_us(ts)::hugeint * 1000000000 + event_id) as k from events group by all) select user_id, event_type, n from (select *, row_number() over (partition by user_id order by n desc, k) as r from f) where r = 1")
@@ -145,10 +161,10 @@ def q_upper_median(spark, sf):
     return votes.upper_median(S.table(spark, sf, "events"), ["user_id"], "value")
 
 
-@query("""with o as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as r from events), q as (select user_id, string_agg(event_type, '>' order by r) as sequence from o where r <= 3 group by user_id),
-m as (select sequence as modal from q group by sequence order by count(*) desc, min(user_id) limit 1) select user_id, sequence, sequence = modal as is_modal from q, m""")
+@query("""with q as (select l_orderkey, string_agg(l_returnflag || l_linestatus, '>' order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as sequence from lineitem group by l_orderkey),
+m as (select sequence as modal from q group by sequence order by count(*) desc, min(l_orderkey) limit 1) select l_orderkey, sequence, sequence = modal as is_modal from q, m""")
 def q_skill_order(spark, sf):
-    return votes.modal_sequence(S.table(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], 3)
+    return votes.modal_sequence(S.table(spark, sf, "lineitem").withColumn("skill", F.concat("l_returnflag", "l_linestatus")), "l_orderkey", "skill", S.ITEM_ORDER)
 
 
 @query("select c_custkey, case when count(*) over (partition by s) = 1 then s else c_name || ' / ' || c_custkey end as label from (select *, substring(c_name, 1, 9) || right(c_name, 2) as s from customer)")
@@ -267,10 +283,10 @@ def q_application_xref(spark, sf):
     return checks.cross_reference(rows.filter("l_partkey % 5 <> 0"), rows.filter("l_partkey % 7 <> 0"), ["l_orderkey", "l_partkey"], "APPLICATION_MISSING", "APPLICATION_UNKNOWN_CODE")
 
 
-@query("with r as (select distinct event_type, user_id % 40 as u from events where user_id % 40 < length(event_type) * 5), z as (select event_type, count(*) as size from r group by 1) select a.event_type, b.event_type as other, count(*) as shared, size, count(*) = size as subset from r a join r b on a.u = b.u and a.event_type <> b.event_type join z on z.event_type = a.event_type group by a.event_type, b.event_type, size")
+@query("with r as (select distinct event_type, user_id as u from events where event_type <> 'view' or user_id % 5 <> 0), z as (select event_type, count(*) as size from r group by 1) select a.event_type, b.event_type as other, count(*) as shared, size, count(*) = size as subset from r a join r b on a.u = b.u and a.event_type <> b.event_type join z on z.event_type = a.event_type group by a.event_type, b.event_type, size")
 def q_column_level(spark, sf):
-    rows = S.table(spark, sf, "events").withColumn("u", F.col("user_id") % 40).filter(F.col("u") < F.length("event_type") * 5)
-    return checks.subset_pairs(rows, "event_type", "u")
+    rows = S.table(spark, sf, "events").filter("event_type <> 'view' or user_id % 5 <> 0")
+    return checks.subset_pairs(rows, "event_type", "user_id")
 
 
 @query(f"with {S.SQL_LINES} select doc_id, pos::int as pos, case when pos % 3 <> 1 and pos % 5 = 0 then 'DOUBLE_ASSIGNED_SPANS' else 'UNASSIGNED_SPANS' end as code from lines where (pos % 3 <> 1) = (pos % 5 = 0)")
@@ -281,7 +297,7 @@ def q_coverage_partition(spark, sf):
 
 @query(rf"with {S.SQL_EDITED} select doc_id, pos::int as pos from edited join documents using (doc_id) where not contains(regexp_replace(text, '[ \t-\r]+', '', 'g'), regexp_replace(line, '[ \t-\r]+', '', 'g'))")
 def q_fidelity(spark, sf):
-    return checks.not_in_source(S.edited_lines(spark, sf), S.table(spark, sf, "documents"), "doc_id", "line", "text").select("doc_id", "pos")
+    return checks.not_in_source(S.edited_lines(spark, sf), S.table(spark, sf, "documents"), "doc_id", "line", "text", ["doc_id", "pos"]).select("doc_id", "pos")
 
 
 # ---- reconciliation
@@ -293,7 +309,7 @@ def q_match_plurality(spark, sf):
     return diff.plurality(pairs, "p_brand", "l_suppkey", F.col("l_orderkey"))
 
 
-_DIFF = f"""with {S.SQL_EDITED}, a as (select doc_id, substring(line, 1, 6) as code, count(*) as n, min(line) as document from lines group by 1, 2), b as (select doc_id, substring(line, 1, 6) as code, count(*) as n, min(line) as sheet from edited group by 1, 2)"""
+_DIFF = f"""with {S.SQL_EDITED}, a as (select doc_id, substring(line, 1, 6) as code, count(*) as n, case when count(*) = 1 then min(line) end as document from lines group by 1, 2), b as (select doc_id, substring(line, 1, 6) as code, count(*) as n, case when count(*) = 1 then min(line) end as sheet from edited group by 1, 2)"""
 
 
 @query(f"{_DIFF} select doc_id, code, document, sheet, case when a.n > 1 or b.n > 1 then 'İNCELEME_GEREKLİ' when b.n is null then 'PDF_DE_VAR_EXCELDE_YOK' when a.n is null then 'EXCELDE_VAR_PDF_DE_YOK' else {S.sql_text_status('document', 'sheet')} end as status from a full join b using (doc_id, code)")
@@ -305,7 +321,7 @@ def q_item_diff(spark, sf):
 _REMATCH = f"with {S.SQL_LINES}, n as (select doc_id, pos, {S.sql_norm('line')} as name from lines), l as (select doc_id, pos as key, name from n), r as (select doc_id, case when pos % 4 = 1 then pos + 1000 else pos end as key, name from n)"
 
 
-@query(f"{_REMATCH}, a as (select * from l anti join r using (doc_id, key)), b as (select * from r anti join l using (doc_id, key)), a1 as (select doc_id, name, min(key) as left_key from a group by 1, 2 having count(*) = 1), b1 as (select doc_id, name, min(key) as right_key from b group by 1, 2 having count(*) = 1) select doc_id, name, left_key::int as left_key, right_key::int as right_key, 'KOD_FARKLI' as status from a1 join b1 using (doc_id, name)")
+@query(f"{_REMATCH}, a as (select * from l anti join r using (doc_id, key)), b as (select * from r anti join l using (doc_id, key)), a1 as (select doc_id, name, key as left_key, row_number() over (partition by doc_id, name order by key) as n from a), b1 as (select doc_id, name, key as right_key, row_number() over (partition by doc_id, name order by key) as n from b) select doc_id, name, left_key::int as left_key, right_key::int as right_key, 'KOD_FARKLI' as status from a1 join b1 using (doc_id, name, n)")
 def q_title_rematch(spark, sf):
     rows = S.doc_lines(spark, sf).select("doc_id", F.col("pos").alias("key"), keys.norm_label(F.col("line")).alias("name"))
     moved = rows.withColumn("key", F.when(F.col("key") % 4 == 1, F.col("key") + 1000).otherwise(F.col("key")))
@@ -336,23 +352,23 @@ def q_default_scope(spark, sf):
     return diff.default_scope(rows, rows.filter("c_acctbal > 9500"), "c_nationkey", "c_custkey").select("c_custkey", "c_nationkey")
 
 
-@query("select n_regionkey, count(*) as units, min(n_nationkey) as first, max(n_nationkey) as last, string_agg(n_name, ', ' order by n_nationkey) as names from nation group by n_regionkey")
+@query("select o_custkey, count(*) as units, min(o_orderkey) as first, max(o_orderkey) as last, string_agg(o_orderpriority, ', ' order by o_orderkey) as names from orders group by o_custkey")
 def q_group_ranges(spark, sf):
-    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
-    return S.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("units"), F.min("n_nationkey").alias("first"), F.max("n_nationkey").alias("last"), F.array_join(names, ", ").alias("names"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"])
+    return S.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("units"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.array_join(names, ", ").alias("names"))
 
 
 # ---- matching and layout
 
 
-@query("with v as (select distinct p_name from part where length(p_name) >= 8), l as (select distinct case when p_partkey % 3 = 0 then 'x' || p_name when p_partkey % 3 = 1 then substring(p_name, 2) else substring(p_name, 1, 4) || 'q' || substring(p_name, 6) end as label from part) select label, p_name, levenshtein(label, p_name)::int as distance from l, v where length(label) >= 8 and levenshtein(label, p_name) between 1 and 2")
+@query("with v as (select distinct p_name from part where length(p_name) >= 8), l as (select distinct case when p_partkey % 3 = 0 then 'x' || p_name when p_partkey % 3 = 1 then substring(p_name, 2) else substring(p_name, 1, 4) || 'q' || substring(p_name, 6) end as label from part) select label, p_name, levenshtein(label, p_name)::int as distance from l, v where length(label) >= 8 and levenshtein(label, p_name) between 1 and case when length(label) < 12 then 1 else 2 end")
 def q_fuzzy_label(spark, sf):
     rows = S.table(spark, sf, "part")
     label = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x"), "p_name")).when(F.col("p_partkey") % 3 == 1, F.expr("substring(p_name, 2)")).otherwise(F.expr("concat(substring(p_name, 1, 4), 'q', substring(p_name, 6))"))
     return matching.fuzzy_variants(rows.select(label.alias("label")), rows, "label", "p_name")
 
 
-@query("with v as (select distinct p_name from part where length(p_name) >= 8), l as (select distinct substring(p_name, 1, 4) || 'q' || substring(p_name, 6) as label from part), m as (select label, p_name, levenshtein(label, p_name) as d from l, v where length(label) >= 8 and levenshtein(label, p_name) between 1 and 2) select label, min(p_name) as p_name, min(d)::int as distance from m group by label having count(*) = 1")
+@query("with v as (select distinct p_name from part where length(p_name) >= 8), l as (select distinct substring(p_name, 1, 4) || 'q' || substring(p_name, 6) as label from part), m as (select label, p_name, levenshtein(label, p_name) as d from l, v where length(label) >= 8 and levenshtein(label, p_name) between 1 and case when length(label) < 12 then 1 else 2 end) select label, min(p_name) as p_name, min(d)::int as distance from m group by label having count(*) = 1")
 def q_fuzzy_unique(spark, sf):
     rows = S.table(spark, sf, "part")
     found = matching.fuzzy_variants(rows.select(F.expr("concat(substring(p_name, 1, 4), 'q', substring(p_name, 6))").alias("label")), rows, "label", "p_name")
@@ -362,14 +378,17 @@ def q_fuzzy_unique(spark, sf):
 _TOKENS = r"list_filter(list_transform(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}_]+'), lambda x: {}), lambda x: x <> '')"
 
 
-@query(f"with {S.SQL_LINES}, t as (select doc_id, pos, {_TOKENS.format('line', S.sql_norm('x'))} as t from lines), p as (select item_id, {_TOKENS.format('text', S.sql_norm('x'))}[1:3] as p from benchmark), x as (select doc_id, pos, t, unnest(range(1, len(t) + 1)) as i from t) select doc_id, pos::int as pos, item_id, (i - 1)::int as at from x join p on t[i:i + len(p) - 1] = p where len(p) > 0".replace(" as at ", " as \"at\" "))
+@query(f"with {S.SQL_LINES}, t as (select doc_id, pos, {_TOKENS.format('line', S.sql_norm('x'))} as t from lines), p as (select p_partkey, {_TOKENS.format('text', S.sql_norm('x'))} as p from (select item_id as p_partkey, unnest([text, array_to_string(string_split(text, ' ')[2:4], ' ')]) as text from benchmark)), q as (select distinct p_partkey * 1000 + len(p) as phrase_id, p from p where len(p) > 0), x as (select doc_id, pos, t, unnest(range(1, len(t) + 1)) as i from t), y as (select x.doc_id, x.pos, x.t, x.i, n from x, (select distinct len(p) as n from q) where x.i + n - 1 <= len(x.t)) select doc_id, pos::int as pos, phrase_id, (i - 1)::int as \"at\" from y join q on t[i:i + n - 1] = p and len(p) = n")
 def q_token_containment(spark, sf):
+    """Whole items, and three words of each, in lines."""
     texts = S.doc_lines(spark, sf).select("doc_id", "pos", keys.label_tokens(F.col("line")).alias("tokens"))
-    phrases = S.table(spark, sf, "benchmark").select("item_id", F.slice(keys.label_tokens(F.col("text")), 1, 3).alias("phrase"))
-    return matching.contained_phrases(texts, phrases, "tokens", "phrase", "item_id", ["doc_id", "pos"])
+    words = F.split("text", " ")
+    phrases = S.table(spark, sf, "benchmark").select("item_id", F.explode(F.array("text", F.array_join(F.slice(words, 2, 3), " "))).alias("text")).select("item_id", keys.label_tokens(F.col("text")).alias("phrase"))
+    named = phrases.filter(F.size("phrase") > 0).select((F.col("item_id").cast("long") * 1000 + F.size("phrase")).alias("phrase_id"), "phrase").distinct()
+    return matching.contained_phrases(texts, named, "tokens", "phrase", "phrase_id", ["doc_id", "pos"])
 
 
-@query(f"with b as (select item_id, {S.sql_norm('text')} as k from benchmark), d as (select doc_id, {S.sql_norm('text')} as p from documents) select item_id, doc_id, instr(p, k)::int as \"at\" from d join b on contains(p, k) where length(k) >= 12")
+@query(f"with b as (select item_id, {S.sql_layer('text')} as k from benchmark), d as (select doc_id, {S.sql_layer('text')} as p from documents) select item_id, doc_id, instr(p, k)::int as \"at\" from d join b on contains(p, k) where length(k) >= 12")
 def q_text_layer_search(spark, sf):
     return matching.find_in_layer(S.table(spark, sf, "benchmark"), S.table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
 
@@ -379,10 +398,10 @@ def q_repeated_lines(spark, sf):
     return layout.repeated_lines(S.doc_lines(spark, sf), "source", "doc_id", "line", share=0.05)
 
 
-@query("with c as (select distinct (l_orderkey * 7919 + l_partkey * 104729) % 16777216 as color from lineitem), b as (select distinct (p_partkey * 15485863) % 16777216 as base from part where p_partkey % 4 = 0), d as (select color, base, greatest(abs((color >> 16) - (base >> 16)), abs(((color >> 8) & 255) - ((base >> 8) & 255)), abs((color & 255) - (base & 255))) as d from c, b) select color, count(*) as near from d where d <= 10 group by color")
+@query("with c as (select distinct (l_orderkey * 7919 + l_partkey * 104729) % 16777216 as color from lineitem), b as (select distinct (p_partkey * 15485863) % 16777216 as base from part), d as (select color, base, greatest(abs((color >> 16) - (base >> 16)), abs(((color >> 8) & 255) - ((base >> 8) & 255)), abs((color & 255) - (base & 255))) as d from c, b) select color, count(*) as near from d where d <= 10 group by color")
 def q_rgb_near(spark, sf):
     colors = S.table(spark, sf, "lineitem").select(F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729, F.lit(16777216)).alias("color"))
-    base = S.table(spark, sf, "part").filter("p_partkey % 4 = 0").select(F.pmod(F.col("p_partkey") * 15485863, F.lit(16777216)).alias("base"))
+    base = S.table(spark, sf, "part").select(F.pmod(F.col("p_partkey") * 15485863, F.lit(16777216)).alias("base"))
     return layout.near_colors(colors, base, "color", "base")
 
 
@@ -418,7 +437,10 @@ def q_word_diff(spark, sf):
     return marked.select("doc_id", "pos", count("same").alias("same"), count("del").alias("deleted"), count("ins").alias("inserted"))
 
 
-@query()
+@query(r"""with c as (select doc_id, k, text[k] as c, sum(case text[k] when '(' then 1 when ')' then -1 else 0 end) over w as s from (select doc_id, text, unnest(range(1, length(text) + 1)) as k from documents) window w as (partition by doc_id order by k)),
+d as (select *, s - least(0, min(s) over (partition by doc_id order by k)) as depth from c), e as (select *, coalesce(sum((c = ',' and depth = 0)::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as n from d),
+g as (select doc_id, n, trim(string_agg(case when c = ',' and depth = 0 then '' else c end, '' order by k), ' ' || chr(9) || chr(10) || chr(13)) as entry, max(case when c = ',' and depth = 0 then 0 else least(depth, 1) end) filter (where k = m) as open from (select *, max(k) over (partition by doc_id, n) as m from e) group by 1, 2)
+select doc_id, (row_number() over (partition by doc_id order by n) - 1)::int as pos, open::int as open, entry from g where entry <> ''""")
 def q_declared_entries(spark, sf):
     """Entries of a document's declaration line, here its text cut at commas outside parentheses."""
     ship(spark)
@@ -426,9 +448,17 @@ def q_declared_entries(spark, sf):
     return rows.select("doc_id", "e.pos", "e.open", "e.entry")
 
 
-@query()
+@query(
+    f"with {S.SQL_LINES}, k as (select doc_id, pos, nfc_normalize(line) as line, {S.sql_layer('line')} as norm from lines) select doc_id, pos::int as pos, norm, case when norm <> '' then length(regexp_extract(line, '^({S._SPACE}|[-\u00ad–—])*')) end::int as first, "
+    f"case when norm <> '' then length(line) - length(regexp_extract(line, '({S._SPACE}|[-\u00ad–—])*$')) - 1 end::int as last from k"
+)
 def q_indexed_key(spark, sf):
     """Each line's key with the place of its first and last character in the raw line."""
     ship(spark)
     rows = S.doc_lines(spark, sf).withColumn("k", folds.indexed_key(F.col("line")))
     return rows.select("doc_id", "pos", "k.norm", F.array_min("k.idx").alias("first"), F.array_max("k.idx").alias("last"))
+
+
+@query(f"with {S.SQL_EDITED}, a as (select doc_id, pos // 3 as section, count(*) as document from lines group by 1, 2), b as (select doc_id, section, count(*) as sheet from edited group by 1, 2) select doc_id, section::bigint as section, document, sheet, 'SAYI_FARKLI' as status from a join b using (doc_id, section) where document <> sheet")
+def q_count_differs(spark, sf):
+    return diff.count_differs(S.doc_lines(spark, sf).withColumn("section", F.expr("pos div 3")), S.edited_lines(spark, sf), ["doc_id", "section"])

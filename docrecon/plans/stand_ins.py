@@ -58,12 +58,15 @@ SQL_SUPPLIER = (
 )
 
 
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def sql_squeeze(c: str) -> str:
-    return rf"trim(regexp_replace({c}, '[ \t-\r\x{{a0}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace({c}, '{_SPACE}+', ' ', 'g'))"
 
 
 def sql_tr_lower(c: str) -> str:
-    return f"lower(translate({c}, 'İI', 'iı'))"
+    return f"lower(translate(nfc_normalize({c}), 'İI', 'iı'))"
 
 
 def sql_norm(c: str) -> str:
@@ -71,7 +74,7 @@ def sql_norm(c: str) -> str:
 
 
 def sql_compare_key(c: str) -> str:
-    joined = rf"regexp_replace(replace({c}, chr(173), ''), '-[ \t]*\n[ \t]*', '', 'g')"
+    joined = rf"regexp_replace(replace(nfc_normalize({c}), chr(173), ''), '-[ \t]*\n{_SPACE}*', '', 'g')"
     return sql_squeeze(f"replace({joined}, '-', '')")
 
 
@@ -81,3 +84,25 @@ def sql_form_key(c: str) -> str:
 
 def sql_text_status(a: str, b: str) -> str:
     return f"case when {sql_squeeze(a)} = {sql_squeeze(b)} then 'AYNI' when {sql_form_key(a)} = {sql_form_key(b)} then 'SADECE_BİÇİM_FARKI' else 'METİN_FARKLI' end"
+
+
+def sql_layer(c: str) -> str:
+    bare = f"regexp_replace(regexp_replace(nfc_normalize({c}), '[-\u00ad–—]', '', 'g'), '{_SPACE}+', '', 'g')"
+    quotes = '"' * 5 + "''" * 4
+    return f"translate(lower(translate({bare}, 'İI', 'iı')), '“”„«»‘’ʻ`ı', '{quotes}i')"
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as spans of pages: a source is a document and a text a page on which 50 lines fit one below another. The
+    first line there is a running title and the last the page's number; every 13th line is rotated."""
+    at = F.col("pos") % 50
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    text = F.when(at == 49, F.col("doc_id").cast("string")).when(at == 0, F.concat(F.lit("Page "), F.col("doc_id").cast("string"), F.lit(" of "), F.col("source"))).otherwise(F.col("line"))
+    return rows.select("source", F.col("doc_id").alias("page"), "pos", text.alias("text"), (at * 16.84).alias("y0"), (at * 16.84 + 12).alias("y1"), F.lit(842.0).alias("height"), (F.col("pos") % 13 == 7).alias("rotated"), (F.char_length("line") % 64).alias("color"))
+
+
+SQL_SPANS = (
+    SQL_LINES
+    + ", spans as (select source, doc_id as page, pos, case pos % 50 when 49 then doc_id::varchar when 0 then 'Page ' || doc_id || ' of ' || source else line end as text, "
+    + "(pos % 50) * 16.84::double as y0, (pos % 50) * 16.84::double + 12 as y1, 842.0::double as height, pos % 13 = 7 as rotated, length(line) % 64 as color from lines)"
+)

@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from docrecon.operators import expected, locate, report, schema, segment
+from docrecon.operators import expected, layout, locate, report, schema, segment
 from docrecon.plans import stand_ins as S
 from docrecon.plans.queries import _NAMED, findings, query
-from docrecon.shipping import ship
+from docrecon.shipping import shared_folder, ship
 from docrecon.streaming import ingest
 
 # Label lines: the first two words of a line; units are runs of three lines.
-_LABELS = rf"{S.SQL_LINES}, b as (select source, doc_id * 1000 + pos // 3 as unit, pos, regexp_extract(line, '^\s*(\S+)', 1) as label from lines)"
+_LABELS = rf"{S.SQL_LINES}, b as (select source, doc_id * 100000 + pos // 3 as unit, pos, regexp_extract(line, '^\s*(\S+)', 1) as label from lines)"
 
 
 def _label_lines(spark, sf):
@@ -53,10 +53,22 @@ def q_resolve_labels(spark, sf):
     return schema.resolve_labels(part.select("p_partkey", label.alias("label")), part.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("word")).distinct(), "label", "word")
 
 
-@query("with b as (select user_id % 7 as doc, user_id as unit, event_type as label from events where user_id % 3 <> 0 or event_type <> 'click'), u as (select doc, count(distinct unit) as n from b group by 1) select doc, label as key, count(distinct unit) as units, count(distinct label) as variants, case when count(distinct unit) = n then 'INFO' else 'NEEDS_REVIEW' end as severity from b join u using (doc) group by doc, label, n having count(distinct unit) >= 0.5 * n")
+_UNKNOWN = "b as (select user_id % 7 as doc, user_id as unit, event_id, case when event_id % 50 = 0 then event_type || ' and' when event_id % 61 = 0 then upper(event_type) || '-' when event_id % 53 = 0 then event_type || 's label text' else event_type || ' label text' end as label from events where user_id % 3 <> 0 or event_type <> 'click')"
+
+
+@query(
+    f"""with {_UNKNOWN}, k as (select *, {S.sql_norm("array_to_string(list_filter(regexp_extract_all(lower(label), '[a-z0-9]+'), lambda x: x not in ('and', 've', 'ile')), '')")} as key, {S.sql_norm('label')} as norm from b),
+f as (select doc, key, min(event_id) as seen from k group by 1, 2), n as (select a.doc, a.key, o.key as other, o.seen from f a join f o on o.doc = a.doc and o.seen < a.seen and length(a.key) >= 12 and length(o.key) >= 12 and levenshtein(a.key, o.key) <= 2),
+h as (select n.* from n where not exists (select 1 from n m where m.doc = n.doc and m.key = n.other)), g as (select f.doc, f.key, coalesce(c.other, f.key) as grp from f left join (select doc, key, arg_min(other, seen) as other from h group by 1, 2) c using (doc, key)),
+x as (select k.*, grp from k join g using (doc, key)), u as (select doc, count(distinct unit) as total from b group by 1), c as (select doc, grp, count(distinct unit) as units, total from x join u using (doc) group by doc, grp, total having count(distinct unit) >= greatest(2, ceil(total * 50 / 100))),
+m as (select doc, grp, norm as main from (select doc, grp, norm, row_number() over (partition by doc, grp order by count(*) desc, min(event_id)) as r from x group by 1, 2, 3) where r = 1)
+select doc, 'LABEL_NOT_IN_STRUCTURE' as code, null::bigint as unit, trim(arg_min(label, event_id)) as label, units, case when units = total then 'INFO' else 'NEEDS_REVIEW' end as severity from x join c using (doc, grp) join m using (doc, grp) where norm = main group by doc, grp, units, total
+union all select doc, 'LABEL_TEXT_VARIANT', unit, label, 1, 'NEEDS_REVIEW' from x join c using (doc, grp) join m using (doc, grp) where norm <> main"""
+)
 def q_recurring_unknown(spark, sf):
-    rows = S.table(spark, sf, "events").filter("user_id % 3 <> 0 or event_type <> 'click'").select((F.col("user_id") % 7).alias("doc"), F.col("user_id").alias("unit"), F.col("event_type").alias("label"))
-    return schema.recurring_unknown(rows, "doc", "unit", "label", share=0.5)
+    kind = F.when(F.col("event_id") % 50 == 0, F.concat("event_type", F.lit(" and"))).when(F.col("event_id") % 61 == 0, F.concat(F.upper("event_type"), F.lit("-"))).when(F.col("event_id") % 53 == 0, F.concat("event_type", F.lit("s label text"))).otherwise(F.concat("event_type", F.lit(" label text")))
+    rows = S.table(spark, sf, "events").filter("user_id % 3 <> 0 or event_type <> 'click'").select((F.col("user_id") % 7).alias("doc"), F.col("user_id").alias("unit"), "event_id", kind.alias("label"))
+    return schema.recurring_unknown(rows, "doc", "unit", "event_id", "label", share=0.5)
 
 
 @query(f"with {S.SQL_LINES}, o as (select *, sum((pos % 5 = 0)::int) over (partition by doc_id order by pos) as outer_pos from lines), i as (select *, sum((length(line) % 3 = 0 and pos % 5 <> 0)::int) over (partition by doc_id, outer_pos order by pos) as inner_pos from o) select doc_id, outer_pos::bigint as outer_pos, inner_pos::bigint as inner_pos, string_agg(line, chr(10) order by pos) as text from i group by 1, 2, 3")
@@ -71,11 +83,24 @@ def q_classify_sections(spark, sf):
     return segment.first_section(rows, "doc_id", "section", "pos", F.char_length("line") % 4 == 0)
 
 
-@query()
+@query(f"""with recursive {S.SQL_SPANS}, e as (select page, pos, color, text, row_number() over (partition by page order by pos) as k from spans), r as (select page, k, color as a, 0 as run from e where k = 1
+union all select e.page, e.k, case when abs(e.color - r.a) > 10 then e.color else r.a end, case when abs(e.color - r.a) > 10 then run + 1 else run end from r join e on e.page = r.page and e.k = r.k + 1)
+select page, run, string_agg(text, ' ' order by k) as text from r join e using (page, k) group by page, run""")
 def q_title_runs(spark, sf):
-    """Runs of lines whose colour, here from their length, stays near the run's first."""
-    rows = S.doc_lines(spark, sf).withColumn("color", F.char_length("line") % 64)
-    return segment.title_runs(rows, ["doc_id"], "pos", "color", "line")
+    """Runs of a page's spans whose colour stays near the run's first."""
+    return segment.title_runs(S.spans(spark, sf).select("page", "pos", "color", "text"), ["page"], "pos", "color", "text")
+
+
+@query(
+    rf"""with {S.SQL_SPANS}, m as (select *, regexp_replace(trim(text), '[0-9]+', '#', 'g') as shape, y1 <= height * 0.075 or y0 >= height * 0.925 as edge from spans where trim(text) <> ''),
+z as (select source, count(distinct page) as pages from spans group by 1), s as (select source, 'edge' as kind, shape, count(distinct page) as n from m where edge group by all union all select source, 'tilted', shape, count(distinct page) from m where rotated group by all),
+k as (select s.* from s join z using (source) where n >= 3 and n >= 0.3 * pages)
+select source, page, pos::int as pos, max(why) as why from (select m.source, m.page, m.pos, k.kind as why from m join k on k.source = m.source and k.shape = m.shape and ((k.kind = 'edge' and m.edge) or (k.kind = 'tilted' and m.rotated))
+union all select source, page, pos, 'number' from m where edge and try_cast(trim(text) as bigint) = page and not exists (select 1 from k where k.source = m.source and k.shape = m.shape and k.kind = 'edge')) group by all"""
+)
+def q_furniture(spark, sf):
+    found = layout.furniture(S.spans(spark, sf), "source", "page", "text", "y0", "y1", "height", "rotated")
+    return found.select("source", "page", "pos", "why")
 
 
 _EXPECTED = "u as (select o_orderkey as unit, o_custkey as context, o_orderpriority as name, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place from orders), r as (select unit + 1000000 as exp_row, context, case when unit % 5 = 0 then 'other' else name end as name, case when unit % 7 = 0 then place + 100 else place end as place from u where unit % 11 <> 0)"
@@ -99,16 +124,24 @@ def q_match_expected(spark, sf):
     return expected.match_expected(units, rows, "context", "name", "place", "unit", "exp_row")
 
 
+@query(f"with {_EXPECTED}, a as (select context, name, count(distinct unit) as units from u group by 1, 2), b as (select context, name, count(distinct exp_row) as n from r group by 1, 2) select unit, units, n as \"rows\", 'EXPECTED_ROW_AMBIGUOUS' as code, 'INFO' as severity from u join a using (context, name) join b using (context, name) where units > 1 or n > 1")
+def q_ambiguous_rows(spark, sf):
+    units, rows = _expected(spark, sf)
+    return expected.ambiguous_rows(units, rows, ["context", "name"], "unit", "exp_row")
+
+
 @query(f"with {_MATCHED}, s as (select exp_row from m where exp_row is not null) select exp_row, context, name, place from r anti join s using (exp_row) where context in (select context from r join s using (exp_row))")
 def q_missing_expected(spark, sf):
     units, rows = _expected(spark, sf)
     return expected.missing_units(rows, expected.match_expected(units, rows, "context", "name", "place", "unit", "exp_row"), "context", "exp_row").select("exp_row", "context", "name", "place")
 
 
-@query("select o_orderkey, page, min(x)::double as x0, min(y)::double as y0, max(x + 5)::double as x1, max(y + 2)::double as y1, count(*) as spans from (select l_orderkey as o_orderkey, l_partkey as id from lineitem where l_partkey % 3 <> 0 group by 1, 2) join (select p_partkey as id, p_size % 4 as page, p_retailprice as x, p_partkey % 100 as y from part where p_partkey % 5 <> 0) using (id) group by 1, 2")
+@query("select o_orderkey, page, min(x)::double as x0, min(y)::double as y0, max(x + 5)::double as x1, max(y + 2)::double as y1, count(*) as spans from (select distinct l_orderkey as o_orderkey, case when l_partkey % 5 = 0 then -l_partkey else l_partkey end as id from lineitem) join (select p_partkey as id, p_size % 4 as page, p_retailprice as x, p_partkey % 100 as y from part) using (id) group by 1, 2")
 def q_span_boxes(spark, sf):
-    fields = S.table(spark, sf, "lineitem").filter("l_partkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("ids"))
-    spans = S.table(spark, sf, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("page"), F.col("p_retailprice").alias("x0"), (F.col("p_partkey") % 100).cast("double").alias("y0"), (F.col("p_retailprice") + 5).alias("x1"), (F.col("p_partkey") % 100 + 2).cast("double").alias("y1"))
+    """Every fifth part's id is one that no span has."""
+    named = F.when(F.col("l_partkey") % 5 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    fields = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(named).alias("ids"))
+    spans = S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("page"), F.col("p_retailprice").alias("x0"), (F.col("p_partkey") % 100).cast("double").alias("y0"), (F.col("p_retailprice") + 5).alias("x1"), (F.col("p_partkey") % 100 + 2).cast("double").alias("y1"))
     return locate.span_boxes(fields, spans, "o_orderkey", "ids", "id", "page")
 
 
@@ -143,10 +176,10 @@ def q_wide_grid(spark, sf):
     return report.wide_grid(rows, ["user_id"], "event_type", ["click", "purchase", "view"], F.col("value"))
 
 
-@query("select n_regionkey, '{\"n_regionkey\":' || n_regionkey || ',\"items\":[' || string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' order by n_nationkey) || ']}' as json from nation group by n_regionkey")
+@query("""select o_orderkey, '{"o_orderkey":' || o_orderkey || ',"items":[' || coalesce(string_agg('{"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '"}', ',' order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice), '') || ']}' as json from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
 def q_nested_json(spark, sf):
-    nation = S.table(spark, sf, "nation")
-    return report.nested_json(nation.select("n_regionkey").distinct(), nation.select("n_regionkey", F.col("n_nationkey").alias("place"), "n_nationkey", "n_name"), "n_regionkey", ["place"], ["n_nationkey", "n_name"])
+    items = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct(*S.ITEM_ORDER).alias("place"), "l_partkey", "l_returnflag")
+    return report.nested_json(S.table(spark, sf, "orders").select("o_orderkey"), items, "o_orderkey", ["place"], ["l_partkey", "l_returnflag"])
 
 
 @query("select event_type, date_trunc('day', ts) as start, count(*) as n from events group by 1, 2")
@@ -160,7 +193,7 @@ def q_incremental_ingest(spark, sf):
     import uuid
 
     ship(spark)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     schema_of = S.table(spark, sf, "events").schema
 
     def sink(batch, number):

@@ -1,4 +1,4 @@
-"""Sends this package to the executors, whose Python workers import it."""
+"""What a cluster shares: the folder for written tables, and this package for the executors' Python workers."""
 
 import os
 import tempfile
@@ -20,3 +20,14 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             z.write(source, source.relative_to(package.parent))
     context.addPyFile(str(made))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as the session names it; a folder of our own only on a local master, where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

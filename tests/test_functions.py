@@ -1,4 +1,4 @@
-"""Literal cases of keys, codes and statuses, and scans of one text."""
+"""Literal cases of keys, codes and statuses, and scans of one text. The codes, labels and texts are fixed values."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ def test_keys(spark):
     same = {one(spark, keys.norm_label, x) for x in ("Öğrenme-Öğretme Yaşantıları", "ÖĞRENME ÖĞRETME YAŞANTILARI", "öğrenme (öğretme) yaşantıları")}
     assert len(same) == 1 and one(spark, keys.norm_label, "Değerler") != one(spark, keys.norm_label, "Değerlendirme")
     assert one(spark, keys.tr_lower, "IĞDIR İZMİR") == "ığdır izmir" and one(spark, keys.tr_upper, "ığdır izmir") == "IĞDIR İZMİR"
-    assert one(spark, keys.dehyphen, "(KB2-\n14, OB2)") == "(KB214, OB2)" and one(spark, keys.dehyphen, "sayfa 3.\n4 satır") == "sayfa 3.\n4 satır"
+    assert one(spark, keys.dehyphen, "(KB2.\n14, OB2)") == "(KB2.14, OB2)" and one(spark, keys.dehyphen, "BT-\nYAB3.\n 3 -\nx") == "BTYAB3.3 -\nx" and one(spark, keys.dehyphen, "sayfa 3.\n4 satır") == "sayfa 3.\n4 satır"
     assert one(spark, keys.page_numbers, "12-13, 15") == [12, 13, 15] and one(spark, keys.page_numbers, "12-x") is None
     assert one(spark, keys.without_name_suffix, "Dinleme Becerisi") == "Dinleme" and one(spark, keys.without_name_suffix, "Dinleme") is None
     assert one(spark, keys.label_word_key, "Öğrenme ve Öğretme") == "öğrenmeöğretme" and one(spark, keys.marker_of, " ç) bir") == "ç)"
@@ -81,4 +81,47 @@ def test_folds(spark):
     assert one(spark, folds.word_diff(limit=3), "a b", "c d") is None
     key = one(spark, folds.indexed_key, "İki-üç é")
     assert key.norm == "ikiüçé" and key.idx == [0, 1, 2, 4, 5, 7]
-    assert one(spark, folds.nfc, "é") == "é"
+    key = one(spark, folds.indexed_key, "C\u0327a “x”–y!")
+    assert key.norm == 'ça"x"y!' and key.idx == [0, 1, 3, 4, 5, 7, 8]
+
+
+def test_composed_keys(spark):
+    assert one(spark, keys.norm_label, "C\u0327a") == "ça" and one(spark, keys.compare_key, "C\u0327a-\n \n b") == "Çab" and one(spark, keys.composed, None) is None
+    assert one(spark, keys.tr_upper, "i\u0307") == "İ\u0307" and one(spark, keys.label_tokens, "9. SINIF_I C\u0327a") == ["9", "sinifi", "ça"]
+    assert one(spark, keys.layer_key, "“A-b” c!\u00a0İ") == '"ab"c!i'
+    assert [one(spark, keys.ordinal_token, x) for x in ("12", "iv", "i5", "v.")] == [True, True, False, False]
+
+
+@pytest.mark.parametrize("text", ["(KB2.\n14, OB2)", "BT-\nYAB3.3 x", "plain", "", "a-\n b-\n c", "E1.\n 2.\n3 (", "cm_E1.\n2"])
+def test_dehyphen_places(spark, text):
+    view, places = one(spark, keys.dehyphen, text), one(spark, keys.dehyphen_places, text)
+    assert "".join(text[i] for i in places) == view and places == sorted(places)
+    assert "E1.2.3" in view if text.startswith("E1") else "E1.\n2" in view if "_" in text else True
+
+
+def test_malformed_codes(spark):
+    assert one(spark, lambda c: codes.malformed_codes(c, ["KB", "SDB"]), "KB9,9 (KB2,4, SDB, OB1,2) (KB2.1)") == ["KB2,4", "SDB"]
+    assert one(spark, lambda c: codes.used_codes(c, ["KB"]), "(KB2,4) KB2,4 KB3.1") == ["KB3.1"]
+    assert one(spark, lambda c: codes.used_codes(c, []), "(E1.1) x E1.1 y (cm3, E2)") == ["E1.1", "E2"]
+    assert one(spark, lambda c: codes.used_codes(c, ["D"], "D"), "(D1) (KB2.\n14)") == ["KB2.14"]
+
+
+def test_sentence_note(spark):
+    cases = {"Bu bir uzun cümle olur.": True, "Sayfa on iki üç 4.": False, "Kısa not.": False, "Bu bir uzun cümle olur": False}
+    assert all(one(spark, keys.sentence_note, x) == want for x, want in cases.items())
+
+
+def test_word_diff_is_a_longest_common_subsequence(spark):
+    import random
+
+    draw = random.Random(6)
+    for _ in range(200):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x == y))
+        marks = folds._words(" ".join(a), " ".join(b), 10_000)
+        assert [w for o, w in marks if o != "ins"] == a and [w for o, w in marks if o != "del"] == b
+        assert sum(o == "same" for o, _ in marks) == best[-1][-1]
+        assert all((x, y) != ("ins", "del") for (x, _), (y, _) in zip(marks, marks[1:], strict=False))
