@@ -3,17 +3,9 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docrecon.shipping import ship
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; a folder of our own only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from docrecon.shipping import shared_folder, ship
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -30,6 +22,30 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way and removes once its result is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, new_folder(spark, "scratch")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written; nothing that it was made of is needed any more, and the tables on the way go."""
+        written = keep(df, name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return written
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """df with a broadcast hint if it has no more than max_rows rows, else for an ordinary join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow for functions of this package, which goes to the executors' Python workers first."""
     ship(df.sparkSession)

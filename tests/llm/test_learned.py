@@ -11,7 +11,7 @@ from docrecon.llm import main_text as M
 from docrecon.llm import toxicity as T
 from docrecon.llm.html_blocks import leaf_blocks
 from docrecon.llm.language_id import identify_languages
-from docrecon.llm.quality_classifier import classify_quality, site_posteriors
+from docrecon.llm.quality_classifier import classify_quality, combine_evidence, site_posteriors
 from docrecon.llm.toxicity import toxicity
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -43,14 +43,81 @@ def test_toxicity(docs, labels):
     assert {r.score for r in toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_kneser_ney_sums_to_one():
-    draw = np.random.default_rng(1)
-    before, word = np.repeat(np.arange(2, 12, dtype=np.uint64), 12), np.tile(np.arange(2, 14, dtype=np.uint64), 10)
-    model = T.kneser_ney(before, word, draw.integers(0, 40, 120), draw.integers(0, 40, 120))
-    assert np.isfinite(model.pair_gain).all() and np.isfinite(model.gains(np.array([2, 999, 3], np.uint64))).all()
-    assert model.signals(np.empty(0, np.uint64)) == (0.0, 0.0)
-    alike = T.kneser_ney(before, word, np.full(120, 9), np.full(120, 9))
-    assert np.allclose(alike.pair_gain, 0, atol=1e-6) and np.allclose(alike.word_gain, 0, atol=1e-6) and alike.new_gain == 0
+def plain_kneser_ney(rows, keep_word, keep_pair):
+    """Probability functions of the two classes by dictionaries over rows of (text, label): p(word, before)."""
+    seen = ({}, {})
+    for text, label in rows:
+        words = ["<s>", *(text or "").lower().split()]
+        for pair in {*zip(words, words[1:], strict=False)}:
+            seen[label][pair] = seen[label].get(pair, 0) + 1
+    vocabulary = sorted({w for x in seen for _, w in x})
+    after = [{w: sum(p[1] == w for p in x) for w in vocabulary} for x in seen]
+    both = {w: sum(p[1] == w and p in seen[1] for p in seen[0]) for w in vocabulary}
+    mass = sum(both.values()) + len(vocabulary) + 1
+
+    def discount(counts):
+        one, two = sum(x == 1 for x in counts), sum(x == 2 for x in counts)
+        return min(0.98, max(0.3, one / (one + 2 * two))) if one else 0.5
+
+    def model(k):
+        d, dw = discount(seen[k].values()), discount(after[k].values())
+        kinds = sum(after[k].values())
+        own = {w: max(after[k][w] - dw, 0) / kinds if keep_word(after[1][w], after[0][w]) else 0 for w in vocabulary}
+        rest = 1 - sum(own.values())
+
+        def low(w):
+            return own.get(w, 0) + rest * (both.get(w, -0.0) + 1) / mass
+
+        def p(w, before):
+            context = sum(n for (b, _), n in seen[k].items() if b == before)
+            held = {q: max(seen[k].get(q, 0) - d, 0) / max(1, context) for q in {*seen[0], *seen[1]} if q[0] == before and keep_pair(seen[1].get(q, 0), seen[0].get(q, 0))}
+            return held.get((before, w), 0) + (1 - sum(held.values())) * low(w)
+
+        return p
+
+    return model, vocabulary
+
+
+def test_kneser_ney(spark):
+    """The Spark counts and the arrays give a plain model's probabilities, which add up to one after every context."""
+    import random
+
+    draw = random.Random(4)
+    rows = []
+    for i in range(160):
+        words = [draw.choice("abcdefgh") for _ in range(draw.randint(0, 14))] + (["so", "bad", f"x{i % 40}", "trash"] if i % 2 and draw.random() < 0.7 else ["so", "good"] if draw.random() < 0.7 else [])
+        rows.append((" ".join(words) if i else None, i % 2))
+    c = T.count_classes(spark.createDataFrame(rows, "_text string, _label int").repartition(3))
+
+    def rates(totals):
+        def told(t, o):
+            whole = sum(totals)
+            g = 2 * sum(n * np.log(n / ((t + o) * part / whole)) for n, part in zip((t, o), totals, strict=True) if n)
+            return max(t, o) >= 4 and abs(np.log((t + 0.5) / totals[0]) - np.log((o + 0.5) / totals[1])) >= 0.7 and g >= 12
+
+        return told
+
+    seen = [sum(len({*zip(["<s>", *w], w, strict=False)}) for t, y in rows if y == k for w in [(t or "").split()]) for k in (1, 0)]
+    model, vocabulary = plain_kneser_ney(rows, rates(c.kinds), rates(seen))
+    number = T.Words()
+    name = {number[w]: w for w in vocabulary} | {int(T.START): "<s>"}
+    assert len(c.pairs) and len(c.words)
+    found = T.kneser_ney(c)
+    for k, label in enumerate((1, 0)):
+        p = model(label)
+        pair, word, back, contexts, other = T.class_probabilities(c, k)
+        for key, got in zip(c.pairs.tolist(), pair.tolist(), strict=True):
+            assert got == pytest.approx(p(name[key & 0xFFFFFFFF], name[key >> 32]))
+        for b in ["<s>", *vocabulary, "never"]:
+            assert sum(p(w, b) for w in [*vocabulary, "unknown"]) == pytest.approx(1)
+        assert other == pytest.approx(p("unknown", "never")) and [*word] == pytest.approx([p(name[w], "never") for w in c.words.tolist()])
+    toxic, ordinary = model(1), model(0)
+    for text in ("a so bad b", "so good", "unknown so unknown", "b"):
+        words = text.split()
+        want = [np.log(toxic(w, b) / ordinary(w, b)) for b, w in zip(["<s>", *words], words, strict=False)]
+        assert found.gains(T.word_hashes(text, number)).tolist() == pytest.approx(want, abs=1e-4)
+    assert found.signals(np.empty(0, np.uint64)) == (0.0, 0.0)
+    assert T.count_classes(spark.createDataFrame([("a b", 1), (None, 0)], "_text string, _label int")) is None
 
 
 def test_language(docs):
@@ -88,6 +155,52 @@ def test_quality(docs, labels, spark):
     assert by["bad", "a"].path_posterior < by["tiny", "a"].host_posterior < mean and len(by) == 6
 
 
+def test_site_posteriors_against_plain_sums(spark):
+    """Both levels' posteriors, their weights by the method of moments and the combined odds, from plain sums."""
+    import random
+    from collections import defaultdict
+
+    draw = random.Random(9)
+    bias = {h: draw.gauss(0, 1.5) for h in "abcdef"} | {None: 0.5}
+    rows = [(h, p, bias[h] + (1 if p == "x" else -0.5) + draw.gauss(0, 1)) for _ in range(900) for h in [draw.choice([*"abcdef", None])] for p in [draw.choice(["x", "y", None])]] + [("rare", "x", -4.0)]
+    df = spark.createDataFrame(rows, "h string, p string, _evidence double")
+    sites, mean = site_posteriors(df, F.col("h"), F.col("p"))
+    chance = [(h, p, 1 / (1 + np.exp(-e))) for h, p, e in rows]
+    want_mean = np.mean([c for _, _, c in chance])
+
+    def spread(groups):  # [(n, total, parent)]
+        n = sum(g[0] for g in groups)
+        variance = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+        excess = (sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) - len(groups) * variance) / n
+        return min(1e4, max(1.0, variance / excess - 1)) if excess > 1e-9 else 1e4
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, p, c in chance:
+        hosts[h].append(c)
+        paths[h, p].append(c)
+    weight = spread([(len(v), sum(v), want_mean) for v in hosts.values()])
+    host = {h: (sum(v) + weight * want_mean) / (len(v) + weight) for h, v in hosts.items()}
+    weight = spread([(len(v), sum(v), host[h]) for (h, _), v in paths.items()])
+    path = {k: (sum(v) + weight * host[k[0]]) / (len(v) + weight) for k, v in paths.items()}
+    found = {(r._host, r._path): (r.host_posterior, r.path_posterior) for r in sites.collect()}
+    assert mean == pytest.approx(want_mean) and found.keys() == path.keys()
+    assert all(found[k] == pytest.approx((host[k[0]], path[k])) for k in path)
+    logit = lambda x: np.log(x / (1 - x))
+    edge = lambda x: min(0.999, max(0.001, x))
+    want = sorted(1 / (1 + np.exp(-(e + logit(edge(path[h, p])) - logit(want_mean)))) for h, p, e in rows)
+    for most in (500_000, 3):
+        got = combine_evidence(df, sites, mean, F.col("h"), F.col("p"), max_broadcast_sites=most).select("score", "kept").collect()
+        assert sorted(r.score for r in got) == pytest.approx(want) and all(r.kept == (r.score >= 0.5) for r in got)
+
+
+def test_quality_held_out(spark):
+    """Fitted on labels of even ids, right on those of odd ones."""
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    found = {r.doc_id: r.kept for r in classify_quality(docs, labels.filter("doc_id % 2 = 0")).collect()}
+    held = [(r.quality, found[r.doc_id]) for r in labels.filter("doc_id % 2 = 1 and quality is not null").collect()]
+    assert np.mean([k for q, k in held if q == 1]) > 0.97 and np.mean([not k for q, k in held if q == 0]) > 0.9
+
+
 def test_main_text_field():
     held = M.labelled_pages(120, seed=77)
     model = M.default_model()
@@ -113,6 +226,39 @@ def test_leaf_blocks():
     assert "ad" in leaf_blocks(page)[2].names
 
 
+def test_deep_pages_take_as_long_as_flat_ones():
+    import time
+
+    took = []
+    for page in ("<div>x y</div>" * 50_000, "<div>x y" * 50_000, "<ul><li><ul>" + "<b>" * 50_000 + "<li></li>" * 50_000 + "z"):
+        start = time.perf_counter()
+        blocks = leaf_blocks(page)
+        took.append(time.perf_counter() - start)
+        assert blocks[-1].text == ("z" if "z" in page else "x y")
+    assert max(took[1:]) < 10 * took[0] + 1
+
+
+def styles():
+    """Pages written by hand in other styles than the generator's, with their main text."""
+    first = "The harbour authority said on Tuesday that the new ferry line will open in spring, two years later than planned."
+    second = "Costs rose because the old piers had to be replaced, according to a report that was presented to the council."
+    third = "Travellers can buy tickets from March onwards."
+    yield f"""<html><head><title>Ferry</title></head><body><div id="top-nav"><a href="/">Home</a> <a href="/news">News</a> <a href="/sport">Sport</a></div>
+        <div class="story-body"><h1>Ferry line opens in spring</h1><p class=lead>{first}</p><p>{second}</p><div class="ad-slot">Buy new shoes today!</div><p>{third}</p></div>
+        <div id="sidebar"><h4>Most read</h4><ul><li><a href="/1">Storm warning</a></li><li><a href="/2">Train strike</a></li></ul></div><div class="footer">© 2024 Harbour Post. All rights reserved.</div></body></html>""", ["Ferry line opens in spring", first, second, third]
+    yield f"""<body><header role=banner><h2>My weblog</h2><nav><ul><li><a href=/a>About</a></li><li><a href=/b>Archive</a></li></ul></nav></header>
+        <main><article><h1>On ferries</h1><p>{first}<p>{second}<blockquote>{third}</blockquote></article><section id=comments><h3>3 comments</h3><p>Great post, thank you for writing about this!</p><p>I disagree with the part on the costs.</p></section></main>
+        <footer><p>Powered by a small server.</p></footer></body>""", ["On ferries", first, second, third]
+    yield f"""<body><div class="cookie-banner"><p>We use cookies to improve your visit to this site.</p><button>Accept</button></div><div class="wrapper"><form class="search"><label>Search</label><input></form>
+        <div class="content"><h1>Ferry</h1><p>{first}</p><ul><li>{second}</li><li>{third}</li></ul></div></div><aside class="related"><p>You may also like our other stories about ships.</p></aside></body>""", ["Ferry", first, second, third]
+
+
+@pytest.mark.parametrize("k", range(3))
+def test_pages_of_other_styles(k):
+    page, want = [*styles()][k]
+    assert M.page_text(page, M.default_model()).split("\n") == want
+
+
 def test_main_text(spark):
     paragraphs = [f"This is paragraph number {i} of the article, and it says something." for i in range(60)]
     article = "<article><h1>A title here</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article>"
