@@ -2,8 +2,12 @@
 
 Frequent words, counted over all documents, are compiled into an automaton whose equal endings are one state. An edge
 carries a byte, a target and an output; the outputs along a word add up to its number, and the number leads to its ids.
-The file is shipped to the executors and memory-mapped there, so the workers of a machine share its pages. A word that
-the lexicon lacks is merged exactly by the vocabulary's ranks. The lexicon's size is max_words, whatever the corpus.
+The file is shipped to the executors and memory-mapped there, so the workers of a machine share its pages. The distinct
+words of a block of texts walk the automaton together, a byte of all of them at a time. A word that the lexicon lacks is
+merged exactly by the vocabulary's ranks. The lexicon's size is max_words, whatever the corpus.
+
+Texts of any script are cut into words; where the cut depends on the Unicode version, the library's own normalizer and
+cut are asked for the words, and only texts that hold a special token of the vocabulary are encoded by it as a whole.
 """
 
 import mmap
@@ -11,17 +15,19 @@ import os
 import re
 import struct
 import tempfile
-from bisect import bisect_left
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm.storage import keep, map_batches
-from docrecon.llm.tokens import SIMPLE, WORD_PIECES, Pieces, byte_alphabet, special_tokens
+from docrecon.llm.tokens import WORD_PIECES, Pieces, byte_alphabet, cutter, special_tokens
 
-HEADER = struct.Struct("<8sIII")
-MAGIC = b"DAWGBPE1"
+HEADER = struct.Struct("<8sIIII")
+MAGIC = b"DAWGBPE2"
+#: States that an edge's key (state * 256 + byte, 32 bits) can name.
+MAX_STATES = 1 << 24
 
 
 class Merger:
@@ -68,71 +74,94 @@ def build_lexicon(entries: dict[str, list[int]]) -> bytes:
         last = word
     settle(0)
     root = len(states)
+    if root >= MAX_STATES:
+        raise ValueError(f"a lexicon of {len(words)} words needs {root} states; {MAX_STATES} is the limit")
     states.append((path[0][0][0], path[0][1]))
     # How many words a state leads to; targets come before their sources, the root last.
     reach = [0] * len(states)
-    first, edges_out = [0], []
+    edges_out = []
     finals = np.zeros(len(states), "<u1")
     for i, (final, edges) in enumerate(states):
         total = int(final)
         finals[i] = final
         for byte, target in edges:
-            edges_out.append((byte, target, total))
+            edges_out.append((i << 8 | byte, target, total))
             total += reach[target]
         reach[i] = total
-        first.append(len(edges_out))
     starts = np.cumsum([0, *(len(ids) for _, ids in words)]).astype("<u4")
     flat = np.array([i for _, ids in words for i in ids], "<u4")
-    head = HEADER.pack(MAGIC, root, len(edges_out), len(words))
-    labels, targets, outputs = np.array(edges_out, "<u4").reshape(-1, 3).T
-    return head + np.array(first, "<u4").tobytes() + targets.tobytes() + outputs.tobytes() + starts.tobytes() + flat.tobytes() + labels.astype("u1").tobytes() + finals.tobytes()
+    head = HEADER.pack(MAGIC, root, len(edges_out), len(words), max((len(w) for w, _ in words), default=0))
+    keys, targets, outputs = np.array(edges_out, "<u4").reshape(-1, 3).T
+    return head + keys.tobytes() + targets.tobytes() + outputs.tobytes() + starts.tobytes() + flat.tobytes() + finals.tobytes()
 
 
 class Lexicon:
-    """A memory-mapped transducer: ids of a word, or None if it has no such word."""
+    """A memory-mapped transducer from words to their numbers, and the ids of a number."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        magic, self.root, n_edges, n_words = HEADER.unpack_from(self.data)
+        magic, self.root, n_edges, self.n_words, self.longest = HEADER.unpack_from(self.data)
         if magic != MAGIC:
             raise ValueError(f"{path} is not a lexicon")
         at = HEADER.size
 
-        def view(kind: str, n: int) -> memoryview:
+        def view(kind: str, n: int) -> np.ndarray:
             nonlocal at
-            found = memoryview(self.data)[at : at + n * struct.calcsize(kind)].cast(kind)
+            found = np.frombuffer(self.data, kind, n, at)
             at += found.nbytes
             return found
 
-        self.first, self.targets, self.outputs = view("I", self.root + 2), view("I", n_edges), view("I", n_edges)
-        self.starts = view("I", n_words + 1)
-        self.ids = view("I", self.starts[n_words])
-        self.bytes, self.finals = view("B", n_edges), view("B", self.root + 1)
+        self.keys, self.targets, self.outputs = view("<u4", n_edges), view("<u4", n_edges), view("<u4", n_edges)
+        self.starts = view("<u4", self.n_words + 1)
+        self.ids = view("<u4", int(self.starts[-1]))
+        self.finals = view("<u1", self.root + 1)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 where the lexicon lacks it."""
+        raw = [w.encode("utf-8") for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(raw), np.uint8)
+        state, number = np.full(len(raw), self.root, np.uint32), np.zeros(len(raw), np.int64)
+        number[(length > self.longest) | (length == 0)] = -1
+        walking = np.flatnonzero(number >= 0)
+        for k in range(self.longest if len(self.keys) else 0):
+            walking = walking[length[walking] > k]
+            if not len(walking):
+                break
+            key = state[walking] << np.uint32(8) | flat[start[walking] + k]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            goes = self.keys[edge] == key
+            number[walking[~goes]] = -1
+            walking, edge = walking[goes], edge[goes]
+            state[walking] = self.targets[edge]
+            number[walking] += self.outputs[edge]
+        number[self.finals[state] == 0] = -1
+        return number
+
+    def ids_of(self, number: int) -> list[int]:
+        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
     def __call__(self, word: str) -> list[int] | None:
-        state, number, first, labels = self.root, 0, self.first, self.bytes
-        for byte in word.encode("utf-8"):
-            high = first[state + 1]
-            at = bisect_left(labels, byte, first[state], high)
-            if at == high or labels[at] != byte:
-                return None
-            number += self.outputs[at]
-            state = self.targets[at]
-        if not self.finals[state]:
-            return None
-        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
+        number = int(self.numbers([word])[0])
+        return None if number < 0 else self.ids_of(number)
+
 
+def word_cutter(tokenizer_path: str):
+    """text -> words as the vocabulary normalizes and cuts it, or None if the text holds a special token."""
+    from tokenizers import Tokenizer
 
-def cutter(tokenizer_path: str):
-    """text -> words as the vocabulary normalizes and cuts it, or None where the library has to do it (see tokens.py)."""
-    specials = special_tokens(tokenizer_path)
-    cut, odd = re.compile(WORD_PIECES).findall, re.compile(f"[^{SIMPLE}]").search
+    library, specials, cut = Tokenizer.from_file(tokenizer_path), special_tokens(tokenizer_path), cutter(WORD_PIECES, lower=True)
+    bytes_of = {ord(c): chr(b) for b, c in byte_alphabet().items()}
 
     def words(text: str) -> list[str] | None:
-        if odd(text) or any(s in text for s in specials):
+        if any(s in text for s in specials):
             return None
-        return cut(text.lower())
+        found = cut(text)
+        if found is None:
+            normal = library.normalizer.normalize_str(text)
+            found = [w.translate(bytes_of).encode("latin-1").decode("utf-8") for w, _ in library.pre_tokenizer.pre_tokenize_str(normal)]
+        return found
 
     return words
 
@@ -146,7 +175,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max
 
         import pyarrow as pa
 
-        words = cutter(tokenizer_path)
+        words = word_cutter(tokenizer_path)
         seen: Counter = Counter()
 
         def rows():
@@ -157,7 +186,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max
         for batch in batches:
             for content in batch.column("_text").to_pylist():
                 seen.update(words(content or "") or ())
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     yield rows()
         yield rows()
 
@@ -184,9 +213,12 @@ def ship_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", max_w
     return os.path.basename(f.name)
 
 
-def encoder(tokenizer_path: str, lexicon: Lexicon | None, max_pieces: int = 600_000):
-    """text -> list of (ids of a word) as what `made` gives for each word; see bpe_encode."""
-    merge, words = Merger(tokenizer_path), cutter(tokenizer_path)
+def encoder(tokenizer_path: str, lexicon: Lexicon | None, max_pieces: int = 100_000, block_chars: int = 1 << 20):
+    """texts -> per text (number of ids, ids joined by one space, decoded text), a block of texts at a time.
+
+    Kept between blocks are the lexicon's words once met, and max_pieces of the words that it lacks.
+    """
+    merge, words = Merger(tokenizer_path), word_cutter(tokenizer_path)
     names = {i: (f" {i}", f" {t}") for i, t in merge.tokens.items()}
 
     def written(ids: list[int]) -> tuple[int, str, str]:
@@ -195,20 +227,41 @@ def encoder(tokenizer_path: str, lexicon: Lexicon | None, max_pieces: int = 600_
         numbers, tokens = zip(*[names[i] for i in ids], strict=True) if ids else ((), ())
         return len(ids), "".join(numbers), "".join(tokens)
 
-    def one(word: str) -> tuple[int, str, str]:
-        found = lexicon(word) if lexicon else None
-        return written(merge(word) if found is None else found)
-
-    pieces = Pieces(one, max_pieces)
-
-    def encode(text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids joined by one space, decoded text)"""
-        cut = words(text or "")
-        parts = [written(merge.library.encode(text, add_special_tokens=False).ids)] if cut is None else [*map(pieces.__getitem__, cut)]
-        if not parts:
-            return 0, "", ""
-        numbers, ids, tokens = zip(*parts, strict=True)
-        return sum(numbers), "".join(ids)[1:], "".join(tokens)[1:]
+    unseen = Pieces(lambda word: written(merge(word)), max_pieces)
+    met: list[tuple[int, str, str] | None] = [None] * (lexicon.n_words if lexicon else 0)
+
+    def look_up(distinct: list[str]) -> dict[str, tuple[int, str, str]]:
+        found = {}
+        numbers = lexicon.numbers(distinct).tolist() if lexicon else [-1] * len(distinct)
+        for word, number in zip(distinct, numbers, strict=True):
+            if number < 0:
+                found[word] = unseen[word]
+            else:
+                if met[number] is None:
+                    met[number] = written(lexicon.ids_of(number))
+                found[word] = met[number]
+        return found
+
+    def rows(block: list[str]):
+        cuts = [words(t) for t in block]
+        get = look_up(list(dict.fromkeys(chain.from_iterable(c for c in cuts if c)))).__getitem__
+        for text, cut in zip(block, cuts, strict=True):
+            parts = [written(merge.library.encode(text, add_special_tokens=False).ids)] if cut is None else [*map(get, cut)]
+            if parts:
+                numbers, ids, tokens = zip(*parts, strict=True)
+                yield sum(numbers), "".join(ids)[1:], "".join(tokens)[1:]
+            else:
+                yield 0, "", ""
+
+    def encode(texts):
+        block, size = [], 0
+        for text in texts:
+            block.append(text or "")
+            size += len(block[-1])
+            if size >= block_chars:
+                yield from rows(block)
+                block, size = [], 0
+        yield from rows(block)
 
     return encode
 
@@ -231,8 +284,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
         encode = encoder(tokenizer_path, Lexicon(SparkFiles.get(name)))
         for batch in batches:
             rows = []
-            for content in batch.column("_text").to_pylist():
-                n, ids, decoded = encode(content)
+            for n, ids, decoded in encode(x.as_py() for x in batch.column("_text")):
                 digests = n, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
                 rows.append((*digests, [int(i) for i in ids.split()], decoded) if with_ids else digests)
             columns = [*zip(*rows, strict=True)] if rows else [()] * len(kinds)

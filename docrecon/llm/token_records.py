@@ -15,6 +15,7 @@ pyarrow opens.
 import struct
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from docrecon.llm.storage import keep, map_batches, new_folder
 from docrecon.llm.tokens import byte_encoder, pack
 
 MASK = 0xA282EAD8
+#: Of text in a range of ids, so that a task's share does not grow with the corpus; and files that a reading task takes.
+RANGE_BYTES, FILES_PER_TASK = 256 << 20, 4
 FRAME, HEAD = struct.Struct("<QI"), struct.Struct("<?qB")
 SCAN = "file string, place long, doc_id long, n_tokens long, ids_crc32 long"
 FETCH = "file string, offset long, doc_id long, ids array<long>"
@@ -120,7 +123,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             finish()
 
     chosen = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    ordered = chosen.repartitionByRange(shards(docs), "_id").sortWithinPartitions("_id", "_text")
+    size = chosen.agg(F.sum(F.octet_length("_text"))).head()[0] or 0
+    ordered = chosen.repartitionByRange(shards(docs, size / RANGE_BYTES), "_id").sortWithinPartitions("_id", "_text")
     map_batches(ordered, run, INDEX).write.parquet(f"{folder}/index")
     return read_index(docs.sparkSession, folder)
 
@@ -135,9 +139,9 @@ def batch_of(rows: list[tuple], schema: str):
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def shards(docs: DataFrame) -> int:
-    """Ranges to deal documents into: as many as the session gives a shuffle."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shards(df: DataFrame, least: float) -> int:
+    """Parts to deal rows into: as many as the session gives a shuffle, and more where the data needs them."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(least))
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +163,7 @@ def scan_records(spark: SparkSession, folder: str) -> DataFrame:
                 yield batch_of(rows, SCAN)
 
     files = read_index(spark, folder).filter("place = 0").select("file")
-    return map_batches(files.repartition(shards(files), "file"), run, SCAN)
+    return map_batches(files.repartition(shards(files, files.count() / FILES_PER_TASK), "file"), run, SCAN)
 
 
 def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
@@ -185,7 +189,8 @@ def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFr
 def record_starts(records: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Adds start, the tokens of all records before, and returns id, start, n_tokens, ids_crc32.
 
-    Sums run within a file, and over one row per file for what stands before it.
+    Sums run within a file, and over one row per file (of file_bytes each) for what stands before it, which is the one step
+    that is a single task.
     """
     totals = records.groupBy("file").agg(F.sum("n_tokens").alias("_total"))
     before = totals.select(F.col("file"), (F.sum("_total").over(Window.orderBy("file")) - F.col("_total")).alias("_before"))

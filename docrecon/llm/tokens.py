@@ -1,17 +1,20 @@
 """Helpers inside tasks: texts to token ids, a word at a time, as the installed tokenizers library gives them.
 
 Both tokenizers cut a text into short pieces before they merge, and the ids of a piece depend on that piece alone. So a
-task keeps the ids of the pieces that it has met and joins them. Texts with a character outside SIMPLE, or with a special
-token of the vocabulary, are left to the library as a whole: there the cut could differ with the Unicode version.
+task keeps the ids of the pieces that it has met and joins them. Texts with a character outside SIMPLE are cut by the
+library, as the cut could differ with the Unicode version there; those with a special token of the vocabulary are left to
+it as a whole.
 """
 
 import array
 import json
 import re
+from functools import lru_cache
 
-# How the two vocabularies cut a text, in terms that mean the same for the characters in SIMPLE.
-BYTE_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+# How the two vocabularies cut a text, in terms that mean the same for the characters in SIMPLE, and under
+# re.ASCII for those of ASCII.
+BYTE_PIECES = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+WORD_PIECES = r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+"
 #: Characters whose class, case and normal form no Unicode version has changed; no digits or numbers but 0-9.
 SIMPLE = "\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ſ‐-‧‰-›€™"
 
@@ -49,8 +52,24 @@ def special_tokens(tokenizer_path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
+def cutter(pieces: str, *, lower: bool = False):
+    """text -> its pieces by the pattern, in lower case on demand, or None where it has a character outside both SIMPLE
+    and ASCII."""
+    ascii_cut, cut, odd = re.compile(pieces, re.ASCII).findall, re.compile(pieces).findall, re.compile(f"[^{SIMPLE}]").search
+
+    def run(text: str) -> list[str] | None:
+        plain = text.isascii()
+        if not plain and odd(text):
+            return None
+        return (ascii_cut if plain else cut)(text.lower() if lower else text)
+
+    return run
+
+
+@lru_cache(1)
 def byte_encoder(tokenizer_path: str, max_pieces: int = 800_000):
-    """text -> packed ids under a byte-level vocabulary; None is as the empty text."""
+    """text -> packed ids under a byte-level vocabulary; None is as the empty text. A worker keeps the last one, so its
+    later tasks know the pieces of its earlier ones."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path)
@@ -62,13 +81,14 @@ def byte_encoder(tokenizer_path: str, max_pieces: int = 800_000):
     def merged(piece: str) -> bytes:
         return pack([t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))])
 
-    cut, odd, get = re.compile(BYTE_PIECES).findall, re.compile(f"[^{SIMPLE}]").search, Pieces(merged, max_pieces).__getitem__
+    cut, get = cutter(BYTE_PIECES), Pieces(merged, max_pieces).__getitem__
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if odd(text) or any(s in text for s in specials):
+        pieces = None if any(s in text for s in specials) else cut(text)
+        if pieces is None:
             return pack(library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(get, cut(text)))
+        return b"".join(map(get, pieces))
 
     return encode

@@ -56,16 +56,15 @@ def test_lexicon(tmp_path):
     (tmp_path / "l").write_bytes(data := B.build_lexicon(words))
     found = B.Lexicon(str(tmp_path / "l"))
     assert all(found(w) == ids for w, ids in words.items()) and found("zz") is None and found("") is None and found("aaaaaaaaa") is None
+    assert found.numbers([*words, "zz", ""]).tolist() == [*(sorted(words, key=str.encode).index(w) if w else -1 for w in words), -1, -1]
     # minimal: no two states accept the same endings
-    states = found.root + 1
-
-    def endings(s):
-        return (bool(found.finals[s]), tuple((int(found.bytes[e]), endings_of[int(found.targets[e])]) for e in range(int(found.first[s]), int(found.first[s + 1]))))
-
-    endings_of = {}
+    states, edges = found.root + 1, {}
+    for key, target in zip(found.keys.tolist(), found.targets.tolist(), strict=True):
+        edges.setdefault(key >> 8, []).append((key & 255, target))
+    endings = {}
     for s in range(states):
-        endings_of[s] = hash(endings(s))
-    assert len({*endings_of.values()}) == states
+        endings[s] = hash((bool(found.finals[s]), tuple((b, endings[t]) for b, t in edges.get(s, ()))))
+    assert len({*endings.values()}) == states
     assert len(data) < sum(len(w.encode()) for w in words) * 20
     (tmp_path / "e").write_bytes(B.build_lexicon({}))
     assert B.Lexicon(str(tmp_path / "e"))("a") is None
@@ -105,3 +104,19 @@ def test_frames_refuse_damage():
 def test_byte_encoder():
     library, encode = Tokenizer.from_file(BYTES), byte_encoder(BYTES, max_pieces=10)
     assert all(encode(t) == pack(library.encode(t or "", add_special_tokens=False).ids) for t in texts())
+
+
+def test_automaton_answers():
+    """Words of the lexicon come from the automaton in every block, those of other scripts among them; others are merged."""
+    entries = {w: [i] for i, w in enumerate(["the", "слово", "字", "été"])}
+    import tempfile
+
+    with tempfile.NamedTemporaryFile(suffix=".bin") as f:
+        f.write(B.build_lexicon(entries))
+        f.flush()
+        lexicon = B.Lexicon(f.name)
+    asked, numbers = [], lexicon.numbers
+    lexicon.numbers = lambda words: asked.append(words) or numbers(words)
+    encode = B.encoder(WORDS, lexicon, block_chars=12)
+    assert [ids for _, ids, _ in encode(["The слово", None, "字 the", "ÉTÉ 字"])] == ["0 1", "", "2 0", "3 2"]
+    assert asked == [["the", "слово", "字"], ["été", "字"]]
