@@ -1,6 +1,7 @@
 """License scan as an exact set-similarity join, in DataFrame functions alone.
 
-Every text block that holds at least a given share of a template's distinct words gets the template's label. Template
+Every text block that holds at least a given share of a template's distinct words gets the template's label, if the
+words that name the licence stand in it in a row: notices of two licences may differ in these alone. Template
 words are put in one global order, rarest in all documents first. A document can hold enough of a template only if it
 has one of the first m - c + 1 of its m words in that order (c: how many are needed), so a join on those few words
 finds every candidate. Length and positional filters follow, and each remaining block is counted exactly.
@@ -22,20 +23,21 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Notices of public licences, as they are written in practice.
+# Notices of public licences, as they are written in practice: label, the words in a row that name the
+# licence and that a match must have, and the notice.
 TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit", "the mit license", "Released under the MIT License."),
+    ("apache-2", "apache license", "Licensed under the Apache License, Version 2.0."),
+    ("cc-by-nc", "by nc", "Licensed under CC BY-NC 4.0."),
+    ("gpl", "gnu general public license", "This work is licensed under the GNU General Public License, version 3."),
+    ("mit", "permission is hereby granted", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("apache-2", "apache license", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("gpl", "gnu general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", "source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("mpl-2", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("isc", "permission to use", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("cc-by-nc", "attribution noncommercial 4 0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by", "attribution 4 0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
 
@@ -44,8 +46,8 @@ def _words(text: str) -> list[str]:
 
 
 def template_rows(templates, threshold: float, max_template_words: int = 5000) -> list[dict]:
-    """Templates as their distinct words, their length, and how many distinct words a block needs."""
-    found = [{"template": i, "label": label, "words": list(dict.fromkeys(_words(text))), "length": len(_words(text))} for i, (label, text) in enumerate(templates)]
+    """Templates as their distinct words, their length, the naming words, and how many distinct words a block needs."""
+    found = [{"template": i, "label": label, "name": f" {' '.join(_words(name))} ", "words": list(dict.fromkeys(_words(text))), "length": len(_words(text))} for i, (label, name, text) in enumerate(templates)]
     found = [t | {"need": ceil(round(threshold * len(t["words"]), 9))} for t in found if t["words"]]
     if (total := sum(len(t["words"]) for t in found)) > max_template_words:
         raise ValueError(f"{total} template words; max_template_words is {max_template_words}")
@@ -77,17 +79,19 @@ def template_labels(words: DataFrame, templates=TEMPLATES, threshold: float = 0.
     rank = {w: (0, w) for w in lexicon} | {r["w"]: (r["n"], r["w"]) for r in words.select(F.explode(known).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     for t in chosen:
         t["words"].sort(key=rank.get)
-    prefix = [(w, t["template"], i, t["words"], t["need"], t["length"], t["label"]) for t in chosen for i, w in enumerate(t["words"][: len(t["words"]) - t["need"] + 1])]
+    prefix = [(w, t["template"], i, t["words"], t["need"], t["length"], t["label"], t["name"]) for t in chosen for i, w in enumerate(t["words"][: len(t["words"]) - t["need"] + 1])]
     rare = sorted({x[0] for x in prefix})
-    table = spark.createDataFrame(prefix, "w string, template int, place int, t_words array<string>, need int, length int, label string")
+    table = spark.createDataFrame(prefix, "w string, template int, place int, t_words array<string>, need int, length int, label string, name string")
     rows = words.withColumn("_known", known).filter((F.size("_known") >= least) & F.arrays_overlap("_known", F.lit(rare)))
     hits = rows.withColumn("w", F.explode(F.array_intersect("_known", F.lit(rare)))).join(F.broadcast(table), "w")
     # length filter, then positional filter: what can still follow the place of the shared word
     hits = hits.filter((F.size("_known") >= F.col("need")) & (F.size("t_words") - F.col("place") + F.size(F.array_intersect("_known", F.expr("slice(t_words, 1, place)"))) >= F.col("need")))
     # the first shared word of a template stands for the others: no pair is verified twice
     hits = hits.filter(F.expr("not arrays_overlap(_known, slice(t_words, 1, place))"))
-    shares = F.expr("array_max(transform(sequence(0, greatest(size(_words) - length - 1, 0), length), i -> size(array_intersect(t_words, slice(_words, i + 1, 2 * length)))))")
-    verified = hits.withColumn("_shared", shares).filter(F.col("_shared") >= F.col("need"))
+    hits = hits.filter("contains(concat(' ', array_join(_words, ' '), ' '), name)")
+    blocks = hits.withColumn("_blocks", F.expr("transform(sequence(0, greatest(size(_words) - length - 1, 0), length), i -> slice(_words, i + 1, 2 * length))"))
+    shares = F.expr("array_max(transform(_blocks, b -> if(contains(concat(' ', array_join(b, ' '), ' '), name), size(array_intersect(t_words, b)), 0)))")
+    verified = blocks.withColumn("_shared", shares).filter(F.col("_shared") >= F.col("need"))
     return verified.groupBy("_id", "_hash").agg(F.collect_set("label").alias("_labels"), F.max(F.col("_shared") / F.size("t_words")).alias("_share"))
 
 

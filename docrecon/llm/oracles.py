@@ -1,6 +1,6 @@
 """SQL that gives the rows of those queries that SQL can express, for DuckDB over the same tables."""
 
-from docrecon.llm.license_scan import PHRASES, TEMPLATES, template_rows
+from docrecon.llm.license_scan import PHRASES, TEMPLATES
 from docrecon.llm.quality_rules import BOILERPLATE, LineRules
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -29,15 +29,15 @@ def license_scan(threshold: float = 0.8) -> str:
         f"select doc_id, '{label}' as label, unnest(list_filter(range(0, len(w) - {n - 1}), lambda i: w[i + 1:i + {n}] = {phrase.split()})) as place from w where len(w) >= {n}"
         for phrase, label in PHRASES.items() for n in [len(phrase.split())]
     )
-    blocks = " union all ".join(
-        f"select doc_id, '{t['label']}' as label, {len(t['words'])} as m, {t['need']} as need, max(len(list_intersect({t['words']}, w[i + 1:i + {2 * t['length']}]))) as shared "
-        f"from (select doc_id, w, unnest(range(0, greatest(len(w) - {t['length']}, 1), {t['length']})) as i from w) group by doc_id"
-        for t in template_rows(TEMPLATES, threshold)
-    )
+    notices = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in t)) for t in TEMPLATES)
     return f"""
 with w as (select doc_id, {_PLAIN.format("text")} as w from documents),
 h as ({hits}),
-t as (select doc_id, label, shared / m as share from ({blocks}) where shared >= need),
+n as (select label, ' ' || name || ' ' as name, {_PLAIN.format("text")} as t from (values {notices}) as v(label, name, text)),
+k as (select *, len(list_distinct(t)) as m, len(t) as size from n),
+x as (select doc_id, k.*, unnest(range(0, greatest(len(w) - size, 1), size)) as i, w from w, k),
+y as (select doc_id, label, m, len(list_intersect(list_distinct(t), w[i + 1:i + 2 * size])) as shared from x where contains(' ' || array_to_string(w[i + 1:i + 2 * size], ' ') || ' ', name)),
+t as (select doc_id, label, max(shared / m) as share from y where shared >= {threshold} * m - 1e-9 group by doc_id, label, m),
 b as (select doc_id, count(*) as n, min(place) as lo, max(place) as hi, string_agg(distinct label, ',' order by label) as labels from h group by doc_id),
 a as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from h union all select doc_id, label from t) group by doc_id),
 s as (select doc_id, max(share) as share from t group by doc_id)

@@ -9,7 +9,7 @@ from conftest import same_rows
 
 from docrecon.llm import queries
 from docrecon.llm.decontamination import decontaminate
-from docrecon.llm.license_scan import license_scan
+from docrecon.llm.license_scan import TEMPLATES, license_scan
 from docrecon.llm.quality_rules import LineRules, quality_rules
 
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -87,6 +87,24 @@ def test_license_scan(docs, spark):
     assert license_scan(docs.limit(0)).collect() == [] and license_scan(docs, templates=()).count() == docs.count()
 
 
+def test_license_names(spark):
+    """A notice of one licence never gets the label of another, whole or in a longer text, nor do notices without template."""
+    others = {
+        "Released under the Apache License.": "", "Released under the GPL License, version 3.": "", "Licensed under CC BY 4.0.": "", "Licensed under CC BY-SA 4.0.": "",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "",
+    }
+    wanted = [(text, label) for label, _, text in TEMPLATES] + list(others.items())
+    filler = "some other words of a text " * 9
+    rows = [(i, text) for i, (text, _) in enumerate(wanted)] + [(1000 + i, f"{filler}{text} {filler}") for i, (text, _) in enumerate(wanted)]
+    found = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (_, label) in enumerate(wanted):
+        assert found[i] == found[1000 + i] == label
+    two = " ".join(text for label, _, text in TEMPLATES if label.startswith("cc-by") and "Creative" in text)
+    assert [r.labels for r in license_scan(spark.createDataFrame([(1, two)], "doc_id long, text string")).collect()] == ["cc-by,cc-by-nc"]
+
+
 def test_decontamination(docs, spark):
     draw = random.Random(5)
     source = [t for t in texts() if t and 12 < len(t.split()) < 100]
