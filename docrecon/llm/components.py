@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from docrecon.llm.storage import keep
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 60, keep=keep) -> DataFrame:
     """links(a, b) -> (_node, _component), the smallest node that each linked node reaches; ends of links alone are listed.
 
     A large star hangs each node's larger neighbours on its smallest one, a small star its smaller ones; both keep what
     is connected, and their rounds end, after about log n of them, when each component is one star. Each round is a
     grouping with map-side minima and an equi-join, written to the shared folder. Self-links and repeats are harmless;
-    links with a null end are none.
+    links with a null end are none. keep(df, name) writes a round's table.
     """
     edges = keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _digest(edges)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm.components import connected_components
-from docrecon.llm.storage import keep, map_batches
+from docrecon.llm.storage import Scratch, broadcast_if_small, map_batches
 
 MANTISSA_BITS, ROWS = 10, 6
 #: Chance that registers of different smallest hashes are equal, for sets of like size: 0.1699 / 2^mantissa bits.
@@ -39,13 +39,15 @@ COLLISION = 0.169919487159739 / (1 << MANTISSA_BITS)
 class Similarity:
     """words: in a shingle. percent: least 100 * intersection / union. bands: of six registers each. margin: how far
     below the threshold an estimate may lie (at 0.8 and 252 registers one deviation is 0.025). few: members of a group
-    that are compared directly once the centre has met them; larger groups are met by prefix, with the same links."""
+    that are compared directly once the centre has met them; larger groups are met by prefix, with the same links.
+    max_broadcast: ids of documents whose sets are needed that are broadcast; more are joined in the ordinary way."""
 
     words: int = 5
     percent: int = 80
     bands: int = 42
     margin: float = 0.25
     few: int = 16
+    max_broadcast: int = 2_000_000
 
     @property
     def buckets(self) -> int:
@@ -112,16 +114,8 @@ def registers(least: np.ndarray) -> np.ndarray:
     return ((np.minimum(zeros, np.uint64(63)) << np.uint64(MANTISSA_BITS)) | (shifted >> np.uint64(64 - MANTISSA_BITS))).astype("<u2")
 
 
-def _band_keys(marks: np.ndarray) -> np.ndarray:
-    """Rows of ROWS registers as one 64-bit key each."""
-    made = np.zeros(len(marks), np.uint64)
-    for i in range(ROWS):
-        made = made * np.uint64(0x9E3779B97F4A7C15) + marks[:, i].astype(np.uint64)
-    return _mix(made).view(np.int64)
-
-
 def signatures(docs: DataFrame, how: Similarity, id_column: str, text: str) -> DataFrame:
-    """Per document: _id, _class (digest of its set, null if that is empty), _size and _bands (keys of its bands)."""
+    """Per document: _id, _class (digest of its set, null if that is empty), _size and _registers (2 bytes each)."""
 
     def run(batches):
         import pyarrow as pa
@@ -129,18 +123,22 @@ def signatures(docs: DataFrame, how: Similarity, id_column: str, text: str) -> D
 
         known = _Words()
         for batch in batches:
-            classes, sizes, least = [], [], []
-            for content in batch.column("_text").to_pylist():
-                hashes = shingle_hashes(content, how.words, known)
+            classes, sizes, marks = [], [], []
+            for content in batch.column("_text"):
+                hashes = shingle_hashes(content.as_py(), how.words, known)
                 sizes.append(len(hashes))
                 classes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-                least.append(bucket_minima(hashes, how.buckets))
-            bands = _band_keys(registers(np.array(least)).reshape(-1, ROWS)) if least else np.empty(0, np.int64)
-            offsets = np.arange(0, len(bands) + 1, how.bands, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, bands)], ["_id", "_class", "_size", "_bands"])
+                marks.append(registers(bucket_minima(hashes, how.buckets)).tobytes() if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["_id", "_class", "_size", "_registers"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return map_batches(chosen, run, "_id long, _class binary, _size long, _bands array<long>")
+    return map_batches(chosen, run, "_id long, _class binary, _size long, _registers binary")
+
+
+def _bands(heads: DataFrame, how: Similarity) -> DataFrame:
+    """heads(_id, _registers) -> _id, _band, _key: a row for each band."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(F.substring("_registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    return heads.select("_id", F.posexplode(own).alias("_band", "_key"))
 
 
 def _estimate(pairs: DataFrame, marks: DataFrame, how: Similarity) -> DataFrame:
@@ -180,21 +178,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, how: Similarity, id_column: str, text: str) -> DataFrame:
-    """Full sets and registers of the wanted documents: _id, _size, _set, _registers."""
+    """Full sets of the wanted documents(_id): _id, _size, _set."""
 
     def run(batches):
         import pyarrow as pa
 
         known = _Words()
         for batch in batches:
-            found = [shingle_hashes(x, how.words, known) for x in batch.column("_text").to_pylist()]
-            marks = [registers(bucket_minima(x, how.buckets)).tobytes() for x in found]
+            found = [shingle_hashes(x.as_py(), how.words, known) for x in batch.column("_text")]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(x) for x in found], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(marks, pa.binary())], ["_id", "_size", "_set", "_registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(x) for x in found], pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["_id", "_size", "_set"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return keep(map_batches(chosen.join(wanted, "_id", "left_semi"), run, "_id long, _size long, _set array<long>, _registers binary"), "sets")
+    return map_batches(chosen.join(broadcast_if_small(wanted, how.max_broadcast), "_id", "left_semi"), run, "_id long, _size long, _set array<long>")
 
 
 def _pairs(one: str, other: str) -> list:
@@ -209,7 +206,7 @@ def _centres(members: DataFrame) -> DataFrame:
 
 def _apart(members: DataFrame, key: list[str]) -> DataFrame:
     """Groups whose members are in several parts, with their number of members and heaviest one."""
-    found = members.groupBy(*key).agg(F.min("_component").alias("_x"), F.max("_component").alias("_y"), F.count("*").alias("_m"), F.max(F.struct("_weight", "_id")).alias("_top"))
+    found = members.groupBy(*key).agg(F.min("_component").alias("_x"), F.max("_component").alias("_y"), F.count("*").alias("_m"), F.max(F.struct("_weight", "_id", "_component")).alias("_top"))
     return found.filter("_x < _y").drop("_x", "_y")
 
 
@@ -258,50 +255,65 @@ def _within_reach(prefixes: DataFrame, how: Similarity) -> DataFrame:
 
 
 class _Links:
-    """Links that are confirmed so far, and the parts that they make."""
+    """Links that are confirmed so far, and the parts that they make. The full set of a document is made when an estimate
+    or a prefix asks for it, so most documents never have one."""
 
-    def __init__(self, sets: DataFrame, how: Similarity):
-        self.sets, self.how, self.tried, self.links, self.parts = sets, how, None, None, None
+    def __init__(self, marks: DataFrame, make_sets, how: Similarity, keep):
+        self.marks, self.make_sets, self.how, self.keep = marks, make_sets, how, keep
+        self.sets, self.tried, self.parts = None, None, None
+
+    def need(self, ids: DataFrame) -> DataFrame:
+        """Full sets that hold those of ids(_id)."""
+        wanted = self.keep(ids.distinct() if self.sets is None else ids.distinct().join(self.sets.select("_id"), "_id", "left_anti"), "wanted")
+        new = self.keep(self.make_sets(wanted), "sets")
+        self.sets = new if self.sets is None else self.sets.unionAll(new)
+        return self.sets
 
     def add(self, pairs: DataFrame) -> None:
-        pairs = keep(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = self.keep(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
         self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
-        new = keep(_confirm(_estimate(pairs, self.sets, self.how), self.sets, self.how), "confirmed")
-        # a part is one node from now on, so later rounds are small
+        near = self.keep(_estimate(pairs, self.marks, self.how), "near")
+        sets = self.need(near.select(F.col("a").alias("_id")).unionAll(near.select("b")))
+        new = self.keep(_confirm(near, sets, self.how), "confirmed")
         if self.parts is None:
-            self.parts = keep(connected_components(new), "components").withColumnRenamed("_node", "_id")
+            self.parts = self.keep(connected_components(new, keep=self.keep), "components").withColumnRenamed("_node", "_id")
             return
+        # a part is one node from now on, so later rounds are small
         ends = self.named(self.named(new.select(F.col("a").alias("_id"), "b")).select(F.col("_component").alias("a"), F.col("b").alias("_id"))).select("a", F.col("_component").alias("b"))
-        merged = connected_components(ends).select(F.col("_node").alias("_component"), F.col("_component").alias("_to"))
+        merged = connected_components(ends, keep=self.keep).select(F.col("_node").alias("_component"), F.col("_component").alias("_to"))
         ids = self.parts.unionAll(merged.select(F.col("_component").alias("_id"), "_component"))
         ids = ids.groupBy("_id").agg(F.min("_component").alias("_component"))
-        self.parts = keep(ids.join(merged, "_component", "left").select("_id", F.coalesce("_to", "_component").alias("_component")), "components")
+        self.parts = self.keep(ids.join(merged, "_component", "left").select("_id", F.coalesce("_to", "_component").alias("_component")), "components")
 
     def named(self, rows: DataFrame) -> DataFrame:
         """rows with _id, with the part it is in."""
         return rows.join(self.parts, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
 
 
-def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: str) -> DataFrame:
-    """Per input row: _id, _size (of its set) and _component, the smallest id that it reaches."""
+def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: str, keep) -> DataFrame:
+    """Per input row: _id, _size (of its set) and _component, the smallest id that it reaches. keep(df, name) writes a
+    table on the way."""
     marks = keep(signatures(docs, how, id_column, text), "signatures")
     classes = marks.filter("_class is not null").groupBy("_class").agg(F.min("_id").alias("_least"))
     own = marks.select("_id", "_class", "_size")
-    # the smallest id of a class carries its bands on; the others only its name
-    heads = marks.join(classes.select(F.col("_least").alias("_id")).distinct(), "_id", "left_semi").filter("_class is not null").select("_id", "_bands")
-    spread, key = heads.select("_id", F.posexplode("_bands").alias("_band", "_key")), ["_band", "_key"]
+    # the smallest id of a class carries its registers on; the others only its name
+    heads = keep(marks.join(classes.select(F.col("_least").alias("_id")).distinct(), "_id", "left_semi").filter("_class is not null").select("_id", "_registers"), "heads")
+    spread, key = _bands(heads, how), ["_band", "_key"]
     groups = spread.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
     members = keep(spread.join(groups, key), "members")
     weights = members.groupBy("_id").agg(F.sum("_n").alias("_weight"))
     members = keep(members.drop("_n").join(weights, "_id"), "members")
-    sets = _sets(docs, members.select("_id").distinct(), how, id_column, text)
 
-    found = _Links(sets, how)
+    found = _Links(heads, lambda wanted: _sets(docs, wanted, how, id_column, text), how, keep)
     found.add(_centres(members))
     named = found.named(members)
     left = keep(named.join(_apart(named, key), key), "apart")
     few = _between(left.filter(F.col("_m") <= how.few).select(*key, "_id", "_component"), key)
-    many = left.filter(F.col("_m") > how.few).select(F.col("_top._id").alias("_centre"), "_id").distinct()
+    # large groups whose centres are in one part go by one centre, the heaviest of that part
+    heaviest = named.groupBy("_component").agg(F.max(F.struct("_weight", "_id")).alias("_h")).select(F.col("_component").alias("_part"), F.col("_h._id").alias("_centre"))
+    large = left.filter(F.col("_m") > how.few).select("_id", F.col("_top._component").alias("_part")).distinct()
+    many = keep(large.join(heaviest, "_part").select("_centre", "_id"), "many")
+    sets = found.need(many.select("_id").unionAll(many.select("_centre")))
     prefixes = keep(_prefixes(many, sets, how), "prefixes")
     bound = f"{100 + how.percent} * least(l_reach, r_reach) >= {how.percent} * (l_n + r_n)"
     near = _within_reach(found.named(prefixes), how)
@@ -319,9 +331,14 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_column:
 
     component_id is the smallest id that a row reaches by links, its own included; kept says that it is its own. A null
     or empty text has no shingles and links with nothing. Rows that repeat an id are one document whose texts' links are
-    pooled. Null ids link with nothing. An empty table gives no rows; other columns are not read.
+    pooled. Null ids link with nothing. An empty table gives no rows; other columns are not read. Ids are whole numbers, as
+    the smallest names a component: others raise ValueError. A text of any length is read whole.
     """
+    if docs.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_column} holds no whole numbers")
+    scratch = Scratch(docs.sparkSession)
     rows = docs.filter(F.col(id_column).isNotNull())
-    found = similar_components(rows, how, id_column, text).select(F.col("_id").alias(id_column), F.col("_size").alias("n_shingles"), F.col("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
+    found = similar_components(rows, how, id_column, text, scratch.keep).select(F.col("_id").alias(id_column), F.col("_size").alias("n_shingles"), F.col("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
     none = signatures(docs.filter(F.col(id_column).isNull()), how, id_column, text)
-    return found.unionAll(none.select(F.col("_id").alias(id_column), F.col("_size").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("kept")))
+    none = none.select(F.col("_id").alias(id_column), F.col("_size").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    return scratch.result(found.unionAll(none), "near_duplicates")

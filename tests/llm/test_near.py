@@ -1,11 +1,13 @@
 """Near-duplicates against exact sets of all pairs, and the pipeline's stages against plain versions."""
 
 import random
+import re
 from itertools import combinations
 
 import numpy as np
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from docrecon.llm import near_duplicates as N
 from docrecon.llm import queries
@@ -66,6 +68,58 @@ def test_defined_cases(spark):
     found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in found) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    with pytest.raises(ValueError):
+        N.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_hot_groups(spark):
+    """Two large groups of near copies with like bodies, many of them just too far from each other, and a group of copies:
+    what meets is in proportion to the rows, and the components are those of all pairs."""
+    draw = random.Random(12)
+    body = [f"b{i}" for i in range(150)]
+    second = body[:128] + [f"s{i}" for i in range(22)]
+    rows = []
+    for k in range(320):
+        copy = list(body if k % 3 else second)
+        for _ in range(draw.choice([0, 1, 2, 3, 5, 7])):
+            copy[draw.randrange(150)] = f"e{draw.randrange(60)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, "one and the same text of ten words or so") for k in range(300)]
+    met, confirm = [], N._confirm
+
+    def counting(pairs, *rest):
+        met.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    N._confirm = counting
+    try:
+        found = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Similarity(words=4)).collect()}
+    finally:
+        N._confirm = confirm
+    assert found == {i: c for i, (_, c) in exact(rows, words=4).items()}
+    assert sum(met) < 12 * len(rows)
+
+
+def test_recall_of_bands(spark):
+    """Of the pairs of the given documents that are similar enough, all meet: ids divisible by 20 against all rows."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Similarity(words=4)).collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for i, t in rows for w in [(t or "").encode().lower().split()] if w}
+    pairs = [(a, b) for a in sets if a % 20 == 0 for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(pairs) > 10 and all(found[a] == found[b] for a, b in pairs)
+
+
+def test_register_agreement_is_the_similarity():
+    """Also for short sets, whose buckets are filled in further turns."""
+    draw = np.random.default_rng(5)
+    for size in (5, 20, 100, 3000):
+        share = []
+        for _ in range(40):
+            common, own, other = np.split(draw.integers(0, 1 << 63, 2 * size, np.uint64), [int(1.6 * size), int(1.8 * size)])
+            a, b = (N.registers(N.bucket_minima(np.unique(np.concatenate([common, x])), 252)) for x in (own, other))
+            share.append((np.mean(a == b) - N.COLLISION) / (1 - N.COLLISION))
+        assert abs(np.mean(share) - 0.8) < 0.03
+    assert len(set(N.bucket_minima(np.array([7], np.uint64), 252).tolist())) > 100
 
 
 def test_sql(spark, small, duck):
@@ -88,19 +142,59 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_pipeline(spark, small):
+@pytest.fixture(scope="module")
+def clashing(spark, small):
+    """The small documents, some of them twice, with odd rows and with columns that are named like the operators' own."""
+    real = spark.read.parquet(f"{small}/documents.parquet")
+    odd = spark.createDataFrame([(900001, None, "en", "s", 0), (900002, "", None, None, 0), (900003, " \n 12 ", "de", "s", 0), (None, "a text of some words", "en", None, 0), (900004, "und so weiter " * 20_000, "de", "s", 0)], real.schema)
+    docs = real.unionAll(odd).unionAll(real.filter("doc_id % 50 = 0")).unionAll(odd)
+    return docs.withColumns({"score": F.lit(7.0), "kept": F.lit("no"), "lang_pred": F.lit("xx"), "row": F.col("doc_id"), "_words": F.lit(1), "_text": F.lit("t"), "runs": F.lit(2), "component_id": F.lit(3)}).persist()
+
+
+def plain_stages(spark, small, docs):
+    """What each stage keeps of docs, by plain means: stage -> the kept rows' (id, text)."""
+    from collections import Counter
+
+    from docrecon.llm.quality_classifier import classify_quality
+
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    bench = [r.text or "" for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {tuple(w[k : k + 10]) for w in map(words, bench) if w for k in range(max(1, len(w) - 9))}
+    hit = {i for i, t in rows for w in [words(t)] if any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))}
+    want = exact([(i, t) for i, t in rows if i is not None])
+    judged = classify_quality(docs.select("doc_id", "text", "source", "lang"), spark.read.parquet(f"{small}/labels.parquet"))
+    good = Counter(r.doc_id for r in judged.filter("kept").collect())
+    return {
+        "quality": good,
+        "near_dedup": Counter(i for i, _ in rows if i is None or want[i][1] == i),
+        "decontamination": Counter(i for i, _ in rows if i is None or i not in hit),
+    }
+
+
+def test_pipeline(spark, small, clashing):
+    from collections import Counter
+    from hashlib import sha256
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as P
 
-    docs = spark.read.parquet(f"{small}/documents.parquet").persist()
+    want = plain_stages(spark, small, clashing)
     for name, stage in P.STAGES[:-1]:
-        kept = stage(spark, docs, small)
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count() and stage(spark, docs.limit(0), small).count() == 0
-        if name == "near_dedup":
-            want = exact([(r.doc_id, r.text) for r in docs.collect()])
-            assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
-    last = P.STAGES[-1][1](spark, docs, small)
-    assert last.count() == docs.count()
-    assert 0 < P.run(spark, small).count() < docs.count()
+        kept = stage(spark, clashing, small)
+        rows = kept.collect()
+        assert kept.columns == clashing.columns and 0 < len(rows) < clashing.count()
+        assert all((r.score, r.kept, r.lang_pred, r.row, r._words, r._text, r.runs, r.component_id) == (7.0, "no", "xx", r.doc_id, 1, "t", 2, 3) for r in rows)
+        if name in want:
+            assert Counter(r.doc_id for r in rows) == want[name]
+        assert stage(spark, clashing.limit(0), small).count() == 0
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in P.STAGES[-1][1](spark, clashing, small).collect())
+    ids = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids) for r in clashing.collect()]
+    assert encoded == Counter((i, len(x), sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in ids)
+    assert 0 < P.run(spark, small).count() < 200
 
 
 FOREIGN = [
