@@ -23,47 +23,89 @@ TOKEN = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
+# What is kept of a block's ancestors, tags and words of their names.
+TAGS = "article main section nav header footer aside form p h1 h2 h3 h4 li ul ol td table blockquote pre figure figcaption button label select option dl dd dt address div body summary details".split()
+KNOWN_NAMES = (
+    "ad ads advert advertisement sponsor sponsored promo promotion banner nav navigation menu navbar breadcrumb breadcrumbs header top masthead footer bottom copyright legal sidebar side aside widget rail "
+    "comment comments reply replies disqus discussion respondent cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search form share social sharing related recommended trending popular tags tag meta byline author date pagination pager toolbar skip "
+    "content article post entry main body text story page container wrapper prose markdown blog news title headline lead".split()
+)
+_TAGS, _NAMES = frozenset(TAGS), frozenset(KNOWN_NAMES)
+
 
 @dataclass(frozen=True)
 class Block:
-    """text: references decoded, white space folded. tags: of its ancestors, outermost first. names: words of their
-    class, id and role. linked: share of its characters inside links."""
+    """text: references decoded, white space folded. tags: which of TAGS its ancestors have; leaf: the nearest of them, or
+    none. names: which of KNOWN_NAMES stand in their class, id and role. linked: share of its characters inside links."""
 
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    leaf: str
     names: frozenset[str]
     linked: float
 
 
+class _Open:
+    """Open elements. What a block keeps of its ancestors is bounded and handed down from parent to child, and open
+    elements are found by tag, so a page costs the same however deep it nests."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str], str, frozenset[str]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def top(self) -> tuple[str, frozenset[str], str, frozenset[str]]:
+        return self.stack[-1] if self.stack else ("", frozenset(), "none", frozenset())
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        _, tags, leaf, above = self.top()
+        if tag in _TAGS:
+            tags, leaf = (tags if tag in tags else tags | {tag}), tag
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, tags, leaf, above if names <= above else above | names))
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost element of the tag and what is in it; without one nothing happens."""
+        if self.has(tag):
+            self.cut(self.places[tag][-1])
+
+    def close_within(self, tags) -> None:
+        """Ends the innermost element of the tags unless a scope stands between."""
+        at = max((self.places[t][-1] for t in tags if self.has(t)), default=-1)
+        if at >= 0 and at >= (self.scopes[-1] if self.scopes else -1):
+            self.cut(at)
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
     """Blocks with a text, in page order. Broken markup is read as browsers do in the main: unknown ends are ignored, a
     block ends an open paragraph, and what is open at the end ends there. What stands in the head is left out."""
-    stack: list[tuple[str, frozenset[str]]] = []
-    found: list[Block] = []
-    parts: list[str] = []
-    linked = 0
+    elements, found, parts, linked = _Open(), [], [], 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
-        if text and not any(t in ("head", "title") for t, _ in stack):
-            size = max(1, sum(map(len, parts)))
-            found.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked / size))
+        if text and not (elements.has("head") or elements.has("title")):
+            _, tags, leaf, names = elements.top()
+            found.append(Block(text, tags, leaf, names, linked / max(1, sum(map(len, parts)))))
         parts.clear()
         linked = 0
 
-    def pop_to(wanted) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in wanted:
-                del stack[i:]
-                return
-            if stack[i][0] in SCOPES:
-                return
-
     for m in TOKEN.finditer(html or ""):
         if m["text"] is not None:
             parts.append(m["text"])
-            if any(t == "a" for t, _ in stack[-4:]):
+            if any(x[0] == "a" for x in elements.stack[-4:]):
                 linked += len(m["text"])
             continue
         if m["tag"] is None:
@@ -75,18 +117,16 @@ def leaf_blocks(html: str | None) -> list[Block]:
         if tag in BLOCK:
             flush()
         if m["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            elements.close(tag)
             continue
         if tag in BLOCK:
-            if tag == "body" and any(t == "head" for t, _ in stack):
-                while stack.pop()[0] != "head":
-                    pass
-            pop_to({"p", "h1", "h2", "h3", "h4", "h5", "h6"} if tag not in ("button", "label", "option", "select") else ())
-            pop_to(CLOSES.get(tag, ()))
+            if tag == "body":
+                elements.close("head")
+            if tag not in ("button", "label", "option", "select"):
+                elements.close_within(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
+            elements.close_within(CLOSES.get(tag, ()))
         if tag not in VOID and not m["attributes"].rstrip().endswith("/"):
             names = "".join("".join(x) + " " for x in NAMES.findall(m["attributes"]))
-            stack.append((tag, frozenset(w.lower() for w in WORD.findall(names))))
+            elements.push(tag, _NAMES & {w.lower() for w in WORD.findall(names)})
     flush()
     return found

@@ -9,13 +9,16 @@ task and language. The model is languages x dims numbers, whatever the corpus.
 """
 
 import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.storage import map_batches
+from docrecon.llm.storage import keep, map_batches
+from docrecon.shipping import ship
 
 UNKNOWN = "und"
 
@@ -23,13 +26,14 @@ UNKNOWN = "und"
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """By code point: the code point of the letter in lower case, 0 for anything else."""
-    return np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)], np.int64)
+    return np.fromiter((ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)), np.int32, sys.maxunicode + 1)
 
 
 def letter_runs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of three letters (each 3 x 21 bits, 0 between words) and how often each stands in a text."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    found = np.concatenate([[0], _letters()[points], [0]])
+    found = np.zeros(len(points) + 2, np.int64)
+    found[1:-1] = _letters()[points]
     found = found[np.concatenate([[True], (found[1:] != 0) | (found[:-1] != 0)])]
     if len(found) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -37,7 +41,10 @@ def letter_runs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vectors:
-    """Vectors of letter runs, made when first met; forgotten at max_runs, so that a worker's memory stays bounded."""
+    """Vectors of letter runs, a byte a number, made when first met; forgotten at max_runs, so that a worker's memory
+    stays bounded: max_runs x dims bytes, and a block of BLOCK vectors as wider numbers."""
+
+    BLOCK = 1024
 
     def __init__(self, dims: int, seed: int, max_runs: int = 16_384):
         self.dims, self.seed, self.max_runs = dims, seed, max_runs
@@ -45,11 +52,11 @@ class Vectors:
         self.reset()
 
     def reset(self) -> None:
-        self.known, self.order, self.rows, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((256, self.dims), np.float32), 0
+        self.known, self.order, self.rows, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((self.max_runs, self.dims), np.int8), 0
 
     def letter(self, point: int) -> np.ndarray:
         if point not in self.letters:
-            self.letters[point] = np.random.default_rng([self.seed, point]).integers(0, 2, self.dims).astype(np.float32) * 2 - 1
+            self.letters[point] = np.random.default_rng([self.seed, point]).integers(0, 2, self.dims).astype(np.int8) * np.int8(2) - np.int8(1)
         return self.letters[point]
 
     def bound(self, run: int) -> np.ndarray:
@@ -59,11 +66,12 @@ class Vectors:
     def bundle(self, runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the vectors of sorted distinct runs, each as often as counted."""
         total = np.zeros(self.dims, np.float64)
-        for i in range(0, len(runs), self.max_runs // 2):
-            total += counts[i : i + self.max_runs // 2].astype(np.float32) @ self._of(runs[i : i + self.max_runs // 2])
+        step = min(self.BLOCK, self.max_runs)
+        for i in range(0, len(runs), step):
+            total += counts[i : i + step].astype(np.float32) @ self.rows_of(runs[i : i + step]).astype(np.float32)
         return total
 
-    def _of(self, runs: np.ndarray) -> np.ndarray:
+    def rows_of(self, runs: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.known, runs)
         here = np.zeros(len(runs), bool)
         if len(self.known):
@@ -73,8 +81,6 @@ class Vectors:
                 self.reset()
                 here = np.zeros(len(runs), bool)
             new = runs[~here]
-            while self.used + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
             for k, run in enumerate(new.tolist()):
                 self.rows[self.used + k] = self.bound(run)
             known, order = np.concatenate([self.known, new]), np.concatenate([self.order, np.arange(self.used, self.used + len(new))])
@@ -85,35 +91,34 @@ class Vectors:
         return self.rows[self.order[at]]
 
 
-def language_prototypes(df: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1024, seed: int = 7, max_languages: int = 2000) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from all rows with a text and a language.
+def language_prototypes(df: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1024, seed: int = 7, max_languages: int = 2000, max_held: int = 500_000) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their prototypes, from all rows with a text and a language. A task adds up the letter runs
+    of its texts when it holds max_held of them.
 
     Raises ValueError beyond max_languages distinct values, as such a column names no languages.
     """
 
     def run(batches):
-        from collections import Counter, defaultdict
-
-        import pyarrow as pa
+        from collections import defaultdict
 
-        seen: dict[str, Counter] = defaultdict(Counter)
-        vectors, sums = Vectors(dims, seed), defaultdict(lambda: np.zeros(dims))
+        waiting: dict[str, list] = defaultdict(list)
+        vectors, sums, held = Vectors(dims, seed), defaultdict(lambda: np.zeros(dims)), 0
 
-        def fold(name):
-            runs = np.array(sorted(seen[name]), np.int64)
-            sums[name] += vectors.bundle(runs, np.array([seen[name][r] for r in runs.tolist()], np.int64))
-            seen[name].clear()
+        def fold():
+            for name, parts in waiting.items():
+                runs, at = np.unique(np.concatenate([r for r, _ in parts]), return_inverse=True)
+                sums[name] += vectors.bundle(runs, np.bincount(at, np.concatenate([n for _, n in parts])))
+            waiting.clear()
 
         for batch in batches:
-            for name, content in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                runs, counts = letter_runs(content)
-                own = seen[name]
-                for r, n in zip(runs.tolist(), counts.tolist(), strict=True):
-                    own[r] += n
-                if len(own) > 200_000:
-                    fold(name)
-        for name in list(seen):
-            fold(name)
+            for name, content in zip(batch.column("_lang"), batch.column("_text"), strict=True):
+                found = letter_runs(content.as_py())
+                waiting[name.as_py()].append(found)
+                held += len(found[0])
+                if held > max_held:
+                    fold()
+                    held = 0
+        fold()
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["_lang", "_sum"])
 
     known = df.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter("_lang is not null and _text is not null")
@@ -125,25 +130,22 @@ def language_prototypes(df: DataFrame, text: str = "text", lang: str = "lang", d
     return [r["_lang"] for r in rows], np.array([[x["_value"] for x in r["_sum"]] for r in rows]).reshape(len(rows), dims)
 
 
-def predict_language(df: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text", seed: int = 7, runs_column: str | None = None) -> DataFrame:
-    """df with lang_pred and score (cosine with its prototype, at least 0), and on demand its number of distinct letter runs.
+def language_of(text: Column, languages: list[str], prototypes: np.ndarray, seed: int = 7) -> Column:
+    """A struct of lang_pred, score (cosine with its prototype, at least 0) and runs (distinct letter runs of the text).
 
     A text that is null or has no letter is `und` with score 0, and so is every text if there are no languages. Equal
-    cosines go to the language that comes first. Columns of df of these names are replaced; repeated rows and an
-    empty table need no care.
+    cosines go to the language that comes first. Only the text goes to the Python workers, in batches.
     """
     dims = prototypes.shape[1] if len(languages) else 1024
-    kept = [c for c in df.columns if c not in ("lang_pred", "score", runs_column)]
-
-    def run(batches):
-        import pyarrow as pa
 
+    @F.arrow_udf("lang_pred string, score double, runs int")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors = Vectors(dims, seed)
         units = prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True) if languages else None
-        for batch in batches:
+        for texts in batches:
             names, scores, sizes = [], [], []
-            for content in batch.column("_text_").to_pylist():
-                runs, counts = letter_runs(content)
+            for content in texts:
+                runs, counts = letter_runs(content.as_py())
                 sizes.append(len(runs))
                 if not len(runs) or not languages:
                     names.append(UNKNOWN)
@@ -154,26 +156,30 @@ def predict_language(df: DataFrame, languages: list[str], prototypes: np.ndarray
                 best = int(cosines.argmax())
                 names.append(languages[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
-            more = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())} | ({runs_column: pa.array(sizes, pa.int32())} if runs_column else {})
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more.values()], [*kept, *more])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["lang_pred", "score", "runs"])
+
+    return run(text)
+
 
-    chosen = df.withColumn("_text_", F.col(text)).select(*kept, "_text_")
-    schema = df.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({runs_column: F.lit(0)} if runs_column else {})).schema
-    return map_batches(chosen, run, schema)
+def predict_language(df: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text", seed: int = 7) -> DataFrame:
+    """df with lang_pred and score as language_of gives them. Columns of df of these names are replaced; repeated rows
+    and an empty table need no care."""
+    ship(df.sparkSession)
+    found = df.withColumn("_found", language_of(F.col(text), languages, prototypes, seed))
+    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 
 
-def with_bound(found: DataFrame, lang: str = "lang", runs: str = "runs", low: float = 0.05, part: float = 0.5, least_texts: int = 50, classes: int = 32) -> DataFrame:
-    """found, which has lang_pred, score and runs (distinct letter runs), with bound: the score under which a text is not
-    in lang_pred.
+def language_bounds(found: DataFrame, lang: str = "lang", low: float = 0.05, part: float = 0.5, least_texts: int = 50, classes: int = 32) -> DataFrame:
+    """Of found, which has lang_pred, score, runs (distinct letter runs) and the labelled language: per lang_pred and
+    _size (the power of two of the runs) the bound under which a score says that a text is not in lang_pred.
 
     The bound is a part of the low quantile of the scores of all texts that are labelled and predicted as the language,
-    by the power of two of their runs, as texts with few different runs have lower cosines. So it stays below a
-    language's own texts, and mislabelled ones that are fewer than `low` of a size do not move it. With fewer than
-    least_texts of a language and size, those of all languages count; with fewer of these, a size takes the bound of the
-    next smaller one, or 0 without one.
+    by size, as texts with few different runs have lower cosines. So it stays below a language's own texts, and
+    mislabelled ones that are fewer than `low` of a size do not move it. With fewer than least_texts of a language and
+    size, those of all languages count; with fewer of these, a size takes the bound of the next smaller one, or 0
+    without one. As many rows as languages x classes.
     """
-    sized = found.withColumn("_size", F.floor(F.log2(F.greatest(F.col(runs), F.lit(1)))).cast("int"))
-    own = sized.filter(F.col(lang) == F.col("lang_pred")).select(F.explode(F.array("lang_pred", F.lit(None))).alias("name"), "_size", "score")
+    own = found.withColumn("_size", size_class("runs")).filter(F.col(lang) == F.col("lang_pred")).select(F.explode(F.array("lang_pred", F.lit(None))).alias("name"), "_size", "score")
     lows = own.groupBy("name", "_size").agg(F.percentile_approx("score", low).alias("low"), F.count("*").alias("n")).collect()
     known, rows = {(r["name"], r["_size"]): part * r["low"] for r in lows if r["n"] >= least_texts}, []
     for name in {r["name"] for r in lows} - {None}:
@@ -181,8 +187,28 @@ def with_bound(found: DataFrame, lang: str = "lang", runs: str = "runs", low: fl
         for size in range(classes):
             bound = known.get((name, size), known.get((None, size), bound))
             rows.append((name, size, bound))
-    bounds = found.sparkSession.createDataFrame(rows, "lang_pred string, _size int, bound double")
-    return sized.join(F.broadcast(bounds), ["lang_pred", "_size"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).drop("_size")
+    return found.sparkSession.createDataFrame(rows, "lang_pred string, _size int, bound double")
+
+
+def size_class(runs: str) -> Column:
+    return F.floor(F.log2(F.greatest(F.col(runs), F.lit(1)))).cast("int")
+
+
+def in_known_language(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs in one of the languages that docs name, with the columns of docs, whatever their names.
+
+    Texts without a letter, null or empty go, and those further from their nearest language than its own texts of as
+    many letter runs go (language_bounds). Repeated rows stay or go alike. Without a named language nothing stays.
+    """
+    languages, prototypes = language_prototypes(docs, text, lang)
+    ship(docs.sparkSession)
+    guess = language_of(F.col(text), languages, prototypes)
+    scored = keep(docs.select(F.col(lang).alias("_lang"), guess.alias("_found")).select("_lang", "_found.*"), "language")
+    bounds = F.broadcast(language_bounds(scored, "_lang"))
+    # predicted once more beside the whole rows, as the texts are not written a second time
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), guess.alias("_found")).select("row", "_found.*")
+    bounded = packed.withColumn("_size", size_class("runs")).join(bounds, ["lang_pred", "_size"], "left")
+    return bounded.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.coalesce("bound", F.lit(0.0)))).select("row.*")
 
 
 def fold_of(id_column: Column, folds: int) -> Column:

@@ -5,47 +5,41 @@ words of their class, id and role, and measures of its text; weights on neighbou
 field is trained by gradient ascent on the conditional likelihood of labelled pages, and pages are decoded by Viterbi.
 
 Labelled pages come from layouts (labelled_pages): a fixed number of pages with known main text, of many arrangements
-of menus, headers, notices, adverts, side columns, forms, comments and footers around an article. Own labelled pages can
-be given instead. The model is a few hundred numbers; pages never meet, so there is no shuffle.
+of menus, headers, notices, adverts, side columns, forms, comments and footers around an article. They were written with
+pages like those of the given tables in view (marks after words, upper case, one-line comments), so pages of other styles
+are the better test. Own labelled pages can be given instead. The model is a few hundred numbers; pages never meet, so there is no shuffle.
 """
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.html_blocks import Block, leaf_blocks
+from docrecon.llm.html_blocks import KNOWN_NAMES, TAGS, Block, leaf_blocks
 from docrecon.llm.storage import map_batches
 
-# Tags and names that features are made of.
-TAGS = "article main section nav header footer aside form p h1 h2 h3 h4 li ul ol td table blockquote pre figure figcaption button label select option dl dd dt address div body summary details".split()
-NAMES = (
-    "ad ads advert advertisement sponsor sponsored promo promotion banner nav navigation menu navbar breadcrumb breadcrumbs header top masthead footer bottom copyright legal sidebar side aside widget rail "
-    "comment comments reply replies disqus discussion respondent cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search form share social sharing related recommended trending popular tags tag meta byline author date pagination pager toolbar skip "
-    "content article post entry main body text story page container wrapper prose markdown blog news title headline lead".split()
-)
 GOOD_END = re.compile(r"[.!?…:;\"'”’)\]]$")
 
 
 def features(block: Block) -> list[str]:
     text, words = block.text, block.text.split()
     n = len(words)
-    made = [f"tag:{t}" for t in {*block.tags} & {*TAGS}] + [f"name:{w}" for w in block.names & {*NAMES}]
-    made.append(f"leaf:{next((t for t in reversed(block.tags) if t in TAGS), 'none')}")
+    made = [f"tag:{t}" for t in block.tags] + [f"name:{w}" for w in block.names]
+    made.append(f"leaf:{block.leaf}")
     made.append(f"words:{min(7, int(np.log2(n + 1)))}")
     made.append(f"linked:{min(4, int(block.linked * 4))}")
     made += ["end"] * bool(GOOD_END.search(text)) + ["mark:©"] * ("©" in text or "(c)" in text.lower()) + ["mark:|"] * (text.count("|") + text.count("»") + text.count("·") > 1)
-    if not {*block.tags} & {"article", "main"} and not block.names & {*NAMES}:
+    if not block.tags & {"article", "main"} and not block.names:
         made.append("bare")
     return made
 
 
 @lru_cache(1)
 def feature_numbers() -> dict[str, int]:
-    names = [f"tag:{t}" for t in TAGS] + [f"name:{w}" for w in dict.fromkeys(NAMES)] + [f"leaf:{t}" for t in [*TAGS, "none"]]
+    names = [f"tag:{t}" for t in TAGS] + [f"name:{w}" for w in KNOWN_NAMES] + [f"leaf:{t}" for t in [*TAGS, "none"]]
     names += [f"words:{i}" for i in range(8)] + [f"linked:{i}" for i in range(5)] + ["end", "mark:©", "mark:|", "bare"]
     return {n: i for i, n in enumerate(names)}
 
@@ -234,7 +228,7 @@ def labelled_pages(n: int = 800, seed: int = 11) -> list[tuple[list[Block], list
     """n pages of the layouts above, as blocks and whether each is main text."""
     layout, mark = _Layout(seed), _Layout.MARK
     made = [leaf_blocks(layout.page()) for _ in range(n)]
-    return [([Block(b.text.replace(mark, "").strip(), b.tags, b.names, b.linked) for b in blocks], [mark in b.text for b in blocks]) for blocks in made]
+    return [([replace(b, text=b.text.replace(mark, "").strip()) for b in blocks], [mark in b.text for b in blocks]) for blocks in made]
 
 
 @lru_cache(1)

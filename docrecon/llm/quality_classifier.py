@@ -1,6 +1,6 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A logistic regression on text measures gives each document's own evidence. Documents of a site share more than their
+A logistic regression on text measures and hashed words gives each document's own evidence. Documents of a site share more than their
 texts show, so the evidence is summed by host and by path under it, and each site gets a posterior mean: a host's is
 drawn towards the mean of all documents, a path's towards its host's. How strongly depends on how much sites of that
 level differ, as estimated from all of them (method of moments), so a site of few documents stays near its parent. A
@@ -41,46 +41,58 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_words")
 
 
+def evidence_vectors(df: DataFrame, text: str, tokens: int) -> DataFrame:
+    """Adds _x: the measures, and the text's lower-case words hashed into `tokens` places, as a vector of length one."""
+    from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+
+    named = [f"_m_{m}" for m in MEASURES]
+    out = measures(df, text).withColumn("_tokens", blank_words(F.lower(F.col(text))))
+    out = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=tokens).transform(out)
+    out = Normalizer(inputCol="_counts", outputCol="_unit").transform(out)
+    return VectorAssembler(inputCols=[*named, "_unit"], outputCol="_x").transform(out).drop(*named, "_tokens", "_counts", "_unit")
+
+
 @dataclass(frozen=True)
 class QualityModel:
-    weights: tuple[float, ...]
-    intercept: float
+    """fitted: the logistic regression over evidence_vectors, or None where nothing is known. tokens: places of words."""
 
-    def log_odds(self) -> Column:
-        total = F.lit(self.intercept)
-        for name, w in zip(MEASURES, self.weights, strict=True):
-            total = total + F.lit(w) * F.col(f"_m_{name}")
-        return F.greatest(F.lit(-20.0), F.least(F.lit(20.0), total))
+    fitted: object
+    tokens: int
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", max_fit_rows: int = 20_000) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", max_fit_rows: int = 20_000, tokens: int = 4096) -> QualityModel:
     """Fits the evidence on labelled documents, at most about max_fit_rows of them, drawn by a hash of the id.
 
-    Rows weigh such that both labels count the same. Without rows of both labels the model knows nothing (all weights 0).
+    Rows weigh such that both labels count the same. Without rows of both labels the model knows nothing.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
 
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_column).alias("_id"), F.col(label).cast("double").alias("_label"))
     share = min(1.0, max_fit_rows / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("_id").agg(F.max("_label").alias("_label"))
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
-    rows = VectorAssembler(inputCols=[f"_m_{m}" for m in MEASURES], outputCol="_x").transform(measures(rows, "_text")).select("_x", "_label").cache()
+    rows = evidence_vectors(rows, "_text", tokens).select("_x", "_label").cache()
     counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     try:
         if len(counts) < 2:
-            return QualityModel((0.0,) * len(MEASURES), 0.0)
+            return QualityModel(None, tokens)
         total = sum(counts.values())
         weight = F.when(F.col("_label") == 1, total / 2 / counts[1.0]).otherwise(total / 2 / counts[0.0])
-        model = LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_w", maxIter=50, regParam=0.001).fit(rows.withColumn("_w", weight))
-        return QualityModel(tuple(float(x) for x in model.coefficients), float(model.intercept))
+        fitted = LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_w", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_raw", maxIter=50, regParam=0.005).fit(rows.withColumn("_w", weight))
+        return QualityModel(fitted, tokens)
     finally:
         rows.unpersist()
 
 
 def with_evidence(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """docs with _evidence, the log odds of their own text."""
-    return measures(docs, text).withColumn("_evidence", model.log_odds()).drop(*[f"_m_{m}" for m in MEASURES])
+    """docs with _evidence, the log odds of their own text (-20 to 20), 0 where the model knows nothing."""
+    from pyspark.ml.functions import vector_to_array
+
+    if model.fitted is None:
+        return docs.withColumn("_evidence", F.lit(0.0))
+    scored = model.fitted.transform(evidence_vectors(docs, text, model.tokens))
+    odds = vector_to_array("_raw")[1]
+    return scored.withColumn("_evidence", F.greatest(F.lit(-20.0), F.least(F.lit(20.0), odds))).drop("_x", "_raw", "_p", "_q")
 
 
 def _logit(p: Column) -> Column:
@@ -141,3 +153,17 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_i
     names = F.col("_hostname"), F.col("_pathname")
     sites, mean = site_posteriors(found, *names)
     return combine_evidence(found, sites, mean, *names).select(F.col("_id").alias(id_column), (1 / (1 + F.exp(-F.col("_evidence")))).alias("evidence"), "host_posterior", "path_posterior", "score", "kept")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", max_fit_rows: int = 20_000) -> DataFrame:
+    """The rows of docs that the classifier keeps, with the columns of docs, whatever their names.
+
+    Cases as for classify_quality; repeated rows stay or go alike.
+    """
+    model = fit_quality(docs, labels, id_column, text, max_fit_rows=max_fit_rows)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"), F.col(host).alias("_hostname"), F.col(path).alias("_pathname"))
+    names = F.col("_hostname"), F.col("_pathname")
+    sites, mean = site_posteriors(with_evidence(packed.drop("row"), model, "_text").drop("_text"), *names)
+    # the evidence is made once more beside the whole rows, as the texts are not written a second time
+    found = with_evidence(packed, model, "_text").drop("_text")
+    return combine_evidence(found, sites, mean, *names).filter("kept").select("row.*")
