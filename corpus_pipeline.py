@@ -1,37 +1,34 @@
 """A corpus pipeline of five operators: quality, language, near-duplicates, contamination, tokens.
 
-Every stage takes what its predecessor kept, as written and read again, and works on all of it.
+Every stage takes what its predecessor kept, as written and read again, and works on all of it. All but the last return
+the columns of documents unchanged, also where a column is named like one of an operator's own. Null and empty texts
+have no words: they count as short documents for the quality stage and have no language, so the language stage removes
+them. Repeated rows of one id are one document to the near-duplicate and decontamination stages: they stay or go together
+with the id. Empty tables give empty results.
 """
 
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docrecon.llm.bpe_lexicon import bpe_encode
 from docrecon.llm.decontamination import decontaminate
-from docrecon.llm.language_id import UNKNOWN, language_prototypes, predict_language, with_bound
+from docrecon.llm.language_id import in_known_language
 from docrecon.llm.near_duplicates import Similarity, near_duplicates
-from docrecon.llm.quality_classifier import combine_evidence, fit_quality, site_posteriors, with_evidence
+from docrecon.llm.quality_classifier import good_documents
 from docrecon.llm.storage import keep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. It learns from the labelled ones among docs."""
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = with_evidence(docs, model)
-    names = F.col("source"), F.col("lang")
-    sites, mean = site_posteriors(found, *names)
-    return combine_evidence(found, keep(sites, "sites"), mean, *names).filter("kept").select(*docs.columns)
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that docs name; texts without a letter or further from their nearest language
     than its own texts of as many letter runs go."""
-    languages, prototypes = language_prototypes(docs)
-    found = keep(predict_language(docs, languages, prototypes, runs_column="runs"), "language")
-    return with_bound(found).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.col("bound"))).select(*docs.columns)
+    return in_known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
