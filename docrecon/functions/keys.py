@@ -22,7 +22,8 @@ SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 
 def composed(c: Column) -> Column:
     """Composed characters (NFC) by the library that Spark's own collations use. Texts below U+0300 are composed as they
-    are, so few reach it; null stays null."""
+    are, so few reach it; null stays null. Catalyst takes the call for one that may vary, so it stands in a projection,
+    before an aggregate or a join that uses it."""
     whole = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
     return F.when(c.rlike(r"[^\x00-\x{2ff}]"), whole).otherwise(c)
 
