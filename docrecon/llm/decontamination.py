@@ -15,7 +15,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.storage import Scratch
+from docrecon.llm.storage import Scratch, keep
 from docrecon.llm.text import plain_words, row_key, with_row
 
 
@@ -59,18 +59,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     texts have no words on either side. Repeated items and repeated documents change nothing but the number of rows.
     Other columns are not read; empty tables give no rows or no hits.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(docs.select(*row_key(id_column, text), plain_words(F.col(text)).alias("_w")).select("_id", "_hash", F.size("_w").cast("long").alias("n_words"), F.array_join("_w", " ").alias("_joined")), "decontamination")
-    windows = item_windows(items, item_id, item_text, window)
-    hits = scratch.keep(window_hits(rows.select("_id", "_hash", "_joined").filter("_joined <> ''"), windows, max_broadcast_windows), "hits")
-    covered = hits.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_start", "_size")).alias("_spans")).select(
-        "_id", "_hash", F.expr("cast(size(array_distinct(flatten(transform(_spans, s -> sequence(s._start, s._start + s._size - 1))))) as bigint)").alias("n_hit"))
-    owners = hits.select("_id", "_hash", "_window").distinct().join(windows.select("_window", "_item"), "_window").groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
-    out = with_row(with_row(rows.select("_id", "_hash", "n_words"), covered), owners)
-    out = out.select(
-        F.col("_id").alias(id_column), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256).alias("items_sha256"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
-    )
-    return scratch.result(out, "decontaminated")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(docs.select(*row_key(id_column, text), plain_words(F.col(text)).alias("_w")).select("_id", "_hash", F.size("_w").cast("long").alias("n_words"), F.array_join("_w", " ").alias("_joined")), "decontamination")
+        windows = item_windows(items, item_id, item_text, window)
+        hits = scratch.keep(window_hits(rows.select("_id", "_hash", "_joined").filter("_joined <> ''"), windows, max_broadcast_windows), "hits")
+        covered = hits.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_start", "_size")).alias("_spans")).select(
+            "_id", "_hash", F.expr("cast(size(array_distinct(flatten(transform(_spans, s -> sequence(s._start, s._start + s._size - 1))))) as bigint)").alias("n_hit"))
+        owners = hits.select("_id", "_hash", "_window").distinct().join(windows.select("_window", "_item"), "_window").groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
+        out = with_row(with_row(rows.select("_id", "_hash", "n_words"), covered), owners)
+        out = out.select(
+            F.col("_id").alias(id_column), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
+            F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256).alias("items_sha256"),
+            F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        )
+        return keep(out, "decontaminated")

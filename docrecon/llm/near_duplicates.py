@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm.components import connected_components
-from docrecon.llm.storage import Scratch, broadcast_if_small, map_batches
+from docrecon.llm.storage import Scratch, broadcast_if_small, keep, map_batches
 
 MANTISSA_BITS, ROWS = 10, 6
 #: Chance that registers of different smallest hashes are equal, for sets of like size: 0.1699 / 2^mantissa bits.
@@ -58,7 +58,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -336,9 +336,9 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_column:
     """
     if docs.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError(f"{id_column} holds no whole numbers")
-    scratch = Scratch(docs.sparkSession)
     rows = docs.filter(F.col(id_column).isNotNull())
-    found = similar_components(rows, how, id_column, text, scratch.keep).select(F.col("_id").alias(id_column), F.col("_size").alias("n_shingles"), F.col("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
     none = signatures(docs.filter(F.col(id_column).isNull()), how, id_column, text)
     none = none.select(F.col("_id").alias(id_column), F.col("_size").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    return scratch.result(found.unionAll(none), "near_duplicates")
+    with Scratch(docs.sparkSession) as scratch:
+        found = similar_components(rows, how, id_column, text, scratch.keep).select(F.col("_id").alias(id_column), F.col("_size").alias("n_shingles"), F.col("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
+        return keep(found.unionAll(none), "near_duplicates")

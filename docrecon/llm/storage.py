@@ -23,23 +23,29 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables that an operator writes on its way and removes once its result is written itself."""
+    """Tables that an operator writes on its way and removes once its result is written itself. Within the block, Arrow
+    batches hold batch_rows rows at most, so that a Python worker's memory does not follow the length of texts and sets."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, new_folder(spark, "scratch")
+    BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, batch_rows: int = 1000):
+        self.spark, self.folder, self.batch_rows = spark, new_folder(spark, "scratch"), batch_rows
+
+    def __enter__(self):
+        self.before = self.spark.conf.get(self.BATCH)
+        self.spark.conf.set(self.BATCH, str(min(self.batch_rows, int(self.before) if int(self.before) > 0 else self.batch_rows)))
+        return self
+
+    def __exit__(self, *_):
+        self.spark.conf.set(self.BATCH, self.before)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def result(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written; nothing that it was made of is needed any more, and the tables on the way go."""
-        written = keep(df, name)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return written
-
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has no more than max_rows rows, else for an ordinary join."""
