@@ -378,7 +378,7 @@ def q_fuzzy_unique(spark, sf):
 _TOKENS = r"list_filter(list_transform(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}_]+'), lambda x: {}), lambda x: x <> '')"
 
 
-@query(f"with {S.SQL_LINES}, t as (select doc_id, pos, {_TOKENS.format('line', S.sql_norm('x'))} as t from lines), p as (select p_partkey, {_TOKENS.format('text', S.sql_norm('x'))} as p from (select item_id as p_partkey, unnest([text, array_to_string(string_split(text, ' ')[2:4], ' ')]) as text from benchmark)), q as (select distinct p_partkey * 1000 + len(p) as phrase_id, p from p where len(p) > 0), x as (select doc_id, pos, t, unnest(range(1, len(t) + 1)) as i from t), y as (select x.doc_id, x.pos, x.t, x.i, n from x, (select distinct len(p) as n from q) where x.i + n - 1 <= len(x.t)) select doc_id, pos::int as pos, phrase_id, (i - 1)::int as \"at\" from y join q on t[i:i + n - 1] = p and len(p) = n")
+@query(f"with {S.SQL_LINES}, t as (select doc_id, pos, {_TOKENS.format('line', S.sql_norm('x'))} as t from lines), p as (select p_partkey, {_TOKENS.format('text', S.sql_norm('x'))} as p from (select item_id as p_partkey, unnest([text, array_to_string(string_split(text, ' ')[2:4], ' ')]) as text from benchmark)), q as (select distinct p_partkey * 1000 + len(p) as phrase_id, p from p where len(p) > 0), x as (select doc_id, pos, t, unnest(range(1, len(t) + 1)) as i from t) select doc_id, pos::int as pos, phrase_id, (i - 1)::int as \"at\" from x join q on t[i] = p[1] and t[i:i + len(p) - 1] = p")
 def q_token_containment(spark, sf):
     """Whole items, and three words of each, in lines."""
     texts = S.doc_lines(spark, sf).select("doc_id", "pos", keys.label_tokens(F.col("line")).alias("tokens"))
@@ -437,7 +437,7 @@ def q_word_diff(spark, sf):
     return marked.select("doc_id", "pos", count("same").alias("same"), count("del").alias("deleted"), count("ins").alias("inserted"))
 
 
-@query(r"""with c as (select doc_id, k, text[k] as c, sum(case text[k] when '(' then 1 when ')' then -1 else 0 end) over w as s from (select doc_id, text, unnest(range(1, length(text) + 1)) as k from documents) window w as (partition by doc_id order by k)),
+@query(r"""with c as (select doc_id, k, c, sum(case c when '(' then 1 when ')' then -1 else 0 end) over w as s from (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as k from documents) window w as (partition by doc_id order by k)),
 d as (select *, s - least(0, min(s) over (partition by doc_id order by k)) as depth from c), e as (select *, coalesce(sum((c = ',' and depth = 0)::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as n from d),
 g as (select doc_id, n, trim(string_agg(case when c = ',' and depth = 0 then '' else c end, '' order by k), ' ' || chr(9) || chr(10) || chr(13)) as entry, max(case when c = ',' and depth = 0 then 0 else least(depth, 1) end) filter (where k = m) as open from (select *, max(k) over (partition by doc_id, n) as m from e) group by 1, 2)
 select doc_id, (row_number() over (partition by doc_id order by n) - 1)::int as pos, open::int as open, entry from g where entry <> ''""")
