@@ -18,27 +18,30 @@ from pyspark.sql import functions as F
 from docrecon.llm.storage import keep
 from docrecon.llm.text import blank_words
 
+#: Measures weigh more than single words in the penalty of the regression, which takes both as they are.
+SCALE = 10
 MEASURES = ("marks", "capitals", "digits", "stops", "distinct", "word_length", "words")
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns MEASURES (prefixed with _m_) and no others; a null text is as an empty one."""
+def measures(df: DataFrame, text: str, words: str) -> DataFrame:
+    """Adds the columns MEASURES (prefixed with _m_, times SCALE) of a text and its array of words; a null text is as an
+    empty one."""
     content = F.coalesce(F.col(text), F.lit(""))
 
     def share(kept: str) -> Column:
         return F.char_length(F.regexp_replace(content, kept, "")) / F.greatest(F.char_length(content), F.lit(1))
 
-    out = df.withColumn("_words", blank_words(F.col(text)))
-    n = F.greatest(F.size("_words"), F.lit(1))
-    return out.withColumns({
+    n = F.greatest(F.size(words), F.lit(1))
+    found = {
         "_m_marks": share(r"[^#*$%&|<>!?{}=_~^+@\\]+"),
         "_m_capitals": share(r"[^\p{Lu}]+"),
         "_m_digits": share(r"[^0-9]+"),
         "_m_stops": share(r"[^.,;:]+"),
-        "_m_distinct": F.size(F.array_distinct("_words")) / n,
+        "_m_distinct": F.size(F.array_distinct(words)) / n,
         "_m_word_length": F.char_length(content) / n / 10,
-        "_m_words": F.log1p(F.size("_words")) / 10,
-    }).drop("_words")
+        "_m_words": F.log1p(F.size(words)) / 10,
+    }
+    return df.withColumns({k: SCALE * v for k, v in found.items()})
 
 
 def evidence_vectors(df: DataFrame, text: str, tokens: int) -> DataFrame:
@@ -46,7 +49,7 @@ def evidence_vectors(df: DataFrame, text: str, tokens: int) -> DataFrame:
     from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 
     named = [f"_m_{m}" for m in MEASURES]
-    out = measures(df, text).withColumn("_tokens", blank_words(F.lower(F.col(text))))
+    out = measures(df.withColumn("_tokens", blank_words(F.lower(F.col(text)))), text, "_tokens")
     out = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=tokens).transform(out)
     out = Normalizer(inputCol="_counts", outputCol="_unit").transform(out)
     return VectorAssembler(inputCols=[*named, "_unit"], outputCol="_x").transform(out).drop(*named, "_tokens", "_counts", "_unit")
@@ -78,7 +81,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
             return QualityModel(None, tokens)
         total = sum(counts.values())
         weight = F.when(F.col("_label") == 1, total / 2 / counts[1.0]).otherwise(total / 2 / counts[0.0])
-        fitted = LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_w", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_raw", maxIter=50, regParam=0.005).fit(rows.withColumn("_w", weight))
+        fitted = LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_w", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_raw", maxIter=50, regParam=0.001, standardization=False).fit(rows.withColumn("_w", weight))
         return QualityModel(fitted, tokens)
     finally:
         rows.unpersist()
