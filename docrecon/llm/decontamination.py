@@ -56,7 +56,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
     n_hit counts the document words inside any place of an item window, n_items the items with such a window, and
     items_sha256 is of their ids, sorted as strings and comma-joined (of the empty string without any). Null or empty
-    texts have no words on either side. Repeated items and repeated documents change nothing but the number of rows.
+    texts have no words on either side; texts of any length are read whole. Repeated items and repeated documents change nothing but the number of rows.
     Other columns are not read; empty tables give no rows or no hits.
     """
     with Scratch(docs.sparkSession) as scratch:

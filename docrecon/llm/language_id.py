@@ -217,7 +217,11 @@ def fold_of(id_column: Column, folds: int) -> Column:
 
 
 def identify_languages(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", dims: int = 1024, seed: int = 7) -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score. Learns from the documents of which held_out is false."""
+    """One row per document: id, held_out, lang_pred, score. Learns from the documents of which held_out is false.
+
+    Null and empty texts and those without a letter are `und` with score 0. A text of any length is read whole. Repeated
+    rows give repeated results, an empty table none; other columns are not read, whatever their names.
+    """
     held = fold_of(F.col(id_column), 4) == 2
     languages, prototypes = language_prototypes(docs.filter(~held), text, lang, dims, seed)
     chosen = docs.select(F.col(id_column).alias("_id"), held.alias("held_out"), F.col(text).alias("_content"))

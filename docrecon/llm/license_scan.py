@@ -101,7 +101,7 @@ def license_scan(df: DataFrame, id_column: str = "doc_id", text: str = "text", t
     n_base counts the places of the phrases; first_word and last_word are their smallest and largest start, null
     without any. labels adds to the phrases' labels those of the templates. score is 1 with a phrase, else the largest
     share of a template that a block holds if that reaches the threshold, else 0. A null or empty text has no words and
-    no labels. Repeated rows give repeated results, an empty table none; other columns are not read.
+    no labels; a text of any length is read whole. Repeated rows give repeated results, an empty table none; other columns are not read.
     """
     source = df.select(*row_key(id_column, text), plain_words(F.col(text)).alias("_words"))
     labelled = template_labels(source, templates, threshold, max_template_words)

@@ -243,7 +243,7 @@ def page_text(html: str | None, model: MainTextModel) -> str:
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", model: MainTextModel | None = None) -> DataFrame:
     """One row per input row: id, url, text, n_chars (code points). Null and empty pages, and pages without main text,
-    have an empty text. Repeated rows give repeated results, an empty table none; other columns are not read."""
+    have an empty text. A page of any length and depth is read whole, in time in proportion to it. Repeated rows give repeated results, an empty table none; other columns are not read."""
     sent = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches):

@@ -199,7 +199,14 @@ def record_starts(records: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_column: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """Writes the records of all documents, reads the files back, and returns per document: id, start, n_tokens, ids_crc32."""
+    """Writes the records of all documents, reads the files back, and returns per document: id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are the end id alone; a text of any length is one record. Rows of one id stand together, ordered
+    by text, and count once each; null ids come first. An empty table gives no rows. Other columns are not read. Ids are
+    whole numbers: others raise ValueError.
+    """
+    if docs.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_column} holds no whole numbers")
     folder = folder or new_folder(docs.sparkSession, "records")
     write_records(docs, folder, tokenizer_path, end_id, id_column, text)
     return record_starts(keep(scan_records(docs.sparkSession, folder), "scanned"), id_column)
