@@ -84,9 +84,77 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, c
 from d left join c using (doc_id) left join o using (doc_id)"""
 
 
+def fill_in_middle(seed: int = 1, plain_percent: int = 10, spm_percent: int = 20) -> str:
+    """Pieces by slices of the token list; what is restored must be the text."""
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w, sha256('{seed}:' || coalesce(doc_id::varchar, '')) as g from documents),
+h as (select *, len(w) as n, [('0x' || substring(g, k, 8))::bigint for k in [1, 9, 17, 25]] as h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as i, greatest(h[1] % (n + 1), h[2] % (n + 1)) as j,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= {100 - plain_percent} then 'plain' when h[4] % 100 < {spm_percent} then 'spm' else 'psm' end as form from h),
+x as (select *, array_to_string(w[:i], '') as p, array_to_string(w[i + 1:j], '') as m, array_to_string(w[j + 1:], '') as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
+from x"""
+
+
+def conversation_repair() -> str:
+    """A row at a time, per state the least (cost, audit) with the text so far; CRC-32 bit by bit."""
+    bit = "case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    crc = f"xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::bigint), lambda a, b: list_reduce(range(8), lambda x, i: {bit}, xor(a, b)), 4294967295::bigint), 4294967295::bigint)"
+
+    def path(source, letter, cost, piece, when="true"):
+        return f"case when {source} is not null and ({when}) then struct_pack(c := {source}.c + {cost}, a := {source}.a || '{letter}', t := {source}.t || case when {source}.t = '' then '' else chr(10) end || {piece}) end"
+
+    def least(*offers):
+        return f"list_min([{', '.join(offers)}])"
+
+    def kept(source, initial):
+        return path(source, "K", "more", "role || ':' || text", f"held and left(role, 1) = '{initial}'")
+
+    def turned(source, name):
+        return path(source, "R", "3 + more", f"'{name}:' || text", "held")
+
+    def gone(source):
+        return f"case when {source} is not null then struct_pack(c := {source}.c + 4, a := {source}.a || 'D', t := {source}.t) end"
+
+    def added(source, name):
+        return path(source, "I", "3", f"'{name}:'")
+
+    steps = ", ".join([
+        f"{gone('r.s0')} as s0", f"{least(gone('r.s1'), kept('r.s0', 's'))} as s1",
+        f"{least(gone('r.s2'), *(f for x in ('r.s0', 'r.s1', 'r.s3') for f in (kept(x, 'u'), turned(x, 'user'))))} as s2",
+        f"{least(gone('r.s3'), kept('r.s2', 'a'), turned('r.s2', 'assistant'))} as s3",
+    ])
+    user = least("s2", *(added(x, "user") for x in ("s0", "s1", "s3")))
+    answer = least("s3", added("s2", "assistant"))
+    none = "null::struct(c bigint, a varchar, t varchar)"
+    return rf"""
+with recursive z as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+g as (select *, {crc} % 20 as kind from z),
+d as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case kind when 3 then [0, 1] else [0] end) as copy from g where kind <> 0),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, regexp_replace(text, '[ 	-
+]+$', '') as bare from d),
+e as (select *, row_number() over (partition by conv_id, role, text order by i) as seen, lag(left(role, 1)) over (partition by conv_id order by i) as before from n),
+f as (select *, case when bare = '' then 1 when seen > 1 then 2 when right(bare, 1) not in ('.', '!', '?') then 3 else 0 end as fault from e),
+q as (select *, fault in (0, 3) as held, case when fault = 3 then 3 else 0 end as more from f),
+r(conv_id, i, s0, s1, s2, s3) as (
+    select conv_id, 0::bigint, s0, s1, s2, {answer} from (select conv_id, s0, s1, {user} as s2, s3 from (select distinct conv_id, struct_pack(c := 0::bigint, a := '', t := '') as s0, {none} as s1, {none} as s2, {none} as s3 from conversations))
+    union all
+    select conv_id, i, s0, s1, s2, {answer} from (select conv_id, i, s0, s1, {user} as s2, s3 from (select r.conv_id, q.i, {steps} from r join q on q.conv_id is not distinct from r.conv_id and q.i = r.i + 1))),
+b as (select conv_id, {least("s0", "s3")} as best from r qualify row_number() over (partition by conv_id order by i desc) = 1),
+t as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 1) as blank, count(*) filter (where fault = 2) as duplicate, count(*) filter (where fault = 3) as truncated,
+    count(*) filter (where before is not null and before || left(role, 1) not in ('su', 'ua', 'au')) as illegal from q group by conv_id)
+select b.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+    best.c::bigint as cost, best.a as audit, sha256(best.t) as repaired_sha256
+from b left join t on t.conv_id is not distinct from b.conv_id"""
+
+
 ORACLE_SQL = {
     "op2_near_duplicates": near_duplicates(),
     "op3_license_scan": license_scan(),
     "op6_quality_rules": quality_rules(),
     "op7_decontamination": decontamination(),
+    "op12_fill_in_middle": fill_in_middle(),
+    "op13_conversation_repair": conversation_repair(),
 }

@@ -2,9 +2,12 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docrecon.llm.bpe_lexicon import bpe_encode
+from docrecon.llm.conversation_repair import damaged, repair_conversations
 from docrecon.llm.decontamination import decontaminate
+from docrecon.llm.fill_in_middle import fill_in_middle, restore
 from docrecon.llm.language_id import identify_languages
 from docrecon.llm.license_scan import license_scan
 from docrecon.llm.main_text import main_text
@@ -12,6 +15,7 @@ from docrecon.llm.near_duplicates import Similarity, near_duplicates
 from docrecon.llm.oracles import ORACLE_SQL
 from docrecon.llm.quality_classifier import classify_quality
 from docrecon.llm.quality_rules import quality_rules
+from docrecon.llm.simhash import simhash_components
 from docrecon.llm.token_records import token_records
 from docrecon.llm.toxicity import toxicity
 
@@ -60,6 +64,19 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = restore(fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), here="_here").withColumnRenamed("_conv", "conv_id")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_license_scan, op4_quality_classifier, op5_main_text, op6_quality_rules, op7_decontamination, op8_language_id, op9_bpe, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_license_scan, op4_quality_classifier, op5_main_text, op6_quality_rules, op7_decontamination, op8_language_id, op9_bpe, op10_token_records, op11_simhash, op12_fill_in_middle, op13_conversation_repair)}
