@@ -25,6 +25,8 @@ from docrecon.llm.storage import Scratch, broadcast_if_small, keep, map_batches
 SEED, BITS, HALF = 42, 64, 32
 #: Shingles whose hashes are held at once.
 BLOCK = 1 << 16
+#: A fingerprint of more than 1 / OFTEN of all rows is broadcast to them, so fewer than OFTEN are.
+OFTEN = 1000
 
 
 @dataclass(frozen=True)
@@ -113,9 +115,12 @@ def simhash_components(docs: DataFrame, how: SimHash = SimHash(), id_column: str
         raise ValueError(f"{id_column} holds no whole numbers")
     with Scratch(docs.sparkSession) as scratch:
         marks = scratch.keep(fingerprints(docs, how, id_column, text), "fingerprints")
-        heads = scratch.keep(marks.filter("_id is not null").groupBy("_print").agg(F.min("_id").alias("_least")), "heads")
+        own = marks.filter("_id is not null")
+        heads = scratch.keep(own.groupBy("_print").agg(F.min("_id").alias("_least"), F.count("*").alias("_rows")), "heads")
         parts = scratch.keep(connected_components(links(heads.select("_print"), how, scratch.keep), keep=scratch.keep), "components").withColumnRenamed("_node", "_print")
         least = parts.join(heads, "_print").groupBy("_component").agg(F.min("_least").alias("_first"))
-        reached = heads.join(parts.join(least, "_component").select("_print", "_first"), "_print", "left").select("_print", F.coalesce("_first", "_least").alias("_first"))
-        found = marks.join(reached, "_print", "left")
-        return keep(found.select(F.col("_id").alias(id_column), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), F.when(F.col("_id").isNotNull(), F.col("_first")).alias("component_id")), "simhash")
+        reached = scratch.keep(heads.join(parts.join(least, "_component").select("_print", "_first"), "_print", "left").select("_print", F.coalesce("_first", "_least").alias("_first"), "_rows"), "reached")
+        total = reached.agg(F.sum("_rows")).head()[0] or 0
+        often = F.broadcast(reached.filter(F.col("_rows") * OFTEN > total).drop("_rows"))
+        found = own.join(often, "_print").unionByName(own.join(often, "_print", "left_anti").join(reached.drop("_rows"), "_print")).unionByName(marks.filter("_id is null").withColumn("_first", F.lit(None).cast("long")))
+        return keep(found.select(F.col("_id").alias(id_column), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), F.col("_first").alias("component_id")), "simhash")
