@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from docrecon.functions.keys import dehyphen
 
 SEGMENT = r"\p{L}+[0-9]*|[0-9]+"
-GENERIC = r"(?<![\p{L}\p{N}_.])(\p{L}{1,5}[0-9]+(?:\.[0-9]+)*)(?![\p{L}\p{N}_])"
-#: A comma where a full stop should be, or a prefix alone: not corrected by guess.
-MALFORMED = r"(?<![\p{L}\p{N}_.])(\p{L}{1,5}(?:[0-9]*(?:\.[0-9]+)*,[0-9]+(?:\.[0-9]+)*|(?=\s*(?:,|$))))"
+#: What parts the words that codes are looked for in: anything but letters, digits, low lines and full stops. A comma before
+#: a digit parts nothing, as it may stand where a full stop should.
+BETWEEN = r"[^\p{L}\p{N}_.,]+|,(?![0-9])"
+#: Most letters of a code's prefix.
+LETTERS = 5
 PARENTHESES = r"\([^()]*\)"
 
 
@@ -38,6 +40,19 @@ def code_shape(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, r"\p{Lu}+", "A"), "[0-9]+", "N")
 
 
+def word_code(word: Column) -> Column:
+    """The code that a word (without blanks) begins with: a piece of letters and digits, then pieces of digits between full
+    stops; null without one, and where a comma stands for a full stop."""
+    pieces = F.split(word, r"\.")
+    head, rest = F.get(pieces, 0), F.slice(pieces, 2, F.size(pieces))
+    letters = F.regexp_extract(head, r"^\p{L}*", 0)
+    good = F.char_length(letters).between(1, LETTERS) & F.substring(head, F.char_length(letters) + 1, F.char_length(head)).rlike("^[0-9]+$")
+    stop = F.array_position(F.transform(rest, lambda p: p.rlike("^[0-9]+$")), False).cast("int")
+    n = F.when(stop == 0, F.size(rest)).otherwise(stop - 1)
+    broken = F.coalesce(F.get(rest, n), F.lit("")).rlike("^[0-9]+,")
+    return F.when(good & ~broken, F.array_join(F.concat(F.array(head), F.slice(rest, 1, n)), "."))
+
+
 def used_codes(text: Column, known: list[str], lo_prefix: str | None = None) -> Column:
     """Codes of a text in its order: in parentheses those whose prefix is all capitals, anywhere those of a known prefix.
 
@@ -46,16 +61,28 @@ def used_codes(text: Column, known: list[str], lo_prefix: str | None = None) ->
     """
     view, prefix = dehyphen(text), lambda x: F.regexp_extract(x, r"^\p{L}+", 0)
     outside, inside = F.split(view, PARENTHESES, -1), F.regexp_extract_all(view, F.lit(PARENTHESES), F.lit(0))
-    found = lambda part: F.regexp_extract_all(part, F.lit(GENERIC.replace(")(?!", ")(?!,[0-9])(?!")), F.lit(1))
+    found = lambda part: F.array_compact(F.transform(F.split(part, BETWEEN), word_code))
     is_known = lambda x: prefix(x).isin(*known) if known else F.lit(False)
-    parts = F.transform(F.arrays_zip(outside.alias("o"), inside.alias("i")), lambda p: F.concat(F.filter(found(p["o"]), is_known), F.coalesce(F.filter(found(p["i"]), lambda x: is_known(x) | x.rlike(r"^\p{Lu}+[0-9]")), F.array().cast("array<string>"))))
+    parts = F.transform(F.arrays_zip(outside.alias("o"), inside.alias("i")), lambda p: F.concat(F.filter(found(p["o"]), is_known), F.coalesce(F.filter(found(p["i"]), lambda x: is_known(x) | (F.upper(prefix(x)) == prefix(x))), F.array().cast("array<string>"))))
     return F.filter(F.flatten(parts), lambda x: prefix(x) != F.lit(lo_prefix or ""))
 
 
 def malformed_codes(text: Column, known: list[str]) -> Column:
-    """Broken spellings of codes in parentheses, as they stand: `KB2,4`, or a known prefix without a number."""
-    inner = F.transform(F.regexp_extract_all(dehyphen(text), F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(MALFORMED), F.lit(1)))
-    return F.filter(F.flatten(inner), lambda x: F.regexp_extract(x, r"^\p{L}+", 0).isin(*known) if known else F.lit(False))
+    """Broken spellings of codes in parentheses, as they stand: `KB2,4`, or a known prefix without a number at an entry's
+    end."""
+    entries = F.transform(F.regexp_extract_all(dehyphen(text), F.lit(PARENTHESES), F.lit(0)), lambda x: F.split(F.btrim(x, F.lit("()")), ",(?![0-9])"))
+    letters = lambda w: F.regexp_extract(w, r"^\p{L}*", 0)
+    comma = lambda w: F.contains(w, F.lit(",")) & (F.translate(F.substring(w, F.char_length(letters(w)) + 1, F.char_length(w)), "0123456789.,", "") == "")
+    alone = lambda w, last: last & (letters(w) == w)
+
+    def broken(entry):
+        words = F.split(F.btrim(entry), r"[^\p{L}\p{N}_.,]+")
+        marked = F.transform(words, lambda w, i: F.when(letters(w).isin(*known) & (comma(w) | alone(w, i == F.size(words) - 1)), w))
+        return F.array_compact(marked)
+
+    if not known:
+        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.flatten(F.transform(F.flatten(entries), broken))
 
 
 def sort_key(prefix: Column, segments: Column) -> list[Column]:

@@ -11,9 +11,8 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def fuzzy_variants(labels: DataFrame, vocabulary: DataFrame, label: str, word: str, edits: int = 2, least: int = 8, long: int = 12) -> DataFrame:
-    """Pairs within `edits` edits but not equal, of texts of `least` characters or more; a label below `long` characters
-    is allowed one edit alone, as two make another word of it.
+def within_edits(labels: DataFrame, vocabulary: DataFrame, label: str, word: str, edits: int = 2, least: int = 8) -> DataFrame:
+    """Different pairs of texts of `least` characters or more that are within `edits` edits, with their distance.
 
     Of edits + 1 pieces of a vocabulary word one is left whole by that many edits, at most that far from its place; so
     pieces are joined with the label's substrings at those places, and the distance is taken of what meets.
@@ -28,8 +27,27 @@ def fuzzy_variants(labels: DataFrame, vocabulary: DataFrame, label: str, word: s
     a = a.withColumn("_n", F.explode(F.expr(f"sequence(char_length({label}) - {edits}, char_length({label}) + {edits})"))).join(F.broadcast(shapes), "_n")
     a = a.withColumn("_shift", F.explode(F.sequence(F.lit(-edits), F.lit(edits)))).filter("_from + _shift >= 0").withColumn("_piece", F.expr(f"substring({label}, _from + _shift + 1, _size)"))
     met = a.join(v.select(word, "_n", "_k", "_piece"), ["_n", "_k", "_piece"]).select(label, word).distinct()
-    distance = F.levenshtein(F.col(label), F.col(word), edits)
-    return met.withColumn("distance", distance).filter((F.col("distance") > 0) & (F.col("distance") <= F.when(F.char_length(label) < long, 1).otherwise(edits)))
+    return met.withColumn("distance", F.levenshtein(F.col(label), F.col(word), edits)).filter("distance >= 0")
+
+
+def fuzzy_variants(labels: DataFrame, vocabulary: DataFrame, label: str, word: str, edits: int = 2, least: int = 8, long: int = 12) -> DataFrame:
+    """Pairs within `edits` edits but not equal, of texts of `least` characters or more; a label below `long` characters
+    is allowed one edit alone, as two make another word of it."""
+    met = within_edits(labels, vocabulary, label, word, edits, least)
+    return met.filter((F.col("distance") > 0) & (F.col("distance") <= F.when(F.char_length(label) < long, 1).otherwise(edits)))
+
+
+def begins_vocabulary(labels: DataFrame, vocabulary: DataFrame, label: str, word: str, edits: int = 2, least: int = 8) -> DataFrame:
+    """Labels (of `least` characters or more) that are still being read: within `edits` edits of the beginning of a
+    vocabulary word, a beginning as long as the label or one character longer or shorter. Each once.
+
+    Beginnings are made for the lengths that labels have, of which there are few, and are equal for many words, so each is
+    compared once.
+    """
+    lengths = labels.select(F.char_length(label).alias("_m")).filter(F.col("_m") >= least).distinct().select(F.explode(F.sequence(F.col("_m") - 1, F.col("_m") + 1)).alias("_m")).distinct()
+    starts = vocabulary.select(word).distinct().join(F.broadcast(lengths), F.char_length(word) >= F.col("_m")).select(F.expr(f"substring({word}, 1, _m)").alias("_start")).distinct()
+    met = within_edits(labels, starts, label, "_start", edits, least - 1).filter((F.char_length(label) >= least) & (F.abs(F.char_length(label) - F.char_length("_start")) <= 1))
+    return met.select(label).distinct()
 
 
 def unique_variant(variants: DataFrame, label: str, word: str) -> DataFrame:

@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 
 from docrecon.functions.keys import label_tokens, norm_label, ordinal_token
 
-# Roles of tables, and what a row's name may begin with (its number or a code), which names nothing.
+# Roles of tables.
 SUMMARY, ALTERNATIVE, LO_LIST = "SUMMARY", "ALTERNATIVE", "LO_LIST"
-ROW_NUMBER = r"^\s*[0-9]+\s*\.\s*(?=\S)"
-ROW_CODE = r"^\s*\p{L}+[ \t]*\.[ \t]*[0-9]+(?:[ \t]*\.[ \t]*[0-9]+)*[ \t]*\.?\s*"
 
 
 def row_name_key(name: Column) -> Column:
-    """Match key of a row's name without its leading number and code; null where nothing is left."""
-    return F.nullif(norm_label(F.regexp_replace(F.regexp_replace(name, ROW_NUMBER, ""), ROW_CODE, "")), F.lit(""))
+    """Match key of a row's name without its leading number, then without its leading code (letters, and numbers after
+    full stops); null where nothing is left. The name is cut at its full stops and its leading pieces are left out."""
+    number = lambda p: F.coalesce(p, F.lit("")).rlike("^[0-9]+$")
+    given = F.transform(F.split(name, r"\."), lambda x: F.btrim(x))
+    numbered = number(F.get(given, 0)) & (F.array_join(F.slice(given, 2, F.size(given)), "") != "")
+    pieces = F.when(numbered, F.slice(given, 2, F.size(given))).otherwise(given)
+    rest = F.slice(pieces, 2, F.size(pieces))
+    other = F.array_position(F.transform(rest, number), False).cast("int")
+    after = F.when(other > 0, F.slice(rest, other, F.size(rest))).otherwise(F.array().cast("array<string>"))
+    coded = F.get(pieces, 0).rlike(r"^\p{L}+$") & F.coalesce(F.get(rest, 0), F.lit("")).rlike("^[0-9]")
+    text = F.when(coded, F.regexp_replace(F.array_join(after, "."), "^[0-9]+", "")).otherwise(F.array_join(pieces, "."))
+    return F.nullif(norm_label(text), F.lit(""))
 
 
 def context_in_title(context: Column, title: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docrecon.functions import labels as L
 from docrecon.functions.keys import norm_label
-from docrecon.operators import cells, tables
+from docrecon.operators import cells, matching, tables
 from docrecon.plans import stand_ins as S
 from docrecon.plans.queries import _CELL, query
 
@@ -266,7 +266,7 @@ def q_lo_codes(spark, sf):
     """The shape that a line's code has, and the code itself where it has the learned shape nnn under any writing."""
     text = F.expr("case p_partkey % 5 when 0 then concat('MAT.', p_size, '.1.', p_partkey % 9, '. ', p_name) when 1 then concat(' MAT.', p_size, '.1.SÖS ', p_name) when 2 then concat('MAT.II.', p_size, '.1 ', p_name) when 3 then concat('MAT ', p_size, '.1.', p_partkey % 9, '. ', p_name) else concat('Bu MAT.', p_size, '.1.1. ', p_name) end")
     rows = S.table(spark, sf, "part").withColumn("t", text).withColumn("s", F.when(F.col("p_partkey") % 5 != 3, L.lo_shape(F.col("t"))))
-    return rows.select("p_partkey", "s.prefix", "s.types", L.matched(F.col("t"), L.lo_pattern(F.lit("MAT"), F.lit("nnn"))).alias("code"))
+    return rows.select("p_partkey", "s.prefix", "s.types", L.leading_code(F.col("t"), F.lit("MAT"), F.lit("nnn")).alias("code"))
 
 
 @query("with c as (select l_suppkey, l_orderkey, l_partkey, l_linenumber, case when l_partkey % 4 = 0 then 'nna' else 'nnn' end as types, 'P' || chr((65 + l_suppkey % 5)::int) as prefix from lineitem where l_partkey % 7 <> 0), g as (select l_suppkey, prefix, types, count(*) as n, min(l_orderkey * 100 + l_linenumber) as first from c group by 1, 2, 3) select l_suppkey, prefix, types, n from (select *, row_number() over (partition by l_suppkey order by n desc, first) as r from g) where r = 1")
@@ -276,9 +276,18 @@ def q_learn_lo_shape(spark, sf):
     return L.learn_lo_shape(rows, "l_suppkey", ["at"], "t")
 
 
-@query("with v as (select list(k order by k) as v from (select distinct regexp_replace(p_name, '[^a-z0-9]', '', 'g') as k from part where p_partkey <= 40)), q as (select p_partkey, case p_partkey % 3 when 0 then substring(k, 1, 9) when 1 then substring(k, 1, 4) || 'q' || substring(k, 6, 5) else 'zzzz' || k end as n from (select p_partkey, regexp_replace(p_name, '[^a-z0-9]', '', 'g') as k from part)) select p_partkey, n as norm, length(n) >= 8 and len(list_filter(v, lambda k: (length(k) >= length(n) - 1 and levenshtein(n, substring(k, 1, length(n) - 1)) <= 2) or (length(k) >= length(n) and levenshtein(n, substring(k, 1, length(n))) <= 2) or (length(k) >= length(n) + 1 and levenshtein(n, substring(k, 1, length(n) + 1)) <= 2))) > 0 as starts from q, v")
+_STARTS = "select p_partkey, k, case p_partkey % 3 when 0 then substring(k, 1, 9) when 1 then substring(k, 1, 4) || 'q' || substring(k, 6, 5) else 'zzzz' || k end as n from (select p_partkey, regexp_replace(p_name, '[^a-z0-9]', '', 'g') as k from part)"
+
+
+@query(
+    f"""with p as ({_STARTS}), q as (select distinct n from p where length(n) >= 8), m as (select distinct length(n) + d as m from q, (values (-1), (0), (1)) as x(d)), b as (select distinct substring(k, 1, m) as b from p, m where length(k) >= m),
+s as (select distinct n from q where exists (select 1 from b where abs(length(b) - length(n)) <= 1 and levenshtein(n, b) <= 2))
+select p_partkey, n as norm, s.n is not null as starts from p left join s using (n)"""
+)
 def q_label_starts(spark, sf):
+    """Of all parts' names: shortened and misspelt beginnings, and texts that begin nothing."""
     part = S.table(spark, sf, "part").withColumn("k", norm_label(F.col("p_name")))
-    vocabulary = part.filter("p_partkey <= 40").agg(F.array_sort(F.collect_set("k")).alias("v"))
     norm = F.when(F.col("p_partkey") % 3 == 0, F.substring("k", 1, 9)).when(F.col("p_partkey") % 3 == 1, F.concat(F.substring("k", 1, 4), F.lit("q"), F.substring("k", 6, 5))).otherwise(F.concat(F.lit("zzzz"), "k"))
-    return part.select("p_partkey", norm.alias("norm")).join(F.broadcast(vocabulary)).select("p_partkey", "norm", L.label_starts(F.col("norm"), F.col("v")).alias("starts"))
+    rows = part.select("p_partkey", "k", norm.alias("norm"))
+    found = matching.begins_vocabulary(rows, rows, "norm", "k").withColumn("starts", F.lit(True))
+    return rows.join(found, "norm", "left").select("p_partkey", "norm", F.coalesce("starts", F.lit(False)).alias("starts"))

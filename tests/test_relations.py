@@ -42,17 +42,26 @@ def test_context_in_title(spark):
     df = spark.createDataFrame([(c, t, w) for (c, t), w in cases.items()], "c string, t string, w boolean")
     assert df.filter(tables.context_in_title(label_tokens(F.col("c")), label_tokens(F.col("t"))) != F.col("w")).count() == 0
     assert rows(df.limit(1).select(tables.row_name_key(F.lit("MAT.1.3. Nesneler")).alias("k"), tables.row_name_key(F.lit("1. Sayılar")).alias("n")), "k", "n") == [("nesneler", "sayilar")]
+    names = {"MAT.1 Nesneler": "nesneler", "2. MAT. 1 . 3 . Nesneler": "nesneler", "MAT. Nesneler": "matnesneler", "1.": "1", "MAT.1.3.": None, "A.B. 1. x": "ab1x", "MAT.1.3 Sayı 5. Adım": "sayi5adim", "12": "12"}
+    df = spark.createDataFrame(list(names.items()), "t string, want string")
+    assert df.filter(~tables.row_name_key(F.col("t")).eqNullSafe(F.col("want"))).collect() == []
 
 
 def test_connectors_and_titles(spark):
     df = spark.createDataFrame([("ÖĞRENME ÇIKTILARI VE ", True, False), ("VE SÜREÇ ", False, True), ("Genellemeler/", False, False), ("ALAN BECERİLERİ", False, False), ("VERİLER", False, False)], "t string, e boolean, s boolean")
     assert df.filter((labels.ends_with_connector(F.col("t")) != F.col("e")) | (labels.starts_with_connector(F.col("t")) != F.col("s"))).count() == 0
     codes = spark.createDataFrame([(x,) for x in ("MÜZ.5.1.6. Müzik yazısı", "MÜZ. 5.1.6. ", "MÜZ 5.1.3.", "MÜZ.7.2.10.", "MÜZİK DERSİ", "MÜZ.5.1 eksik", "Bu MÜZ.5.1.3. satır")], "t string")
-    found = codes.withColumn("c", labels.matched(F.col("t"), labels.lo_pattern(F.lit("MÜZ"), F.lit("nnn"))))
-    assert found.filter("c is not null").count() == 4
-    shapes = {"EBRU.I.1.1.": ("EBRU", "ann"), "SBÇ.II.4.1": ("SBÇ", "ann"), "MAT.T.11.1.1.": ("MAT", "annn"), "MOY.1.1.": ("MOY", "nn"), "MAT1.1.": ("MAT", "nn"), "ARN.5.1.SÖS": ("ARN", "nna"), "MÜZ. 5.1.6.": ("MÜZ", "nnn"), "D7. Estetik": None}
+    got = {r.t: r.c for r in codes.withColumn("c", labels.leading_code(F.col("t"), F.lit("MÜZ"), F.lit("nnn"))).collect()}
+    assert {t: c for t, c in got.items() if c} == {"MÜZ.5.1.6. Müzik yazısı": "MÜZ.5.1.6.", "MÜZ. 5.1.6. ": "MÜZ. 5.1.6.", "MÜZ 5.1.3.": "MÜZ 5.1.3.", "MÜZ.7.2.10.": "MÜZ.7.2.10."}
+    shapes = {"EBRU.I.1.1.": ("EBRU", "ann"), "SBÇ.II.4.1": ("SBÇ", "ann"), "MAT.T.11.1.1.": ("MAT", "annn"), "MOY.1.1.": ("MOY", "nn"), "MAT1.1.": ("MAT", "nn"), "ARN.5.1.SÖS": ("ARN", "nna"), "MÜZ. 5.1.6.": ("MÜZ", "nnn"), "D7. Estetik": None, "MAT II 5.1": None, "MAT.5.1.2Sayı": ("MAT", "nnn"), "ENG.PREP.1.S3.": ("ENG", "ana"), "ENG.9.1.L1": ("ENG", "nna"), "ARN.5.1.SÖS, x": ("ARN", "nn"), "": None, "5.1.2": None}
     got = {r.t: tuple(r.s) if r.s else None for r in spark.createDataFrame([(x,) for x in shapes], "t string").withColumn("s", labels.lo_shape(F.col("t"))).collect()}
     assert got == shapes
+    written = {("ARN.5.1.SÖS Metin", "nna"): "ARN.5.1.SÖS", ("ARN5.1.D; x", "nna"): "ARN5.1.D", ("ARN.5.1.2Telif", "nnn"): None, ("ARN.5.1.2.Telif", "nnn"): "ARN.5.1.2.", (" ARN.6.4.0. ", "nna"): "ARN.6.4.0.", ("ARN.6.4.0. metin", "nna"): None, ("ARN.6.4.", "nnn"): "ARN.6.4.", ("ARN..6.4", "nn"): None, ("BAŞKA.6.4.1", "nnn"): None}
+    df = spark.createDataFrame([(*k, v) for k, v in written.items()], "t string, types string, want string")
+    assert df.filter(~labels.outcome_code(F.col("t"), F.lit("ARN"), F.col("types")).eqNullSafe(F.col("want"))).collect() == []
+    titles = {"3. TEMA: AD": (3, "AD", True), "TEMA 3: AD": (3, "AD", False), " 3 . Tema :\nAD ": (3, "AD", True), "3. TEMA:": None, "3. BÖLÜM: AD": None, "TEMA: AD": None, "3: AD": None, "3.1. TEMA: AD": None}
+    df = spark.createDataFrame([(t,) for t in titles], "t string").withColumn("u", labels.unit_title(F.col("t"), F.lit("Tema"), F.lit(False)))
+    assert {r.t: tuple(r.u) if r.u else None for r in df.collect()} == titles
     parts = F.array(F.lit("genellemeler"), F.lit("ilkeler"), F.lit("anahtarkavramlar"))
     words = {"Genellemeler/Anahtar Kavramlar": True, "İlkeler/ Genellemeler": False, "Genellemeler": False, "Genellemeler/Başka": False}
     got = {r.t: r.s for r in spark.createDataFrame([(x,) for x in words], "t string").withColumn("s", labels.compound_subset(F.col("t"), parts)).collect()}
