@@ -29,20 +29,21 @@ def license_scan(threshold: float = 0.8) -> str:
         f"select doc_id, '{label}' as label, unnest(list_filter(range(0, len(w) - {n - 1}), lambda i: w[i + 1:i + {n}] = {phrase.split()})) as place from w where len(w) >= {n}"
         for phrase, label in PHRASES.items() for n in [len(phrase.split())]
     )
-    notices = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in t)) for t in TEMPLATES)
+    notices = ", ".join("({}, {})".format(i, ", ".join("'" + x.replace("'", "''") + "'" for x in t)) for i, t in enumerate(TEMPLATES))
     return f"""
 with w as (select doc_id, {_PLAIN.format("text")} as w from documents),
 h as ({hits}),
-n as (select label, ' ' || name || ' ' as name, {_PLAIN.format("text")} as t from (values {notices}) as v(label, name, text)),
+n as (select template, label, ' ' || name || ' ' as name, {_PLAIN.format("text")} as t from (values {notices}) as v(template, label, name, text)),
 k as (select *, len(list_distinct(t)) as m, len(t) as size from n),
 x as (select doc_id, k.*, unnest(range(0, greatest(len(w) - size, 1), size)) as i, w from w, k),
-y as (select doc_id, label, m, len(list_intersect(list_distinct(t), w[i + 1:i + 2 * size])) as shared from x where contains(' ' || array_to_string(w[i + 1:i + 2 * size], ' ') || ' ', name)),
-t as (select doc_id, label, max(shared / m) as share from y where shared >= {threshold} * m - 1e-9 group by doc_id, label, m),
+z as (select doc_id, template, label, m, i, least(len(w), i + 2 * size) as j, len(list_intersect(list_distinct(t), w[i + 1:i + 2 * size])) as shared, contains(' ' || array_to_string(w[i + 1:i + 2 * size], ' ') || ' ', name) as named from x),
+y as (select * from z where shared >= {threshold} * m - 1e-9),
+t as (select * from y as o where named or not exists (select 1 from y where y.doc_id = o.doc_id and y.label <> o.label and y.i < o.j and o.i < y.j and (y.named or y.shared * o.m > o.shared * y.m))),
 b as (select doc_id, count(*) as n, min(place) as lo, max(place) as hi, string_agg(distinct label, ',' order by label) as labels from h group by doc_id),
 a as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from h union all select doc_id, label from t) group by doc_id),
-s as (select doc_id, max(share) as share from t group by doc_id)
+s as (select doc_id, max(shared / m) as share, string_agg(label || '#' || template || '@' || i || ':' || shared || '/' || m, ',' order by i, template) as blocks from y group by doc_id)
 select w.doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word,
-    coalesce(b.labels, '') as base_labels, coalesce(a.labels, '') as labels, case when b.n > 0 then 1.0 else coalesce(s.share, 0.0) end::double as score
+    coalesce(b.labels, '') as base_labels, coalesce(a.labels, '') as labels, case when b.n > 0 then 1.0 else coalesce(s.share, 0.0) end::double as score, coalesce(s.blocks, '') as blocks
 from w left join b using (doc_id) left join a using (doc_id) left join s using (doc_id)"""
 
 
