@@ -153,3 +153,20 @@ def merged_cells(cells: DataFrame, outcome: str, component: str) -> DataFrame:
 
     joined = lambda side, parts: F.when(F.col("kind") == "codes", entries(side, parts)).otherwise(text(side)).alias(side)
     return packed.select("theme", "header", joined("sheet", SHEET_PARTS), joined("document", DOCUMENT_PARTS), F.size("_all").alias("members"), merged_status(F.col("_s")).alias("status"))
+
+
+def diff_items(cells: DataFrame, theme: str = "Theme", outcome: str = "Outcome") -> DataFrame:
+    """The differences of a grid's cells(theme, lo, pos, header, sheet, document, status), each once: theme, lo, pos, header,
+    status, sheet, document. A theme that one side has alone is one row (header `*`, with the cell that the theme header names);
+    so is an outcome of a theme that both have. Cells that are equal, equal but for form, or empty are none."""
+    sided = F.when(F.count_if(F.col("document") != "") == 0, "YALNIZCA_SİSTEM").when(F.count_if(F.col("sheet") != "") == 0, "YALNIZCA_PDF")
+    held = cells.filter("sheet <> '' or document <> ''")
+    themes = held.groupBy("theme").agg(sided.alias("_theme"))
+    los = held.filter("lo is not null").groupBy("theme", "lo").agg(sided.alias("_lo"))
+    whole = held.join(themes, "theme").join(los, ["theme", "lo"], "left")
+    one_sided = whole.filter("coalesce(_theme, _lo) is not null").withColumn("_of", F.when(F.col("_theme").isNull(), F.col("lo")))
+    named = F.col("pos").isNull() & F.when(F.col("_theme").isNull(), F.col("header") == outcome).otherwise((F.col("header") == theme) & F.col("lo").isNull())
+    tops = one_sided.groupBy("theme", F.col("_of").alias("lo")).agg(F.max(F.coalesce("_theme", "_lo")).alias("status"), *(F.coalesce(F.max(F.when(named, F.col(c))), F.lit("")).alias(c) for c in ("sheet", "document")))
+    tops = tops.select("theme", "lo", F.lit(None).cast(cells.schema["pos"].dataType).alias("pos"), F.lit("*").alias("header"), "status", "sheet", "document")
+    own = whole.filter("_theme is null and _lo is null").filter(F.col("status").isin("FARKLI", "YALNIZCA_SİSTEM", "YALNIZCA_PDF"))
+    return own.select(tops.columns).unionByName(tops)

@@ -7,9 +7,14 @@ colour that a span has.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docrecon.functions import codes
 from docrecon.functions.keys import norm_label
+from docrecon.operators import answers as A
+from docrecon.operators import cells
+from docrecon.operators import code_columns as K
 from docrecon.operators import label_lines as L
 from docrecon.operators import units as U
+from docrecon.plans import grid_queries as G
 from docrecon.plans import stand_ins as S
 from docrecon.plans.queries import query
 
@@ -172,3 +177,146 @@ def q_adaptive_labels(spark, sf):
     """Lines of labels put together by each document's own line spacing."""
     lines = label_lines(spark, sf)
     return L.merged_lines(lines, "by_learned_leading", limits=L.learned_limits(lines)).drop("why")
+
+
+# ---- codes and columns by section
+
+
+def coded(spark, sf):
+    """(used, declared) codes: a supplier is a unit, its parts' brands and sizes the codes."""
+    parts = S.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper(F.substring("p_type", 1, 1)).alias("prefix"), F.regexp_extract("p_brand", "[0-9]+", 0).alias("b"), F.col("p_size").cast("string").alias("s"), "p_name")
+    rows = S.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("unit"), "l_partkey").distinct().join(parts, "l_partkey")
+    used = rows.select("unit", (F.col("l_partkey") % 4).alias("lo"), "prefix", F.array("b", "s").alias("segments"))
+    key = F.col("l_partkey") + F.col("unit")
+    category = F.element_at(F.array(*(F.lit(c) for c in CATEGORIES)), (F.col("l_partkey") % 6 + 1).cast("int"))
+    declared = rows.filter((key % 3 == 0) | (key % 5 == 0)).select("unit", F.col("l_partkey").alias("place"), category.alias("category"), "prefix", F.when(key % 3 == 0, F.array("b")).otherwise(F.array("b", "s")).alias("segments"), F.col("p_name").alias("entry"))
+    return used, declared
+
+
+CATEGORIES = ("Giriş > KAVRAMSAL BECERİLER", "Giriş > DEĞERLER", "Giriş > EĞİLİMLER", "Okuryazarlık Becerileri", "Sosyal-Duygusal Öğrenme", "ALAN BECERİLERİ")
+SQL_CODED = f"""r as (select distinct l_suppkey as unit, l_partkey from lineitem), p as (select p_partkey as l_partkey, upper(substring(p_type, 1, 1)) as prefix, regexp_extract(p_brand, '[0-9]+') as b, p_size::varchar as s, p_name from part), m as (select * from r join p using (l_partkey)),
+u as (select distinct unit, l_partkey % 4 as lo, prefix, [b, s] as segments from m),
+d as (select unit, l_partkey as place, {list(CATEGORIES)}[l_partkey % 6 + 1] as category, prefix, case when (l_partkey + unit) % 3 = 0 then [b] else [b, s] end as segments, p_name as entry from m where (l_partkey + unit) % 3 = 0 or (l_partkey + unit) % 5 = 0),
+c as (select u.*, max(struct_pack(place := place, category := category, entry := entry)) filter (where d.segments = u.segments) as ex, min(struct_pack(place := place, category := category)) filter (where u.segments[1:len(d.segments)] = d.segments) as co, min(struct_pack(place := place, category := category)) filter (where place is not null) as pr
+    from u left join d on d.unit = u.unit and d.prefix = u.prefix group by all),
+cats as (select unit, lo, prefix, array_to_string(segments, '.') as code, coalesce(ex.category, co.category, pr.category) as category, ex.entry as entry, case when ex is not null then 'exact' when co is not null then 'cover' when pr is not null then 'prefix' end as how from c)"""
+
+
+@query(f"with {SQL_CODED} select * from cats")
+def q_code_categories(spark, sf):
+    used, declared = coded(spark, sf)
+    return K.code_categories(used, declared, ["unit"]).select("unit", "lo", "prefix", F.array_join("segments", ".").alias("code"), "category", "entry", "how")
+
+
+_FOLDED = f"translate({S.sql_norm('''trim(string_split(category, '>')[-1])''')}, 'ğşçöüı', 'gscoui')"
+
+
+@query(
+    f"""with {SQL_CODED}, h as (select unnest({list(K.CODE_COLUMNS)}) as header, unnest({[list(v) for v in K.CODE_COLUMNS.values()]}) as words)
+select unit, lo, prefix, code, header, entry from (select *, {_FOLDED} as n from cats where category is not null), h where len(list_filter(words, lambda w: contains(n, w))) > 0"""
+)
+def q_column_codes(spark, sf):
+    used, declared = coded(spark, sf)
+    found = K.column_codes(K.code_categories(used, declared, ["unit"]))
+    return found.select("unit", "lo", "prefix", F.array_join("segments", ".").alias("code"), "header", "entry")
+
+
+@query(
+    f"""with {SQL_CODED}, n as (select distinct unit, prefix, segments from u where not exists (select 1 from d where d.unit = u.unit and d.prefix = u.prefix and u.segments[1:len(d.segments)] = d.segments)),
+k as (select * from d where category <> 'ALAN BECERİLERİ'), x as (select n.unit, n.prefix, n.segments, count(distinct category) as a, min(category) as ca, count(distinct category) filter (where k.segments[1] = n.segments[1]) as b, min(category) filter (where k.segments[1] = n.segments[1]) as cb
+    from n join k on k.unit = n.unit and k.prefix = n.prefix group by all)
+select unit, prefix, array_to_string(segments, '.') as code, case when a = 1 then ca else cb end as category from x where a = 1 or b = 1"""
+)
+def q_placed_undeclared(spark, sf):
+    used, declared = coded(spark, sf)
+    undeclared = codes.uncovered(used.select("unit", "prefix", "segments").distinct(), declared, ["unit"])
+    return K.placed_undeclared(undeclared, declared, ["unit"]).select("unit", "prefix", F.array_join("segments", ".").alias("code"), "category")
+
+
+@query(f"with {SQL_CODED} select u.unit, u.lo, u.prefix, array_to_string(u.segments, '.') as code, arg_min(entry, place) as entry from u left join d on d.unit = u.unit and d.prefix = u.prefix and d.segments = u.segments group by 1, 2, 3, 4")
+def q_declared_entry(spark, sf):
+    used, declared = coded(spark, sf)
+    return K.declared_entries_of(used.distinct(), declared, ["unit"]).select("unit", "lo", "prefix", F.array_join("segments", ".").alias("code"), "entry")
+
+
+_SECTIONS = f"""s as (select p_brand as unit, p_partkey as pos, case when p_partkey % 17 = 0 then null else {S.sql_norm("p_name")} end as key, case p_partkey % 7 when 0 then 'group' when 1 then 'applications' else 'other' end as kind from part where p_partkey % 3 = 0),
+h as (select distinct case p_partkey % 4 when 0 then p_name when 1 then p_name || ' (ek)' when 2 then p_name || ' / Programlar' else 'Öğrenme-Öğretme Uygulamaları / ' || p_name end as header from part where p_partkey % 3 = 1),
+k as (select header, {S.sql_norm("regexp_replace(header, '\\([^)]*\\)', '', 'g')")} as hk from h),
+f as (select unit, header, arg_max(pos, (length(key), -pos)) as pos from k join s on key <> '' and kind <> 'group' and (hk = key or (length(key) >= 8 and starts_with(hk, key))) group by 1, 2)"""
+
+
+@query(f"with {_SECTIONS} select * from f union all select unit, header, min(pos) from s, k where kind = 'applications' and starts_with(hk, 'öğrenmeöğretmeuygulamalari') and not exists (select 1 from f where f.unit = s.unit and f.header = k.header) group by 1, 2")
+def q_header_sections(spark, sf):
+    part = S.table(spark, sf, "part")
+    key = F.when(F.col("p_partkey") % 17 != 0, norm_label(F.col("p_name")))
+    sections = part.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("unit"), F.col("p_partkey").alias("pos"), key.alias("key"), F.expr("case p_partkey % 7 when 0 then 'group' when 1 then 'applications' else 'other' end").alias("kind"))
+    header = F.expr("case p_partkey % 4 when 0 then p_name when 1 then concat(p_name, ' (ek)') when 2 then concat(p_name, ' / Programlar') else concat('Öğrenme-Öğretme Uygulamaları / ', p_name) end")
+    return K.header_sections(part.filter("p_partkey % 3 = 1").select(header.alias("header")), sections, ["unit"])
+
+
+# ---- a second reader's answers
+
+
+def page_sides(spark, sf):
+    """(extracted, seen): an order is a page, its items what stands there; the other reader drops, misreads and turns around."""
+    parts = S.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*S.ITEM_ORDER))
+    rows = S.table(spark, sf, "lineitem").withColumn("pos", at).join(parts, "l_partkey")
+    kind = F.expr("case l_returnflag when 'A' then 'unit_titles' when 'N' then 'section_headings' else 'codes' end")
+    text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("D"), F.col("p_size").cast("string"), F.lit("."), (F.col("l_partkey") % 2).cast("string"))).otherwise(F.col("p_name"))
+    left = rows.select(F.col("l_orderkey").alias("page"), kind.alias("kind"), "pos", F.col("l_suppkey").alias("unit"), text.alias("text"), "l_partkey")
+    misread = F.expr("case when l_partkey % 5 = 1 then concat(left(text, char_length(text) - 1), 'q') when l_partkey % 5 = 2 then upper(text) else text end")
+    right = left.filter("l_partkey % 7 <> 0").select("page", "kind", (100 - F.col("pos")).alias("pos"), misread.alias("text"))
+    return left.drop("l_partkey"), right
+
+
+SQL_PAGES = f"""i as (select *, row_number() over (partition by l_orderkey order by {", ".join(S.ITEM_ORDER)}) as pos from lineitem),
+x as (select l_orderkey as page, case l_returnflag when 'A' then 'unit_titles' when 'N' then 'section_headings' else 'codes' end as kind, pos, l_suppkey as unit, case when l_returnflag = 'R' then 'D' || p_size || '.' || l_partkey % 2 else p_name end as text, l_partkey from i join part on p_partkey = l_partkey),
+y as (select page, kind, 100 - pos as pos, case when l_partkey % 5 = 1 then left(text, length(text) - 1) || 'q' when l_partkey % 5 = 2 then upper(text) else text end as text from x where l_partkey % 7 <> 0),
+xk as (select *, case when kind = 'codes' then rtrim(regexp_replace(text, '\\s+', '', 'g'), '.') else {S.sql_norm("text")} end as key from x), yk as (select *, case when kind = 'codes' then rtrim(regexp_replace(text, '\\s+', '', 'g'), '.') else {S.sql_norm("text")} end as key from y),
+e as (select page, kind, xk.pos as l, yk.pos as r, row_number() over (partition by page, kind order by xk.pos, yk.pos) as n from xk join yk using (page, kind) where xk.key = yk.key or (kind <> 'codes' and length(xk.key) >= 6 and levenshtein(xk.key, yk.key) <= greatest(1, length(xk.key) // 10))),
+w as (select page, kind, n, l, r, true as ok, l as done, [r] as taken from e where n = 1
+    union all select page, kind, n, l, r, ok, case when ok then l else done end, case when ok then list_append(taken, r) else taken end from (select e.*, e.l <> w.done and not list_contains(w.taken, e.r) as ok, w.done, w.taken from w join e on e.page = w.page and e.kind = w.kind and e.n = w.n + 1)),
+pairs as (select page, kind, l, r from w where ok)"""
+
+
+@query(
+    f"""with recursive {SQL_PAGES}, un as (select page, arg_min(unit, (kind, pos)) as unit from x group by 1)
+select x.page, x.kind, unit, case when r is null then 'YALNIZCA_PDF_CIKARIMI' else 'UYUMLU' end as status, case when r is null then 'GEMINI_NOT_CONFIRMED' end as code, x.text as extracted, y.text as seen from x left join pairs p on p.page = x.page and p.kind = x.kind and p.l = x.pos left join y on y.page = x.page and y.kind = x.kind and y.pos = p.r
+union all select y.page, y.kind, un.unit, 'YALNIZCA_GEMINI', 'GEMINI_NOT_EXTRACTED', null, y.text from y left join un using (page) where not exists (select 1 from pairs p where p.page = y.page and p.kind = y.kind and p.r = y.pos)"""
+)
+def q_compared_pages(spark, sf):
+    return A.compared_pages(*page_sides(spark, sf))
+
+
+_ANSWER = "case doc_id % 3 when 0 then replace(substring(text, 20, 30), ' ', '-  ') when 1 then {} || substring(text, 5, 12) else substring(text, 1, 2) end"
+
+
+@query(
+    rf"""with a as (select doc_id as cell, {_ANSWER.format("'zq'")} as answer, {S.sql_layer("text")} as page from documents), k as (select *, {S.sql_layer("answer")} as key from a), g as (select *, length(key) >= 3 and contains(page, key) as stands from k)
+select cell, '' as value, case when stands then answer end as answer, case when not stands then answer end as unverified from g"""
+)
+def q_applied_answers(spark, sf):
+    docs = S.table(spark, sf, "documents")
+    cells_ = docs.select(F.col("doc_id").alias("cell"), F.lit("").alias("value"))
+    answers = docs.select(F.col("doc_id").alias("cell"), F.col("doc_id").alias("page"), F.expr(_ANSWER.format("'zq'")).alias("answer"))
+    return A.applied_answers(cells_, answers, docs.select(F.col("doc_id").alias("page"), "text"))
+
+
+@query("select page, array_to_string(list_sort(list_distinct(list(cell))), ',') as cells from (select p_partkey as cell, unnest([p_size, p_size % 7]) as page from part) group by 1")
+def q_page_tasks(spark, sf):
+    found = A.page_tasks(S.table(spark, sf, "part").select(F.col("p_partkey").alias("cell"), F.expr("array(p_size, p_size % 7)").alias("pages")))
+    return found.select("page", F.array_join("cells", ",").alias("cells"))
+
+
+@query(
+    f"""with {G._GRID}, h as (select * from g where l <> '' or r <> ''), t as (select theme, case when count(*) filter (where l <> '') = 0 then 'YALNIZCA_SİSTEM' when count(*) filter (where r <> '') = 0 then 'YALNIZCA_PDF' end as ts from h group by 1),
+o as (select theme, lo, case when count(*) filter (where l <> '') = 0 then 'YALNIZCA_SİSTEM' when count(*) filter (where r <> '') = 0 then 'YALNIZCA_PDF' end as ls from h where lo is not null group by 1, 2),
+w as (select h.*, ts, ls from h join t using (theme) left join o on o.theme = h.theme and o.lo = h.lo)
+select theme, lo::int as lo, pos::int as pos, header, status, r as sheet, l as document from w where ts is null and ls is null and status in ('FARKLI', 'YALNIZCA_SİSTEM', 'YALNIZCA_PDF')
+union all select theme, case when ts is null then lo end::int as lo, null, '*', max(coalesce(ts, ls)), coalesce(max(case when pos is null and ((ts is null and header = 'Outcome') or (ts is not null and header = 'Theme' and lo is null)) then r end), ''),
+    coalesce(max(case when pos is null and ((ts is null and header = 'Outcome') or (ts is not null and header = 'Theme' and lo is null)) then l end), '') from w where coalesce(ts, ls) is not null group by 1, 2"""
+)
+def q_diff_items(spark, sf):
+    """Each difference of the grid once, one-sided themes and outcomes as one row."""
+    return cells.diff_items(G._grid(spark, sf))
