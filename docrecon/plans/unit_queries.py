@@ -13,6 +13,7 @@ from docrecon.operators import answers as A
 from docrecon.operators import cells
 from docrecon.operators import code_columns as K
 from docrecon.operators import label_lines as L
+from docrecon.operators import table_cells as T
 from docrecon.operators import units as U
 from docrecon.plans import grid_queries as G
 from docrecon.plans import stand_ins as S
@@ -320,3 +321,96 @@ union all select theme, case when ts is null then lo end::int as lo, null, '*',
 def q_diff_items(spark, sf):
     """Each difference of the grid once, one-sided themes and outcomes as one row."""
     return cells.diff_items(G._grid(spark, sf))
+
+
+# ---- expected tables from cells: a customer's orders are the rows of a table
+
+
+def table_cells(spark, sf):
+    """doc, table, row, col, x0, y0, x1, y1, text. Headers of two rows; some tables have a title row, some no order column."""
+    at = Window.partitionBy("o_custkey")
+    rows = S.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", F.row_number().over(at.orderBy("o_orderkey")).alias("n"), F.floor(F.col("o_totalprice") / 10000).cast("long").alias("h"), (F.col("o_orderkey") % 9).alias("c"))
+    one = rows.groupBy("doc").agg(F.count("*").alias("k"), F.sum("c").alias("cs"), F.sum("h").alias("hs"))
+    head = [
+        "0, 0, 0.0D, 450.0D, if(doc % 4 = 0, concat(doc % 12, '. SINIF DERSİ'), null)", "1, 0, 0.0D, 50.0D, if(doc % 3 <> 0, 'Sıra', null)", "1, 1, 50.0D, 200.0D, if(doc % 5 <> 0, 'TEMA', 'Ana Temalar')", "1, 2, 200.0D, 300.0D, 'Öğrenme Çıktısı Sayısı'",
+        "1, 3, 300.0D, 450.0D, 'Süre'", "2, 3, 300.0D, 400.0D, 'Ders Saati'", "2, 4, 400.0D, 450.0D, 'Oran'", "int(k + 3), 1, 50.0D, 200.0D, 'TOPLAM'", "int(k + 3), 2, 200.0D, 300.0D, string(cs)", "int(k + 3), 3, 300.0D, 400.0D, string(hs)",
+    ]
+    body = [
+        "int(n + 2), 0, 0.0D, if(doc % 3 = 0, 45.0D, 50.0D), case when doc % 3 <> 0 then string(n) when doc % 6 = 0 then concat(n, '.') end", "int(n + 2), 1, 50.0D, 200.0D, concat(if(doc % 6 = 3, concat(n, '. '), ''), 'Unit ', o_orderkey)",
+        "int(n + 2), 2, 200.0D, 300.0D, if(o_orderkey % 13 = 0, '-', string(c))", "int(n + 2), 3, 300.0D, 400.0D, string(h)", "int(n + 2), 4, 400.0D, 450.0D, concat('% ', h)",
+    ]
+    spread = lambda df, parts: df.selectExpr("doc", f"stack({len(parts)}, {', '.join(parts)}) as (row, col, x0, x1, text)")
+    cells_ = spread(one, head).unionByName(spread(rows, body)).filter("text is not null")
+    return cells_.select("doc", F.lit(0).alias("table"), "row", "col", "x0", (F.col("row") * 20.0).alias("y0"), "x1", (F.col("row") * 20.0 + 18).alias("y1"), "text")
+
+
+SQL_CELLS = """o as (select o_custkey as doc, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) as n, floor(o_totalprice / 10000)::bigint as h, o_orderkey % 9 as c from orders), s as (select doc, count(*) as k, sum(c) as cs, sum(h) as hs from o group by 1),
+cells as (select * from (
+    select doc, 0 as row, 0 as col, 0.0 as x0, 450.0 as x1, case when doc % 4 = 0 then doc % 12 || '. SINIF DERSİ' end as text from s union all select doc, 1, 0, 0, 50, case when doc % 3 <> 0 then 'Sıra' end from s union all select doc, 1, 1, 50, 200, case when doc % 5 <> 0 then 'TEMA' else 'Ana Temalar' end from s
+    union all select doc, 1, 2, 200, 300, 'Öğrenme Çıktısı Sayısı' from s union all select doc, 1, 3, 300, 450, 'Süre' from s union all select doc, 2, 3, 300, 400, 'Ders Saati' from s union all select doc, 2, 4, 400, 450, 'Oran' from s
+    union all select doc, k + 3, 1, 50, 200, 'TOPLAM' from s union all select doc, k + 3, 2, 200, 300, cs::varchar from s union all select doc, k + 3, 3, 300, 400, hs::varchar from s
+    union all select doc, n + 2, 0, 0, case when doc % 3 = 0 then 45 else 50 end, case when doc % 3 <> 0 then n::varchar when doc % 6 = 0 then n || '.' end from o union all select doc, n + 2, 1, 50, 200, case when doc % 6 = 3 then n || '. ' else '' end || 'Unit ' || k from o
+    union all select doc, n + 2, 2, 200, 300, case when k % 13 = 0 then '-' else c::varchar end from o union all select doc, n + 2, 3, 300, 400, h::varchar from o union all select doc, n + 2, 4, 400, 450, '% ' || h from o) where text is not null),
+wd as (select doc, min(row) as row, max(x1) - min(x0) as w from cells group by 1), ti as (select doc, row, max(text) as title from cells join wd using (doc, row) group by doc, row, w having count(*) = 1 and max(x1 - x0) >= 0.8 * w),
+b as (select * from cells anti join ti using (doc, row)), f as (select *, min(case when regexp_full_match(text, '[0-9]+|-') then row end) over (partition by doc) as start from b),
+hd as (select *, case when contains(text, 'Çıktı') then 'lo' when contains(text, 'Saat') then 'hours' when contains(text, 'Sıra') then 'order' when contains(lower(text), 'tema') then 'name' end as role from f where row < start or start is null),
+hn as (select doc, arg_min(x0, (lower(text) <> 'tema', x0)) as nx from hd where role = 'name' group by 1), ho as (select doc, bool_or(role = 'order') as has from hd group by 1),
+cv as (select f.doc, f.row, f.col, arg_min(struct_pack(role := hd.role), (hd.x1 - hd.x0, hd.row, hd.col)) as r from f join hd on hd.doc = f.doc and (f.x0 + f.x1) / 2 between hd.x0 - 1 and hd.x1 + 1 where f.row >= f.start group by 1, 2, 3),
+dr as (select f.*, coalesce(r.role, case when not coalesce(has, false) and regexp_full_match(text, '[0-9]+\\s*\\.') and x1 <= nx + 1 then 'order' end) as role, coalesce(has, false) as has from f left join cv on cv.doc = f.doc and cv.row = f.row and cv.col = f.col left join hn on hn.doc = f.doc left join ho on ho.doc = f.doc where f.row >= f.start),
+tx as (select doc, row, has, string_agg(text, ' ' order by col) filter (where role = 'order') as o, string_agg(text, ' ' order by col) filter (where role = 'name') as name, string_agg(text, ' ' order by col) filter (where role = 'lo') as count_raw, string_agg(text, ' ' order by col) filter (where role = 'hours') as h from dr where role is not null group by 1, 2, 3)"""
+
+
+@query(
+    f"""with {SQL_CELLS}, v as (select doc, row, case when o is not null then try_cast(rtrim(o, '.') as int) when not has then try_cast(nullif(regexp_extract(name, '^\\s*([0-9]+)\\s*\\.\\s*\\S', 1), '') as int) end as "order", name, count_raw, case when regexp_full_match(count_raw, '[0-9]+') then count_raw::int end as "count", case when regexp_full_match(h, '[0-9]+') then h::int end as hours from tx)
+select doc, row::int as n, "order", name, count_raw, "count", hours, row = max(row) over (partition by doc) and "order" is null and "count" is not null as is_total from v"""
+)
+def q_table_rows(spark, sf):
+    """Rows of expected tables, by the roles of their columns."""
+    return T.table_rows(table_cells(spark, sf), "Tema").drop("table")
+
+
+@query(f"with {SQL_CELLS} select doc, title from ti")
+def q_inner_titles(spark, sf):
+    return T.inner_titles(table_cells(spark, sf), "Tema").select("doc", "title")
+
+
+_ABOVE = """t as (select distinct l_orderkey as doc, 300.0::double as top, case when l_orderkey % 5 = 0 then 260.0::double else 0 end as after from lineitem),
+l as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by {order}) as row, * from lineitem),
+x as (select doc, row, 180 + row * 17.0 + l_partkey % 3 * 2 as y0, y0 + 10 + l_suppkey % 2 as y1, case when l_partkey % 11 = 0 then 14.0 else 12.0 end as size, l_suppkey % 2 as color, l_suppkey % 3 = 0 as heading, l_partkey || ' ' || l_suppkey as text from l)"""
+
+
+@query(
+    f"""with {_ABOVE.format(order=", ".join(S.ITEM_ORDER))}, b as (select x.*, top, lead(struct_pack(color := color, size := size, y0 := y0, heading := heading)) over w as n, max(case when heading then row end) over (partition by doc) as last from x join t using (doc)
+    where y1 <= top + 1 and y0 >= greatest(after, top - 90) window w as (partition by doc order by row)),
+g as (select *, coalesce(heading and n.heading and color = n.color and abs(size - n.size) <= 0.5 and n.y0 - y1 <= 0.6 * size, false) as goes from b),
+s as (select *, coalesce(max(case when row < last and not goes then row end) over (partition by doc), -1) as stop, max(case when y1 >= top - 40 then row end) over (partition by doc) as near from g)
+select doc, string_agg(text, chr(10) order by row) as title from s where case when last is not null then row > stop and row <= last else row = near end group by 1"""
+)
+def q_outer_titles(spark, sf):
+    """Titles above tables: an order is a page whose items are lines above its table."""
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*S.ITEM_ORDER))
+    rows = S.table(spark, sf, "lineitem").withColumn("row", at)
+    y0 = F.lit(180.0) + F.col("row") * 17.0 + F.col("l_partkey") % 3 * 2
+    lines = rows.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), "row", F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(100.0).alias("x1"), (y0 + 10 + F.col("l_suppkey") % 2).alias("y1"), F.when(F.col("l_partkey") % 11 == 0, 14.0).otherwise(12.0).alias("size"), (F.col("l_suppkey") % 2).alias("color"), (F.col("l_suppkey") % 3 == 0).alias("heading"), F.concat_ws(" ", "l_partkey", "l_suppkey").alias("text"))
+    tables_ = rows.select(F.col("l_orderkey").alias("doc")).distinct().select("doc", F.lit(0).alias("table"), F.lit(1).alias("page"), F.lit(0.0).alias("x0"), F.lit(300.0).alias("y0"), F.lit(200.0).alias("x1"), F.when(F.col("doc") % 5 == 0, 260.0).otherwise(0.0).alias("after"))
+    return T.outer_titles(tables_, lines).drop("table")
+
+
+@query(
+    """with i as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as n from lineitem where l_orderkey % 4 <> 3),
+c as (select l_orderkey as doc, n, n || case when l_partkey % 2 = 0 then '. ' else ' ' end || 'Unit ' || l_suppkey as name, ['MAT.5.1.' || n || '.', case when l_partkey % 3 = 0 then 'MAT.5.x' when l_partkey % 3 = 1 then 'MAT. 5.2.' || l_suppkey else 'MAT.5.3.1. text' end] as raws from i)
+select doc, n as col, case when contains(name, '. ') then n::int end as "order", name, k - 1 as place, raws[k] as raw, regexp_full_match(raws[k], 'MAT\\. ?[0-9]+\\.[0-9]+\\.[0-9]+\\.?') as parsed from c, (values (1), (2)) as v(k)"""
+)
+def q_outcome_lists(spark, sf):
+    """Tables that list codes under units: an order is a table, its items the columns; some tables have one row too few."""
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*S.ITEM_ORDER))
+    rows = S.table(spark, sf, "lineitem").withColumn("n", at)
+    name = F.concat(F.col("n").cast("string"), F.when(F.col("l_partkey") % 2 == 0, ". ").otherwise(" "), F.lit("Unit "), F.col("l_suppkey").cast("string"))
+    second = F.expr("case l_partkey % 3 when 0 then 'MAT.5.x' when 1 then concat('MAT. 5.2.', l_suppkey) else 'MAT.5.3.1. text' end")
+    raw = F.concat(F.lit("MAT.5.1."), F.col("n").cast("string"), F.lit(".\n"), second)
+    place = lambda row, col, text: [F.col("l_orderkey").alias("doc"), F.lit(0).alias("table"), F.lit(row).alias("row"), col.cast("int").alias("col"), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")), text.alias("text")]
+    heads = rows.filter("n = 1")
+    cells_ = rows.select(*place(0, F.col("n"), name)).unionByName(rows.filter("l_orderkey % 4 <> 3").select(*place(1, F.col("n"), raw)))
+    cells_ = cells_.unionByName(heads.select(*place(0, F.lit(0), F.lit("TEMA")))).unionByName(heads.select(*place(1, F.lit(0), F.lit("Öğrenme Çıktıları"))))
+    schemes = heads.select(F.col("l_orderkey").alias("doc"), F.lit("MAT").alias("prefix"), F.lit("nnn").alias("types"))
+    return T.outcome_lists(cells_, "Tema", schemes).drop("table")
