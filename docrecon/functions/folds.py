@@ -5,7 +5,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from docrecon.functions import keys
 from docrecon.functions.keys import HYPHENS, QUOTES_FROM, QUOTES_TO
@@ -37,6 +37,84 @@ def declared_entries(text: pd.Series) -> pd.Series:
     return text.map(lambda x: [{"pos": p, "open": o, "entry": e} for p, o, e in _entries(x)], na_action="ignore")
 
 
+def _code_at(text: str, at: int) -> tuple[int, bool, bool]:
+    """Of a word that begins at a place: how long the code-like part at its start is (0 without one), whether it stands as a
+    declaration's code does, and whether that is the usual way to write one.
+
+    A code is one to five letters, a full stop perhaps, and numbers between full stops. It declares where a full stop and then a
+    blank or a letter, a blank, or a comma follow; written as usual, letters and numbers touch and a full stop and a blank end it.
+    """
+    n = at
+    while n < len(text) and text[n].isalpha():
+        n += 1
+    if not 1 <= n - at <= 5:
+        return 0, False, False
+    touching = n < len(text) and text[n] != "."
+    n += not touching
+    end = 0
+    while n < len(text) and text[n].isdigit():
+        while n < len(text) and text[n].isdigit():
+            n += 1
+        end = n
+        n += n < len(text) and text[n] == "."
+    if not end:
+        return 0, False, False
+    after, then = text[end : end + 1], text[end + 1 : end + 2]
+    if after == "." and (then.isspace() or then.isalpha()):
+        return end + 1 - at, True, touching and then.isspace()
+    return end - at, after.isspace() or after == ",", False
+
+
+def _declarations(text: str) -> dict:
+    """Entries and residue of a text of declared codes, in one pass; entries whose end is not known yet wait on a stack."""
+    entries, waiting, parents, residue, depth = [], [], [], [], 0
+    if not _code_at(text, 0)[1]:
+        return {"entries": [], "residue": []}
+    skip = 0
+    for i, c in enumerate(text):
+        before = text[i - 1] if i else " "
+        if i >= skip and c.isalpha() and not (before.isalnum() or before in "._"):
+            size, declares, usual = _code_at(text, i)
+            if declares and (i == 0 or before.isspace() or before in ",;("):
+                while waiting and waiting[-1]["depth"] >= depth:
+                    waiting.pop()["end"] = i
+                while parents and parents[-1]["depth"] >= depth:
+                    parents.pop()
+                entry = {"pos": len(entries), "start": i, "end": len(text), "depth": depth, "code": text[i : i + size], "parent": parents[-1]["pos"] if parents else None, "usual": usual}
+                entries.append(entry)
+                waiting.append(entry)
+                parents.append(entry)
+            elif size:
+                residue.append({"start": i, "text": text[i : i + size].rstrip(".")})
+            skip = i + size
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            while waiting and depth > 0 and waiting[-1]["depth"] >= depth:
+                waiting.pop()["end"] = i
+            depth = max(0, depth - 1)
+    for e in entries:
+        e["entry"] = text[e["start"] : e["end"]].rstrip().rstrip(",;").rstrip()
+    return {"entries": entries, "residue": residue}
+
+
+DECLARED = StructType(
+    [
+        StructField("entries", ArrayType(StructType([StructField(n, t) for n, t in (("pos", IntegerType()), ("start", IntegerType()), ("end", IntegerType()), ("depth", IntegerType()), ("code", StringType()), ("parent", IntegerType()), ("usual", BooleanType()), ("entry", StringType()))]))),
+        StructField("residue", ArrayType(StructType([StructField("start", IntegerType()), StructField("text", StringType())]))),
+    ]
+)
+
+
+@F.pandas_udf(DECLARED)
+def declarations(text: pd.Series) -> pd.DataFrame:
+    """Declared codes of a text (as keys.dehyphen gives it) with their place, depth of parentheses, parent (the nearest entry
+    before it at a smaller depth) and text, which ends where the next entry of no greater depth begins or its parentheses close;
+    and residue, what looks like a code but begins no entry. A text that does not begin with an entry has none."""
+    found = [_declarations(x or "") for x in text]
+    return pd.DataFrame(found, columns=["entries", "residue"])
+
+
 def _common_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How long the longest common subsequence of x and each leading part of y is; one row of the table at a time.
 

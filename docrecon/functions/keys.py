@@ -24,8 +24,11 @@ def composed(c: Column) -> Column:
     """Composed characters (NFC) by the library that Spark's own collations use. Texts below U+0300 are composed as they
     are, so few reach it; null stays null. Catalyst takes the call for one that may vary, so it stands in a projection,
     before an aggregate or a join that uses it."""
-    whole = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
-    return F.when(c.rlike(r"[^\x00-\x{2ff}]"), whole).otherwise(c)
+    def run(x):
+        return F.when(x.rlike(r"[^\x00-\x{2ff}]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(False))).otherwise(x)
+
+    # as the one element of an array, c is computed once, whatever stands in it
+    return F.get(F.transform(F.array(c), run), 0)
 
 
 def tr_lower(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docrecon.functions.codes import code_prefix, code_segments
 from docrecon.functions.keys import PLACEHOLDER, norm_label, short, squeeze, without_name_suffix
 from docrecon.functions.status import cell_status, merged_status
+from docrecon.operators.scans import kept
 
 # A code with a name, what an empty cell of the spreadsheet says, what parts of a list by side, and the
 # order in which a row's cells decide its status.
@@ -109,7 +110,8 @@ def grid_cells(document: DataFrame, sheet: DataFrame, code_headers: list[str]) -
     both = document.select(*keys, F.col("value").alias("document"), F.lit(None).cast("string").alias("sheet")).unionByName(sheet.select(*keys, F.lit(None).cast("string").alias("document"), F.col("value").alias("sheet")))
     cells = both.groupBy(*keys).agg(F.coalesce(F.min("sheet"), F.lit("")).alias("sheet"), F.coalesce(F.min("document"), F.lit("")).alias("document"))
     kind = F.when(F.col("header").isin(*code_headers), "codes").when(F.col("lo").isNull() & looks_like_items(F.col("sheet"), F.col("document")), "items").otherwise("text")
-    cells = cells.withColumn("kind", kind).withColumns({"_lo": F.coalesce(F.col("lo").cast("string"), F.lit("")), "_pos": F.coalesce(F.col("pos").cast("string"), F.lit(""))})
+    # three comparisons build on the cells
+    cells = kept(cells.withColumn("kind", kind), "cells").withColumns({"_lo": F.coalesce(F.col("lo").cast("string"), F.lit("")), "_pos": F.coalesce(F.col("pos").cast("string"), F.lit(""))})
     ids = ["theme", "_lo", "_pos", "header"]
     codes = code_cells(cells.filter("kind = 'codes'"), ids, "sheet", "document").select(*ids, "status")
     items = item_cells(cells.filter("kind = 'items'"), ids, "sheet", "document").select(*ids, "status")
@@ -122,6 +124,7 @@ def grid_rows(cells: DataFrame, component: str) -> DataFrame:
     """The rows that a grid shows: theme, lo, pos, first_of_theme, first_of_lo, status. An outcome has a row for each of its
     components and one if it has none, a theme without outcomes one. A theme's cells count in its first row, an
     outcome's in its first; the row's status is the first of ROW_ORDER that a cell of it has."""
+    cells = kept(cells, "grid")
     first = F.lit(0).cast(cells.schema["pos"].dataType)
     los = cells.filter("lo is not null").select("theme", "lo").distinct()
     parts = cells.filter(F.col("header") == component).select("theme", "lo", "pos").distinct()
@@ -160,7 +163,7 @@ def diff_items(cells: DataFrame, theme: str = "Theme", outcome: str = "Outcome")
     status, sheet, document. A theme that one side has alone is one row (header `*`, with the cell that the theme header names);
     so is an outcome of a theme that both have. Cells that are equal, equal but for form, or empty are none."""
     sided = F.when(F.count_if(F.col("document") != "") == 0, "YALNIZCA_SİSTEM").when(F.count_if(F.col("sheet") != "") == 0, "YALNIZCA_PDF")
-    held = cells.filter("sheet <> '' or document <> ''")
+    held = kept(cells.filter("sheet <> '' or document <> ''"), "grid")
     themes = held.groupBy("theme").agg(sided.alias("_theme"))
     los = held.filter("lo is not null").groupBy("theme", "lo").agg(sided.alias("_lo"))
     whole = held.join(themes, "theme").join(los, ["theme", "lo"], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.functions.keys import label_tokens, norm_label, ordinal_token
+from docrecon.operators.scans import kept
 
 # Roles of tables.
 SUMMARY, ALTERNATIVE, LO_LIST = "SUMMARY", "ALTERNATIVE", "LO_LIST"
@@ -79,9 +80,12 @@ def match_rows(units: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFram
 
 def expected_findings(units: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
     """What matching units with summary tables shows, per unit, table and document."""
-    matched = match_rows(units, tables, rows)
+    # eleven findings build on these
+    units, tables, rows = kept(units, "units"), kept(tables, "tables"), kept(rows, "rows")
+    matched = kept(match_rows(units, tables, rows), "matched")
     named = matched.join(rows.select("doc", "table", "n", F.col("name").alias("_row_name"), "count", "hours", F.col("order").alias("_order")), ["doc", "table", "n"], "left").join(units.select("doc", "unit", "name", "los"), ["doc", "unit"])
-    differs = row_name_key(F.col("_row_name")).isNotNull() & F.col("name").isNotNull() & (row_name_key(F.col("_row_name")) != norm_label(F.col("name")))
+    named = kept(named.withColumns({"_row_key": row_name_key(F.col("_row_name")), "_key": norm_label(F.col("name"))}), "named")
+    differs = F.col("_row_key") != F.col("_key")
     used = matched.filter("n is not null").select("doc", "table", "n").distinct()
     with_rows = used.select("doc", "table").distinct()
     summary = tables.filter(F.col("role") == SUMMARY).select("doc", "table")

@@ -12,6 +12,7 @@ from docrecon.functions.keys import norm_label
 from docrecon.operators import answers as A
 from docrecon.operators import cells
 from docrecon.operators import code_columns as K
+from docrecon.operators import declarations as D
 from docrecon.operators import label_lines as L
 from docrecon.operators import table_cells as T
 from docrecon.operators import units as U
@@ -414,3 +415,44 @@ def q_outcome_lists(spark, sf):
     cells_ = cells_.unionByName(heads.select(*place(0, F.lit(0), F.lit("TEMA")))).unionByName(heads.select(*place(1, F.lit(0), F.lit("Öğrenme Çıktıları"))))
     schemes = heads.select(F.col("l_orderkey").alias("doc"), F.lit("MAT").alias("prefix"), F.lit("nnn").alias("types"))
     return T.outcome_lists(cells_, "Tema", schemes).drop("table")
+
+
+# ---- declared codes: a supplier's section declares the codes of its parts
+
+_PIECES = {
+    "spark": "case l_partkey % 9 when 0 then concat('(', code, '. ', p_name, ')') when 1 then concat(code, ',') when 2 then concat(code, '.', p_name) when 3 then concat('ve ', p_name, 'x-', code) when 4 then concat(code, '. ', p_name, ' (', 'Z', code, '. alt, Y', code, '. üst (iç))') else concat(code, '. ', p_name) end",
+    "code": "concat(upper(substring(p_type, 1, 1)), p_size, '.', l_partkey % 13)",
+}
+
+
+def declaring(spark, sf):
+    """unit, text: declarations in the order of parts, parted by commas; first a plain one."""
+    parts = S.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
+    rows = S.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("unit"), "l_partkey").distinct().join(parts, "l_partkey").withColumn("code", F.expr(_PIECES["code"])).withColumn("piece", F.expr(_PIECES["spark"]))
+    packed = rows.groupBy("unit", (F.col("l_partkey") % 50).alias("section")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "piece"))).alias("all"))
+    return packed.select("unit", "section", F.concat(F.lit("A1. Önce, "), F.array_join(F.transform("all", lambda x: x["piece"]), ", ")).alias("text"))
+
+
+#: Which pieces declare what, as the rules say it: a code after a comma or a parenthesis and before a full stop and a blank or
+#: letter, or before a comma.
+_SQL_DECLARING = """p as (select p_partkey as l_partkey, p_name, upper(substring(p_type, 1, 1)) || p_size || '.' || p_partkey % 13 as code from part), r as (select distinct l_suppkey as unit, l_partkey from lineitem),
+x as (select unit, l_partkey % 50 as section, l_partkey, code, p_name, l_partkey % 9 as k from r join p using (l_partkey)),
+d as (select unit, section, l_partkey, 0 as n, code || case when k = 1 then '' else '.' end as code, k = 1 as bare, k not in (1, 2) as usual, null as parent from x where k <> 3
+    union all select unit, section, l_partkey, 1, 'Z' || code || '.', false, true, code from x where k = 4 union all select unit, section, l_partkey, 2, 'Y' || code || '.', false, true, code from x where k = 4),
+s as (select distinct unit, section from x)"""
+
+
+@query(
+    f"""with {_SQL_DECLARING} select unit, section, code, 'DECLARATION_NAME_MISSING' as finding from d where bare union all select unit, section, code, 'CODE_FORMAT_ANOMALY' from d where not bare and not usual
+union all select unit, section, code, 'DECLARATION_UNPARSED_CODE' from x where k = 3"""
+)
+def q_declaration_findings(spark, sf):
+    found = D.declaration_findings(declaring(spark, sf), ["unit", "section"])
+    return found.select("unit", "section", F.col("detail").alias("code"), F.col("code").alias("finding"))
+
+
+@query()
+def q_declared_codes(spark, sf):
+    """Declared codes with parents and places in the text."""
+    found = D.declared_codes(declaring(spark, sf))
+    return found.select("unit", "section", "pos", "start", "end", "code", "parent", "entry", "usual", F.expr("substring(text, start + 1, char_length(entry)) = entry").alias("stands"))

@@ -90,3 +90,75 @@ def test_diff_items(spark):
     ]
     found = cells.diff_items(spark.createDataFrame(rows, "theme string, lo int, pos int, header string, sheet string, document string, status string")).collect()
     assert sorted(((r.theme, r.lo, r.header, r.status, r.sheet, r.document) for r in found), key=str) == sorted([("t1", 1, "Outcome", "FARKLI", "o", "p"), ("t1", 2, "*", "YALNIZCA_SİSTEM", "only", ""), ("t2", None, "*", "YALNIZCA_PDF", "", "doc")], key=str)
+
+
+def test_declarations_against_a_slow_version(spark):
+    """Entries by looking at every place and, for each, ahead over the whole text."""
+    from docrecon.functions.folds import _declarations
+
+    draw = random.Random(4)
+    pieces = ["E1.1. Merak", "E1.2 Soru", "KB2.14,", "E.3. Üç", "E3.8.Soru", "(BT1. bir", "BT1.2. iki)", ")", "(", ", ", "; ", " ", "UZUNAD1. x", "x-K1", "cm3", "A", "1", ".", "_E1. y", "D9."]
+
+    def head(text, i):
+        n = i
+        while n < len(text) and text[n].isalpha():
+            n += 1
+        if not 1 <= n - i <= 5:
+            return None
+        best = None
+        for end in range(n + 1, len(text) + 1):
+            body = text[n:end].removeprefix(".")
+            if body and all(x.isdigit() and x for x in body.split(".")):
+                best = end
+        return best
+
+    def slow(text):
+        depth, now = [], 0
+        for c in text:
+            depth.append(now)
+            now = now + 1 if c == "(" else max(0, now - 1) if c == ")" else now
+        starts, loose = [], []
+        for i, c in enumerate(text):
+            before = text[i - 1] if i else ""
+            if not c.isalpha() or (before and (before.isalnum() or before in "._")):
+                continue
+            end = head(text, i)
+            if end is None:
+                continue
+            after, then = text[end : end + 1], text[end + 1 : end + 2]
+            dot = after == "." and (then.isspace() or then.isalpha())
+            if (dot or after.isspace() or after == ",") and (not before or before.isspace() or before in ",;("):
+                starts.append((i, text[i : end + dot]))
+            else:
+                loose.append((i, text[i:end]))
+        if not starts or starts[0][0] != 0:
+            return [], []
+        entries = []
+        for k, (i, code) in enumerate(starts):
+            end = next((j for j, _ in starts[k + 1 :] if depth[j] <= depth[i]), len(text))
+            if depth[i]:
+                end = next((j for j in range(i, end) if text[j] == ")" and depth[j] == depth[i]), end)
+            parent = next((j for j in range(k - 1, -1, -1) if all(depth[starts[m][0]] >= depth[i] for m in range(j + 1, k)) and depth[starts[j][0]] < depth[i]), None)
+            entries.append((i, end, code, parent))
+        return entries, loose
+
+    seen = 0
+    for _ in range(3000):
+        text = "".join(draw.choice(pieces) + draw.choice(["", " ", ", ", "; "]) for _ in range(draw.randint(0, 9)))
+        found = _declarations(text)
+        got = [(e["start"], e["end"], e["code"], e["parent"]) for e in found["entries"]], [(r["start"], r["text"]) for r in found["residue"]]
+        assert got == slow(text), text
+        seen += len(got[0]) > 2
+    assert seen > 200
+
+
+def test_declared_codes(spark):
+    from docrecon.operators import declarations as D
+
+    text = "BTYAB2. Düşünme (BTYAB2.1. Alt,\nBTYAB2.2. Üst), KB2.\n14. Yapı, KB2.15, E.1.1. Merak x-E9"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "önce E1. bir")], "unit int, text string")
+    found = D.declared_codes(rows).orderBy("pos").collect()
+    assert [(r.code, r.parent, r.usual) for r in found] == [("BTYAB2.", None, True), ("BTYAB2.1.", "BTYAB.2", True), ("BTYAB2.2.", "BTYAB.2", True), ("KB2.14.", None, True), ("KB2.15", None, False), ("E.1.1.", None, False)]
+    assert text[found[0].start : found[0].end].startswith("BTYAB2. Düşünme (BTYAB2.1.") and text[found[3].start : found[3].end] == "KB2.\n14. Yapı, " and found[3].entry == "KB2.14. Yapı"
+    bad = {(r.code, r.detail) for r in D.declaration_findings(rows, ["unit"]).collect()}
+    assert bad == {("DECLARATION_NAME_MISSING", "KB2.15"), ("CODE_FORMAT_ANOMALY", "E.1.1."), ("DECLARATION_UNPARSED_CODE", "E9")}
