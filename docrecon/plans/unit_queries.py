@@ -19,6 +19,7 @@ from docrecon.operators import units as U
 from docrecon.plans import grid_queries as G
 from docrecon.plans import stand_ins as S
 from docrecon.plans.queries import query
+from docrecon.streaming import ingest
 
 
 def unit_spans(spark, sf):
@@ -456,3 +457,19 @@ def q_declared_codes(spark, sf):
     """Declared codes with parents and places in the text."""
     found = D.declared_codes(declaring(spark, sf))
     return found.select("unit", "section", "pos", "start", "end", "code", "parent", "entry", "usual", F.expr("substring(text, start + 1, char_length(entry)) = entry").alias("stands"))
+
+
+# ---- files that are new or changed: a document is a file, its length and source what a listing says of it
+
+
+@query(
+    """with f as (select 'doc/' || doc_id as path, n_chars as length, source as m, doc_id from documents), n as (select path, sha1(path || '|' || length || '|' || m || '|v2') as signature from f),
+s as (select path, sha1(path || '|' || (length + case when doc_id % 5 = 0 then 1 else 0 end) || '|' || m || '|' || case when doc_id % 7 = 0 then 'v1' else 'v2' end) as signature from f where doc_id % 3 <> 0)
+select path, signature, case when path in (select path from s) then 'changed' else 'new' end as status from n where signature not in (select signature from s)"""
+)
+def q_pending_files(spark, sf):
+    docs = S.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("length"), F.col("source").alias("modificationTime"), "doc_id")
+    before = docs.filter("doc_id % 3 <> 0").withColumn("length", F.col("length") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0))
+    mark = lambda df, settings: df.select("path", ingest.signature(F.col("path"), F.col("length"), F.col("modificationTime"), settings).alias("signature"))
+    seen = mark(before.filter("doc_id % 7 = 0"), "v1").unionByName(mark(before.filter("doc_id % 7 <> 0"), "v2"))
+    return ingest.pending(docs, seen, "v2")

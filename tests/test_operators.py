@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docrecon.operators import checks, diff, layout, sequences, votes
@@ -99,6 +100,29 @@ def test_ingest(spark, tmp_path):
     assert pending.count() == 2 and ingest.pending_files(spark, source, pending, "v1", "*.parquet").count() == 0 and ingest.pending_files(spark, source, pending, "v2", "*.parquet").count() == 2
 
 
+def test_ingest_changed(spark, tmp_path):
+    """A rerun does nothing; a changed file is read again, and so is everything under other settings; a failed run adds nothing."""
+    source, state, taken = tmp_path / "in", str(tmp_path / "state"), []
+    source.mkdir()
+    for name in "ab":
+        (source / f"{name}.txt").write_text("one")
+
+    def sink(files):
+        taken.append(sorted((r.path.rsplit("/", 1)[1], r.status) for r in files.collect()))
+
+    def failing(files):
+        raise OSError("full")
+
+    with pytest.raises(OSError):
+        ingest.ingest_changed(spark, str(source), state, failing)
+    run = lambda settings="": ingest.ingest_changed(spark, str(source), state, sink, settings)
+    assert [run(), run()] == [2, 0]
+    (source / "a.txt").write_text("other")
+    (source / "c.txt").write_text("new")
+    assert [run(), run(), run("v2"), run("v2")] == [2, 0, 3, 0]
+    assert taken == [[("a.txt", "new"), ("b.txt", "new")], [("a.txt", "changed"), ("c.txt", "new")], [("a.txt", "changed"), ("b.txt", "changed"), ("c.txt", "changed")]]
+
+
 def test_learn_labels_of_long_documents(spark, tmp_path):
     """Units past the 1000th of a document are not those of the next one."""
     from docrecon.plans import structure_queries
