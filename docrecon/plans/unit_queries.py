@@ -29,11 +29,11 @@ def unit_spans(spark, sf):
     rows = S.table(spark, sf, "events").select("user_id", "event_id", "event_type", at.alias("n"))
     idx, row, e = F.col("n") % 40, F.expr("cast(n % 40 div 2 as int)"), F.col("event_id")
     kind = F.expr("case event_type when 'signup' then 'title' when 'click' then case when event_id % 9 = 4 then 'note' else 'label' end when 'error' then case when event_id % 3 = 0 then 'heading' else 'body' end else 'body' end")
-    x0 = F.when(idx % 2 == 0, F.when(e % 11 == 0, 20).otherwise(60)).otherwise(F.when(e % 5 == 0, 150).otherwise(200)).cast("double")
-    y0 = (row * 14 + F.when(e % 6 == 0, 3).otherwise(0)).cast("double")
+    x0 = F.when((idx % 2 == 0) & (e % 4 != 3), F.when(e % 11 == 0, 20).otherwise(60)).otherwise(F.when(e % 5 == 0, 150).otherwise(200)).cast("double")
+    y0 = (row * 14 + F.when(F.col("event_type").isin("view", "purchase") & (e % 3 == 0), 9).when(e % 6 == 0, 3).otherwise(0)).cast("double")
     text = F.expr("case when event_type <> 'signup' then concat(event_type, ' ', event_id % 17) when event_id % 4 = 0 then concat(event_id % 8, '. SINIF') else concat(event_id % 9, '. TEMA: ', event_id % 23) end")
     return rows.select(
-        F.col("user_id").alias("doc"), F.expr("cast(n div 40 as int)").alias("page"), idx.cast("int").alias("idx"), row.alias("row"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + 100 + e % 3 * 30).alias("x1"),
+        F.col("user_id").alias("doc"), F.expr("cast(n div 40 as int)").alias("page"), idx.cast("int").alias("idx"), row.alias("row"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + 80 + e % 3 * 30).alias("x1"),
         (y0 + 10 + e % 2).alias("y1"), F.when(e % 10 == 0, 16.0).otherwise(12.0).alias("size"), kind.alias("kind"), F.when(F.col("event_type") == "click", e).alias("label"), ((F.col("event_type") == "signup") & (e % 4 != 0)).alias("is_title"),
     )
 
@@ -41,8 +41,8 @@ def unit_spans(spark, sf):
 SQL_UNIT_SPANS = """e as (select user_id as doc, event_id as e, event_type as t, row_number() over (partition by user_id order by ts, event_id) - 1 as n from events),
 spans as (select doc, (n // 40)::int as page, (n % 40)::int as idx, (n % 40 // 2)::int as row,
     case when t <> 'signup' then t || ' ' || e % 17 when e % 4 = 0 then e % 8 || '. SINIF' else e % 9 || '. TEMA: ' || e % 23 end as text,
-    case when n % 2 = 0 then case when e % 11 = 0 then 20 else 60 end else case when e % 5 = 0 then 150 else 200 end end::double as x0,
-    (n % 40 // 2 * 14 + case when e % 6 = 0 then 3 else 0 end)::double as y0, x0 + 100 + e % 3 * 30 as x1, y0 + 10 + e % 2 as y1, case when e % 10 = 0 then 16.0 else 12.0 end as size,
+    case when n % 2 = 0 and e % 4 <> 3 then case when e % 11 = 0 then 20 else 60 end else case when e % 5 = 0 then 150 else 200 end end::double as x0,
+    (n % 40 // 2 * 14 + case when t in ('view', 'purchase') and e % 3 = 0 then 9 when e % 6 = 0 then 3 else 0 end)::double as y0, x0 + 80 + e % 3 * 30 as x1, y0 + 10 + e % 2 as y1, case when e % 10 = 0 then 16.0 else 12.0 end as size,
     case t when 'signup' then 'title' when 'click' then case when e % 9 = 4 then 'note' else 'label' end when 'error' then case when e % 3 = 0 then 'heading' else 'body' end else 'body' end as kind,
     case when t = 'click' then e end as label, t = 'signup' and e % 4 <> 0 as is_title from e)"""
 
@@ -435,10 +435,10 @@ def declaring(spark, sf):
 
 
 #: Which pieces declare what, as the rules say it: a code after a comma or a parenthesis and before a full stop and a blank or
-#: letter, or before a comma.
+#: letter, or before a comma. A code alone has no name unless what follows it, in parentheses or no code, is part of its text.
 _SQL_DECLARING = """p as (select p_partkey as l_partkey, p_name, upper(substring(p_type, 1, 1)) || p_size || '.' || p_partkey % 13 as code from part), r as (select distinct l_suppkey as unit, l_partkey from lineitem),
-x as (select unit, l_partkey % 50 as section, l_partkey, code, p_name, l_partkey % 9 as k from r join p using (l_partkey)),
-d as (select unit, section, l_partkey, 0 as n, code || case when k = 1 then '' else '.' end as code, k = 1 as bare, k not in (1, 2) as usual, null as parent from x where k <> 3
+x as (select unit, l_partkey % 50 as section, l_partkey, code, p_name, l_partkey % 9 as k, coalesce(lead(l_partkey % 9) over (partition by unit, l_partkey % 50 order by l_partkey), 9) as next from r join p using (l_partkey)),
+d as (select unit, section, l_partkey, 0 as n, code || case when k = 1 then '' else '.' end as code, k = 1 and next not in (0, 3) as bare, k not in (1, 2) as usual, null as parent from x where k <> 3
     union all select unit, section, l_partkey, 1, 'Z' || code || '.', false, true, code from x where k = 4 union all select unit, section, l_partkey, 2, 'Y' || code || '.', false, true, code from x where k = 4),
 s as (select distinct unit, section from x)"""
 
