@@ -35,7 +35,7 @@ with w as (select doc_id, {_PLAIN.format("text")} as w from documents),
 h as ({hits}),
 n as (select template, label, ' ' || name || ' ' as name, {_PLAIN.format("text")} as t from (values {notices}) as v(template, label, name, text)),
 k as (select *, len(list_distinct(t)) as m, len(t) as size from n),
-x as (select doc_id, k.*, unnest(range(0, greatest(len(w) - size, 1), size)) as i, w from w, k),
+x as (select doc_id, k.*, unnest(range(0, greatest(len(w) - size, 1), size)) as i, w from w, k where len(list_intersect(list_distinct(t), w)) >= {threshold} * m - 1e-9),
 z as (select doc_id, template, label, m, i, least(len(w), i + 2 * size) as j, len(list_intersect(list_distinct(t), w[i + 1:i + 2 * size])) as shared, contains(' ' || array_to_string(w[i + 1:i + 2 * size], ' ') || ' ', name) as named from x),
 y as (select * from z where shared >= {threshold} * m - 1e-9),
 t as (select * from y as o where named or not exists (select 1 from y where y.doc_id = o.doc_id and y.label <> o.label and y.i < o.j and o.i < y.j and (y.named or y.shared * o.m > o.shared * y.m))),
