@@ -83,7 +83,7 @@ LINE_BREAK = rf"(?<=[\p{{L}}\p{{N}}])-[ \t]*\n[ \t]*|(?<=(?<![\p{{L}}\p{{N}}_.])
 
 def dehyphen(c: Column) -> Column:
     """The view in which codes are looked for: words and codes that a line's end breaks are joined; nothing else changes."""
-    return F.regexp_replace(c, LINE_BREAK, "")
+    return F.when(F.contains(c, F.lit("\n")), F.regexp_replace(c, LINE_BREAK, "")).otherwise(c)
 
 
 def dehyphen_places(c: Column) -> Column:
@@ -96,7 +96,9 @@ def dehyphen_places(c: Column) -> Column:
         return F.struct((acc["at"] + x["n"] + F.coalesce(x["gap"], F.lit(0))).alias("at"), F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("at"), x["n"].alias("n")))).alias("runs"))
 
     runs = F.filter(F.aggregate(sizes, start, step)["runs"], lambda x: x["n"] > 0)
-    return F.flatten(F.transform(runs, lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
+    broken = F.flatten(F.transform(runs, lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
+    whole = F.when(F.char_length(c) > 0, F.sequence(F.lit(0), F.char_length(c) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.contains(c, F.lit("\n")), broken).otherwise(whole)
 
 
 def visible(c: Column) -> Column:
