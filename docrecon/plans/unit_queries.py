@@ -7,15 +7,16 @@ colour that a span has.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docrecon.functions import codes
+from docrecon.functions import codes, labels
 from docrecon.functions.keys import norm_label
 from docrecon.operators import answers as A
-from docrecon.operators import cells
+from docrecon.operators import cells, diff
 from docrecon.operators import code_columns as K
 from docrecon.operators import declarations as D
 from docrecon.operators import label_lines as L
 from docrecon.operators import table_cells as T
 from docrecon.operators import units as U
+from docrecon.operators.scans import kept
 from docrecon.plans import grid_queries as G
 from docrecon.plans import stand_ins as S
 from docrecon.plans.queries import query
@@ -473,3 +474,35 @@ def q_pending_files(spark, sf):
     mark = lambda df, settings: df.select("path", ingest.signature(F.col("path"), F.col("length"), F.col("modificationTime"), settings).alias("signature"))
     seen = mark(before.filter("doc_id % 7 = 0"), "v1").unionByName(mark(before.filter("doc_id % 7 <> 0"), "v2"))
     return ingest.pending(docs, seen, "v2")
+
+
+# ---- statuses that another section or the scope decide, and codes of headings
+
+
+@query(
+    f"""with {S.SQL_LINES}, l as (select distinct doc_id, pos // 3 as section, {S.sql_norm("line")} as key from lines), r as (select distinct doc_id, case when doc_id % 2 = 0 and section % 2 = 0 then section + 1 else section end as section, key from l where section % 5 <> 4),
+d as (select coalesce(l.doc_id, r.doc_id) as doc_id, coalesce(l.section, r.section) as section, coalesce(l.key, r.key) as key, case when r.doc_id is null then 'PDF_DE_VAR_EXCELDE_YOK' when l.doc_id is null then 'EXCELDE_VAR_PDF_DE_YOK' else 'AYNI' end as status from l full join r on l.doc_id = r.doc_id and l.section = r.section and l.key = r.key),
+w as (select d.*, (select min(l.section) from l where l.doc_id = d.doc_id and l.key = d.key and l.section <> d.section and length(l.key) >= 20) as other from d)
+select doc_id, section::bigint as section, key, case when doc_id % 10 = 3 then 'KAPSAM_DIŞI' when status = 'EXCELDE_VAR_PDF_DE_YOK' and other is not null then 'YANLIŞ_BÖLÜM' else status end as status from w"""
+)
+def q_section_statuses(spark, sf):
+    """Texts of the sheet alone that stand in another section of the document, and units outside the scope."""
+    ids = ["doc_id", "section", "key"]
+    left = S.doc_lines(spark, sf).select("doc_id", F.expr("pos div 3").alias("section"), norm_label(F.col("line")).alias("key")).distinct()
+    right = left.filter("section % 5 <> 4").withColumn("section", F.when((F.col("doc_id") % 2 == 0) & (F.col("section") % 2 == 0), F.col("section") + 1).otherwise(F.col("section")))
+    found = kept(diff.set_diff(left, right, ids), "diff")
+    alone = found.filter("status = 'EXCELDE_VAR_PDF_DE_YOK'").select(*ids)
+    placed = diff.wrong_section(found, diff.found_elsewhere(alone, left, "doc_id", "section", "key"), ids)
+    scope = S.table(spark, sf, "documents").filter("doc_id % 10 <> 3").select("doc_id")
+    return diff.out_of_scope(placed, scope, "doc_id").select(*ids, "status")
+
+
+@query(
+    """with t as (select p_partkey, case p_partkey % 6 when 0 then 'MAT.' || p_size || '.1.' || p_partkey % 9 || '. ' || p_name when 1 then 'MAT.' || p_size || '.0.SÖS' when 2 then 'MAT. ' || p_size || '.' || p_partkey % 9 || '.' when 3 then 'MAT.' || p_size || '.' || p_partkey % 9 || '. ' || p_name when 4 then 'MAT' || p_size || ' 1 2; ' || p_name else 'Bu MAT.' || p_size || '.1.1' end as t from part),
+c as (select *, regexp_extract(t, '^(MAT *[.]? *[0-9]+(?: *[.] *| +)[0-9]+(?: *[.] *| +)[0-9]+[.]?)(?:[ ;,)]|$)', 1) as strict, regexp_full_match(t, 'MAT *[.]? *(?:[0-9]+|[A-ZÇĞİÖŞÜ]{1,4}[0-9]*)(?:(?: *[.] *| +)(?:[0-9]+|[A-ZÇĞİÖŞÜ]{1,4}[0-9]*)){1,2}[.]?') as alone from t)
+select p_partkey, case when strict <> '' then strict when alone then t end as code from c"""
+)
+def q_outcome_code(spark, sf):
+    """The code of an outcome's heading: of the learned types, or of any if the line is nothing else."""
+    text = F.expr("case p_partkey % 6 when 0 then concat('MAT.', p_size, '.1.', p_partkey % 9, '. ', p_name) when 1 then concat('MAT.', p_size, '.0.SÖS') when 2 then concat('MAT. ', p_size, '.', p_partkey % 9, '.') when 3 then concat('MAT.', p_size, '.', p_partkey % 9, '. ', p_name) when 4 then concat('MAT', p_size, ' 1 2; ', p_name) else concat('Bu MAT.', p_size, '.1.1') end")
+    return S.table(spark, sf, "part").select("p_partkey", labels.outcome_code(text, F.lit("MAT"), F.lit("nnn")).alias("code"))
