@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docrecon.plans import queries as plans
-from docrecon.plans import grid_queries, learn_queries, sheet_queries, structure_queries, unit_queries  # noqa: F401  they add their queries
+from docrecon.plans import grid_queries, learn_queries, sheet_queries, structure_queries, page_queries, unit_queries  # noqa: F401  they add their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from conftest import same_rows
 
 import __spark_entry__ as entry
 from docrecon.plans import queries as plans
-from docrecon.plans import grid_queries, learn_queries, sheet_queries, structure_queries, unit_queries  # noqa: F401
+from docrecon.plans import grid_queries, learn_queries, sheet_queries, structure_queries, page_queries, unit_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
