@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docrecon.operators.layout import color_distance
+from docrecon.operators.scans import carried, counted, kept
 from docrecon.shipping import ship
 
 
@@ -29,41 +31,50 @@ def first_section(rows: DataFrame, unit: str, section: str, pos: str, matches: C
     return heads.withColumn("_f", first).select(unit, section, F.coalesce(kind, F.lit("other")).alias("kind"))
 
 
-def title_runs(spans: DataFrame, keys: list[str], order: str, color: str, text: str, tolerance: int = 10) -> DataFrame:
+def title_runs(spans: DataFrame, keys: list[str], order: str, color: str, text: str, tolerance: int = 10, block: int = 1024) -> DataFrame:
     """Runs of spans whose colour is within the tolerance of the run's first, per keys (a row of a page): keys, run, text.
 
-    A streaming fold over the spans in order, as runs are measured from their first span. What it carries is the run at
-    hand, so a key may have any number of spans.
+    Members of a run are at most twice the tolerance apart, so spans are first cut where neighbours are further apart; each
+    piece is folded by itself in order, which carries the run at hand alone, and runs are counted on by blocks of the order. A
+    key may hold any share of all spans; what stays in one task is a piece. A span without colour is a run of its own.
+    The order is a number; a null one stands first.
     """
     placed = spans.select(F.struct(*keys).alias("_k"), F.col(order).alias("_o"), F.col(color).cast("long").alias("_c"), F.col(text).alias("_t"))
-    ordered = placed.repartition("_k").sortWithinPartitions("_k", "_o", "_c", "_t")
-    schema = ordered.select("_k", F.lit(0).alias("run"), F.col("_t").alias("text")).schema
+    placed = kept(placed.withColumn("_b", F.floor(F.col("_o") / block)), "spans")
+    at = ["_o", "_c", "_t"]
+    # a struct, as a colour that is null is one that was seen
+    beside = kept(carried(placed, ["_k"], "_b", at, {"_prev": F.struct("_c")}, inclusive=False), "beside")
+    apart = color_distance(F.col("_c"), F.col("_prev._c")) > 2 * tolerance
+    pieces = carried(beside, ["_k"], "_b", at, {"_piece": F.when(F.coalesce(apart, F.lit(True)), F.struct("_o", "_c"))})
+    ordered = pieces.select("_k", "_piece", "_b", *at).repartition("_k", "_piece").sortWithinPartitions("_k", "_piece", *at)
+    schema = ordered.select("_k", "_b", "_o", "_c", F.col("_t").alias("text")).schema
 
     def run(batches):
         import pyarrow as pa
 
-        key, first, number, parts, kind = None, None, 0, [], None
+        piece, head, parts, kinds = None, None, [], None
 
         def near(a: int | None, b: int | None) -> bool:
             return a is not None and b is not None and max(abs((a >> s & 255) - (b >> s & 255)) for s in (16, 8, 0)) <= tolerance
 
         def made(rows):
-            held = [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int32()), pa.array([" ".join(r[2]) for r in rows], pa.string())]
-            return pa.RecordBatch.from_arrays(held, ["_k", "run", "text"])
+            columns = zip(*rows, strict=True) if rows else ([],) * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["_k", "_b", "_o", "_c", "text"])
 
         for batch in batches:
-            kind, rows = batch.schema.field("_k").type, []
-            for k, c, t in zip(*(batch.column(n).to_pylist() for n in ("_k", "_c", "_t")), strict=True):
-                if parts and k == key and near(first, c):
+            kinds, rows = [*(batch.schema.field(n).type for n in ("_k", "_b", "_o", "_c")), pa.string()], []
+            for k, p, b, o, c, t in zip(*(batch.column(n).to_pylist() for n in ("_k", "_piece", "_b", "_o", "_c", "_t")), strict=True):
+                if parts and (k, p) == piece and near(head[3], c):
                     parts.append(t or "")
                     continue
                 if parts:
-                    rows.append((key, number, parts))
-                number = number + 1 if parts and k == key else 0
-                key, first, parts = k, c, [t or ""]
+                    rows.append((*head, " ".join(parts)))
+                piece, head, parts = (k, p), (k, b, o, c), [t or ""]
             yield made(rows)
         if parts:
-            yield made([(key, number, parts)])
+            yield made([(*head, " ".join(parts))])
 
     ship(spans.sparkSession)
-    return ordered.select("_k", "_c", "_t").mapInArrow(run, schema).select("_k.*", "run", "text")
+    runs = kept(ordered.mapInArrow(run, schema), "runs")
+    numbered = counted(runs, ["_k"], "_b", ["_o", "_c", "text"], {"_n": F.lit(True)})
+    return numbered.select("_k.*", (F.col("_n") - 1).cast("int").alias("run"), "text")

@@ -148,3 +148,6 @@ def test_rows_of_one_large_key(spark):
         at[r.page] = first, number
         want.append((r.x, r.page, number))
     assert rows(grouped, "x", "page", "row") == sorted(want)
+    # no number stands after all others, one row each; repeated spans share their row
+    odd = spark.createDataFrame([(1, float("nan"), 1), (1, 5.0, 2), (1, 5.0, 2), (1, None, 3), (1, 9.0, 4)], "page long, y double, x long")
+    assert rows(layout.group_rows(odd, ["page"], "y", "x"), "x", "row") == [(1, 4), (2, 2), (2, 2), (3, 1), (4, 3)]

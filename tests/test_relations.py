@@ -105,3 +105,18 @@ def test_hot_keys_meet_in_few_rows(spark):
     spans = spark.range(5000).select(F.lit(1).alias("page"), "id", (F.col("id") % 100).alias("c"), F.lit("x").alias("t"))
     runs = segment.title_runs(spans, ["page"], "id", "c", "t").collect()
     assert [r.run for r in runs] == list(range(500)) and {len(r.text.split()) for r in runs} <= {1, 10, 11}
+
+
+def test_title_runs_cut_and_counted(spark):
+    """One key over many blocks against a loop: neighbours apart, near the first again, without colour and repeated."""
+    colours = [(i * 7919 % 31) * 0x010203 if i % 11 else None for i in range(4000)]
+    given = [(1, i, c, str(i)) for i, c in enumerate(colours)] + [(2, 5, 8, "a"), (2, 5, 8, "a"), (None, 1, 30, None)]
+    runs = segment.title_runs(spark.createDataFrame(given, "page int, id int, c int, t string"), ["page"], "id", "c", "t", block=64)
+    want, first = [], None
+    for i, c in enumerate(colours):
+        if c is not None and first is not None and max(abs((c >> s & 255) - (first >> s & 255)) for s in (16, 8, 0)) <= 10:
+            want[-1] += f" {i}"
+        else:
+            want, first = [*want, str(i)], c
+    found = {(r.page, r.run): r.text for r in runs.collect()}
+    assert found == {(1, n): t for n, t in enumerate(want)} | {(2, 0): "a a", (None, 0): ""}
