@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docrecon.operators.layout import color_distance
 from docrecon.operators.scans import carried, counted, kept
+from docrecon.operators.votes import first_seen_mode
 from docrecon.shipping import ship
 
 
@@ -78,3 +79,19 @@ def title_runs(spans: DataFrame, keys: list[str], order: str, color: str, text:
     runs = kept(ordered.mapInArrow(run, schema), "runs")
     numbered = counted(runs, ["_k"], "_b", ["_o", "_c", "text"], {"_n": F.lit(True)})
     return numbered.select("_k.*", (F.col("_n") - 1).cast("int").alias("run"), "text")
+
+
+def unlabelled_applications(rows: DataFrame, sections: DataFrame, doc: str, unit: str, section: str, pos: str, code_only: str) -> DataFrame:
+    """Rows of applications that stand in a section of another label: rows' columns, for those from the section's first line
+    with nothing but a code on; what is before them is no application.
+
+    The label of applications is a document's own: the most frequent one (ties: seen first) of application sections that
+    begin with such a line. sections(doc, unit, section, kind, key); a null key is a label of its own. A document without such a
+    section learns no label, and none of its rows move; nor do those of a section without such a line.
+    """
+    at = [doc, unit, section]
+    heads = rows.groupBy(*at).agg(F.min(pos).alias("_head"), F.min(F.when(F.col(code_only), F.col(pos))).alias("_code"))
+    held = kept(sections.filter("kind = 'applications'").select(*at, "key").join(heads, at), "applications")
+    label = first_seen_mode(held.filter("_head = _code"), [doc], "key", [unit, section]).select(doc, F.col("key").alias("_label"))
+    moved = held.join(label, doc).filter(~F.col("key").eqNullSafe(F.col("_label")) & F.col("_code").isNotNull()).select(*at, "_code")
+    return rows.join(moved, at).filter(F.col(pos) >= F.col("_code")).select(*rows.columns)
