@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrecon.operators.layout import color_distance
-from docrecon.operators.scans import carried, counted, kept
+from docrecon.operators.scans import kept
 from docrecon.operators.votes import first_seen_mode
 from docrecon.shipping import ship
 
@@ -36,49 +36,55 @@ def title_runs(spans: DataFrame, keys: list[str], order: str, color: str, text:
     """Runs of spans whose colour is within the tolerance of the run's first, per keys (a row of a page): keys, run, text.
 
     Members of a run are at most twice the tolerance apart, so spans are first cut where neighbours are further apart; each
-    piece is folded by itself in order, which carries the run at hand alone, and runs are counted on by blocks of the order. A
-    key may hold any share of all spans; what stays in one task is a piece. A span without colour is a run of its own.
+    piece is folded by itself in order, which carries the run at hand alone, and its runs are numbered on from those of the pieces
+    before it. Blocks of the order give one cut each, so a key may hold any share of all spans; what stays in one task is a piece. A span without colour is a run of its own.
     The order is a number; a null one stands first.
     """
     placed = spans.select(F.struct(*keys).alias("_k"), F.col(order).alias("_o"), F.col(color).cast("long").alias("_c"), F.col(text).alias("_t"))
-    placed = kept(placed.withColumn("_b", F.floor(F.col("_o") / block)), "spans")
-    at = ["_o", "_c", "_t"]
-    # a struct, as a colour that is null is one that was seen
-    beside = kept(carried(placed, ["_k"], "_b", at, {"_prev": F.struct("_c")}, inclusive=False), "beside")
-    apart = color_distance(F.col("_c"), F.col("_prev._c")) > 2 * tolerance
-    pieces = carried(beside, ["_k"], "_b", at, {"_piece": F.when(F.coalesce(apart, F.lit(True)), F.struct("_o", "_c"))})
-    ordered = pieces.select("_k", "_piece", "_b", *at).repartition("_k", "_piece").sortWithinPartitions("_k", "_piece", *at)
-    schema = ordered.select("_k", "_b", "_o", "_c", F.col("_t").alias("text")).schema
+    placed = placed.withColumns({"_b": F.floor(F.col("_o") / block), "_at": F.struct("_o", "_c")})
+    # the first place of each block where neighbours are apart, and that of the blocks before; texts take no part
+    before = F.lag(F.struct("_c")).over(Window.partitionBy("_k", "_b").orderBy("_at"))
+    apart = F.col("_before").isNotNull() & F.coalesce(color_distance(F.col("_c"), F.col("_before._c")) > 2 * tolerance, F.lit(True))
+    cuts = placed.select("_k", "_b", "_at", "_c").withColumn("_before", before).groupBy("_k", "_b").agg(F.min(F.when(apart, F.col("_at"))).alias("_cut"))
+    so_far = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select(F.col("_k").alias("_bk"), F.col("_b").alias("_bb"), "_cut", F.last("_cut", ignorenulls=True).over(so_far).alias("_open"))
+    piece = F.when(F.col("_at") >= F.col("_cut"), F.col("_cut")).otherwise(F.col("_open"))
+    pieces = placed.join(cuts, F.expr("_k <=> _bk and _b <=> _bb")).select("_k", piece.alias("_piece"), "_o", "_c", "_t")
+    ordered = pieces.repartition("_k", "_piece").sortWithinPartitions("_k", "_piece", "_o", "_c", "_t")
+    schema = ordered.select("_k", "_piece", F.lit(0).alias("_n"), F.col("_t").alias("text")).schema
 
     def run(batches):
         import pyarrow as pa
 
-        piece, head, parts, kinds = None, None, [], None
+        piece, first, number, parts, kinds = None, None, 0, [], None
 
         def near(a: int | None, b: int | None) -> bool:
             return a is not None and b is not None and max(abs((a >> s & 255) - (b >> s & 255)) for s in (16, 8, 0)) <= tolerance
 
         def made(rows):
-            columns = zip(*rows, strict=True) if rows else ([],) * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["_k", "_b", "_o", "_c", "text"])
+            columns = zip(*rows, strict=True) if rows else ([],) * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["_k", "_piece", "_n", "text"])
 
         for batch in batches:
-            kinds, rows = [*(batch.schema.field(n).type for n in ("_k", "_b", "_o", "_c")), pa.string()], []
-            for k, p, b, o, c, t in zip(*(batch.column(n).to_pylist() for n in ("_k", "_piece", "_b", "_o", "_c", "_t")), strict=True):
-                if parts and (k, p) == piece and near(head[3], c):
+            kinds, rows = [batch.schema.field("_k").type, batch.schema.field("_piece").type, pa.int32(), pa.string()], []
+            for k, p, c, t in zip(*(batch.column(n).to_pylist() for n in ("_k", "_piece", "_c", "_t")), strict=True):
+                if parts and (k, p) == piece and near(first, c):
                     parts.append(t or "")
                     continue
                 if parts:
-                    rows.append((*head, " ".join(parts)))
-                piece, head, parts = (k, p), (k, b, o, c), [t or ""]
+                    rows.append((*piece, number, " ".join(parts)))
+                number = number + 1 if parts and (k, p) == piece else 0
+                piece, first, parts = (k, p), c, [t or ""]
             yield made(rows)
         if parts:
-            yield made([(*head, " ".join(parts))])
+            yield made([(*piece, number, " ".join(parts))])
 
     ship(spans.sparkSession)
     runs = kept(ordered.mapInArrow(run, schema), "runs")
-    numbered = counted(runs, ["_k"], "_b", ["_o", "_c", "text"], {"_n": F.lit(True)})
-    return numbered.select("_k.*", (F.col("_n") - 1).cast("int").alias("run"), "text")
+    ends = runs.groupBy("_k", "_piece").agg(F.count("*").alias("_m")).withColumn("_before", F.sum("_m").over(Window.partitionBy("_k").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.select(F.col("_k").alias("_ek"), F.col("_piece").alias("_ep"), F.coalesce("_before", F.lit(0)).alias("_before"))
+    numbered = runs.join(ends, F.expr("_k <=> _ek and _piece <=> _ep"))
+    return numbered.select("_k.*", (F.col("_n") + F.col("_before")).cast("int").alias("run"), "text")
 
 
 def unlabelled_applications(rows: DataFrame, sections: DataFrame, doc: str, unit: str, section: str, pos: str, code_only: str) -> DataFrame:
