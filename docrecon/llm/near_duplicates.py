@@ -15,16 +15,19 @@ candidates, instead of everyone else. Groups whose members are then connected ar
 copies. In the others no link between two parts may be lost:
 
 * a group of few members compares those of different parts;
-* a group of many members is met by prefix. In the order "shingles that the centre lacks, then those that it has", two
-  similar sets share one of their first n - 0.8 n + 1 shingles, and the place of the first shared one bounds what they
-  can share. So members that have only the centre's body in common are never paired. Those that share a prefix shingle
-  meet the one of them with most left to share; what is then still apart, and within the bound, is compared.
+* a group of many members is met by what sets it apart from its body, the shingles that most members hold. If A differs
+  from the body by a shingles and B by b, of which they share s, A and B differ by a + b - 2 s. So a pair either is
+  similar whatever it shares, and then both are similar to the member nearest to the body, or must share a number of
+  differences. These are met by prefix: in the order of how many members have them, the rarest first, the place of the
+  first shared one bounds how many two members can share. So members that have only the body in common are never paired,
+  whichever of them is the centre. Those that share a difference within the bound meet the one of them with most left to
+  share; what is then still apart is compared.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrecon.llm.components import connected_components
@@ -218,39 +221,38 @@ def _between(members: DataFrame, key: list[str], condition: str = "true") -> Dat
     return met.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
 
 
-def _prefixes(members: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """members(_centre, _id) -> _centre, _id, _n (size of its set), _token and _reach: each shingle of the member's
-    prefix, and how many shingles stand from there on, in the order of what the centre lacks before what it has."""
+def _differences(members: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """members(_centre, _id) -> _centre, _id, _mark (of the set, as an id in several rows has one for each text), _n (its
+    size), _differs: what the set lacks of its group's body (the shingles that most members hold) or has beside it, and
+    _excess: two sets of a group are similar if their excesses' sum is at most 2 * (100 + percent) times the differences
+    that they share, and only then. A body has fewer than twice the mean set's shingles."""
+    held = members.join(sets.select("_id", F.col("_size").alias("_n"), "_set", F.xxhash64("_set").alias("_mark")), "_id").dropDuplicates(["_centre", "_id", "_mark"])
+    size = held.groupBy("_centre").agg(F.count("*").alias("_members"))
+    holders = held.select("_centre", F.explode("_set").alias("_token")).groupBy("_centre", "_token").agg(F.count("*").alias("_holders"))
+    body = holders.join(size, "_centre").filter("2 * _holders > _members").groupBy("_centre").agg(F.collect_list("_token").alias("_body"))
+    differs = F.when(F.col("_body").isNull(), F.col("_set")).otherwise(F.concat(F.array_except("_set", "_body"), F.array_except("_body", "_set")))
+    found = held.join(body, "_centre", "left").select("_centre", "_id", "_mark", "_n", differs.alias("_differs"))
+    return found.withColumn("_excess", (100 + how.percent) * F.size("_differs").cast("long") - (100 - how.percent) * F.col("_n"))
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            own, central, tokens, kept = batch.column("_set"), batch.column("_body"), [], []
-            for i in range(batch.num_rows):
-                x = np.asarray(own[i].values)
-                within = np.isin(x, np.asarray(central[i].values), assume_unique=True)
-                kept.append(len(x) - (how.percent * len(x) + 99) // 100 + 1)
-                tokens.append(np.concatenate([x[~within], x[within]])[: kept[-1]])
-            offsets = np.cumsum([0, *kept], dtype=np.int32)
-            values = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_centre"), batch.column("_id"), batch.column("_size"), pa.ListArray.from_arrays(offsets, values)], ["_centre", "_id", "_n", "_tokens"])
 
-    body = sets.select(F.col("_id").alias("_centre"), F.col("_set").alias("_body"))
-    with_sets = members.join(sets.select("_id", "_size", "_set"), "_id").join(body, "_centre").select("_centre", "_id", "_size", "_set", "_body")
-    found = map_batches(with_sets, run, "_centre long, _id long, _n long, _tokens array<long>")
-    return found.select("_centre", "_id", "_n", F.posexplode("_tokens").alias("_place", "_token")).withColumn("_reach", F.col("_n") - F.col("_place")).drop("_place")
+def _prefixes(differences: DataFrame) -> DataFrame:
+    """_centre, _id, _n, _excess, _token and _reach: each difference that another member has too, and how many of these
+    stand from there on, in the order of how many members have them, the rarest first."""
+    tokens = differences.select("_centre", "_id", "_mark", "_n", "_excess", F.explode("_differs").alias("_token"))
+    holders = tokens.groupBy("_centre", "_token").agg(F.count("*").alias("_holders")).filter("_holders > 1")
+    reach = F.row_number().over(Window.partitionBy("_centre", "_id", "_mark").orderBy(F.desc("_holders"), F.desc("_token")))
+    return tokens.join(holders, ["_centre", "_token"]).select("_centre", "_id", "_n", "_excess", "_token", reach.cast("long").alias("_reach"))
 
 
 def _within_reach(prefixes: DataFrame, how: Similarity) -> DataFrame:
     """Members of (_centre, _token) groups in several parts, without those that can reach no other member: what two sets
-    share from their first shared shingle on must be (0.8 / 1.8) of their sizes' sum, and a partner has no fewer
-    shingles than the group's smallest set and than 0.8 of one's own."""
-    key = ["_centre", "_token"]
+    share of differences from their first shared one on must make up for their excesses, and a partner's is no less than
+    the group's least one, nor further below one's own than sizes and differences of similar sets can lie apart."""
+    key, apart = ["_centre", "_token"], F.ceil(200 * (100 - how.percent) * F.col("_n") / how.percent)
     for _ in range(2):  # who is left may be in one part
-        parts = prefixes.groupBy(*key).agg(F.min("_component").alias("_x"), F.max("_component").alias("_y"), F.min("_n").alias("_least")).filter("_x < _y")
-        least = F.greatest(F.col("_least"), F.ceil(F.col("_n") * how.percent / 100))
-        prefixes = prefixes.join(parts, key).filter((100 + how.percent) * F.col("_reach") >= how.percent * (F.col("_n") + least)).drop("_x", "_y", "_least")
+        parts = prefixes.groupBy(*key).agg(F.min("_component").alias("_x"), F.max("_component").alias("_y"), F.min("_excess").alias("_least")).filter("_x < _y")
+        least = F.greatest(F.col("_least"), F.col("_excess") - apart)
+        prefixes = prefixes.join(parts, key).filter(2 * (100 + how.percent) * F.col("_reach") >= F.col("_excess") + least).drop("_x", "_y", "_least")
     return prefixes
 
 
@@ -313,14 +315,17 @@ def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: s
     heaviest = named.groupBy("_component").agg(F.max(F.struct("_weight", "_id")).alias("_h")).select(F.col("_component").alias("_part"), F.col("_h._id").alias("_centre"))
     large = left.filter(F.col("_m") > how.few).select("_id", F.col("_top._component").alias("_part")).distinct()
     many = keep(large.join(heaviest, "_part").select("_centre", "_id"), "many")
-    sets = found.need(many.select("_id").unionAll(many.select("_centre")))
-    prefixes = keep(_prefixes(many, sets, how), "prefixes")
-    bound = f"{100 + how.percent} * least(l_reach, r_reach) >= {how.percent} * (l_n + r_n)"
+    differences = keep(_differences(many, found.need(many.select("_id")), how), "differences")
+    # sets that no shared difference need make similar are all similar to the one of the least excess
+    first = differences.groupBy("_centre").agg(F.min(F.struct("_excess", "_id")).alias("_first"))
+    near_body = differences.join(first, "_centre").filter("_excess + _first._excess <= 0 and _id <> _first._id").select(*_pairs("_id", "_first._id"))
+    prefixes = keep(_prefixes(differences), "prefixes")
+    bound = f"{2 * (100 + how.percent)} * least(l_reach, r_reach) >= l_excess + r_excess"
     near = _within_reach(found.named(prefixes), how)
-    top = near.groupBy("_centre", "_token").agg(F.max(F.struct((F.col("_reach") / F.col("_n")).alias("_share"), "_id", "_component", "_reach", "_n")).alias("_top"))
-    sides = {"l_reach": "_reach", "r_reach": "_top._reach", "l_n": "_n", "r_n": "_top._n"}
+    top = near.groupBy("_centre", "_token").agg(F.max(F.struct((2 * (100 + how.percent) * F.col("_reach") - F.col("_excess")).alias("_room"), "_id", "_component", "_reach", "_excess")).alias("_top"))
+    sides = {"l_reach": "_reach", "r_reach": "_top._reach", "l_excess": "_excess", "r_excess": "_top._excess"}
     met = near.join(top, ["_centre", "_token"]).filter("_component <> _top._component").withColumns({k: F.col(v) for k, v in sides.items()}).filter(bound).select(*_pairs("_id", "_top._id")).distinct()
-    found.add(few.unionAll(met).distinct())
+    found.add(few.unionAll(near_body).unionAll(met).distinct())
     found.add(_between(_within_reach(found.named(prefixes), how), ["_centre", "_token"], bound))
     reached = classes.join(found.parts.withColumnRenamed("_id", "_least"), "_least", "left").select("_class", F.coalesce("_component", "_least").alias("_component"))
     return own.join(reached, "_class", "left").select("_id", "_size", F.coalesce("_component", "_id").alias("_component"))

@@ -101,6 +101,37 @@ def test_hot_groups(spark):
     assert sum(met) < 12 * len(rows)
 
 
+def test_hot_group_without_its_base(spark):
+    """A large group of near copies of a text that is not there itself, so that the centre lacks shingles that all others
+    hold: most members are too far from each other, and what meets is in proportion to the rows all the same."""
+    draw = random.Random(5)
+    rows = []
+    for k in range(400):
+        copy = [f"b{i}" for i in range(150)]
+        for at in draw.sample(range(150), draw.randint(2, 7)):
+            copy[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    rows += [rows[7], (7, rows[9][1]), (None, rows[3][1])]
+    met, confirm = [], N._confirm
+
+    def counting(pairs, *rest):
+        met.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    N._confirm = counting
+    try:
+        found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Similarity(words=4)).collect()
+    finally:
+        N._confirm = confirm
+    joined = exact([(i * 10, t) for i, t in rows[:400]] + [(71, rows[401][1])], words=4)
+    parts = {i: c // 10 for i, (_, c) in joined.items()}
+    low, high = sorted((parts[70], parts[71]))  # the two texts of id 7 are one document
+    want = {i // 10: low if c == high else c for i, c in parts.items() if i % 10 == 0}
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == want and len(found) == len(rows)
+    assert len(set(want.values())) > 200
+    assert met[-1] < 3 * len(rows)
+
+
 def test_recall_of_bands(spark):
     """Of the pairs of the given documents that are similar enough, all meet (a recall of 1): ids divisible by 20 against all
     rows of sf0.1, by counting shared shingles."""
