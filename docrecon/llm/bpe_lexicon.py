@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.storage import keep, map_batches
+from docrecon.llm.storage import Scratch, keep, map_batches
 from docrecon.llm.tokens import WORD_PIECES, Pieces, byte_alphabet, cutter, special_tokens
 
 HEADER = struct.Struct("<8sIIII")
@@ -147,11 +147,12 @@ class Lexicon:
         return None if number < 0 else self.ids_of(number)
 
 
-def word_cutter(tokenizer_path: str):
-    """text -> words as the vocabulary normalizes and cuts it, or None if the text holds a special token."""
+def word_cutter(tokenizer_path: str, library=None):
+    """text -> words as the vocabulary normalizes and cuts it, or None if the text holds a special token. library: of the
+    vocabulary, if it is loaded already."""
     from tokenizers import Tokenizer
 
-    library, specials, cut = Tokenizer.from_file(tokenizer_path), special_tokens(tokenizer_path), cutter(WORD_PIECES, lower=True)
+    library, specials, cut = library or Tokenizer.from_file(tokenizer_path), special_tokens(tokenizer_path), cutter(WORD_PIECES, lower=True)
     bytes_of = {ord(c): chr(b) for b, c in byte_alphabet().items()}
 
     def words(text: str) -> list[str] | None:
@@ -218,7 +219,8 @@ def encoder(tokenizer_path: str, lexicon: Lexicon | None, max_pieces: int = 100_
 
     Kept between blocks are the lexicon's words once met, and max_pieces of the words that it lacks.
     """
-    merge, words = Merger(tokenizer_path), word_cutter(tokenizer_path)
+    merge = Merger(tokenizer_path)
+    words = word_cutter(tokenizer_path, merge.library)
     names = {i: (f" {i}", f" {t}") for i, t in merge.tokens.items()}
 
     def written(ids: list[int]) -> tuple[int, str, str]:
@@ -270,9 +272,16 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     """One row per input row: id, n_tokens, ids_sha256 and decoded_sha256; with_ids adds ids and decoded.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the decoded text. Null texts are as empty
-    ones and have no ids. Repeated rows give repeated results, an empty table none; other columns are not read.
+    ones and have no ids. Repeated rows give repeated results, an empty table none; other columns are not read. Texts reach
+    the workers in small batches, for which the result is written here.
     """
-    name = ship_lexicon(docs, tokenizer_path, text, max_words)
+    with Scratch(docs.sparkSession):
+        name = ship_lexicon(docs, tokenizer_path, text, max_words)
+        return keep(_encoded(docs, tokenizer_path, name, id_column, text, with_ids), "encoded")
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, name: str, id_column: str, text: str, with_ids: bool) -> DataFrame:
+    """The rows of bpe_encode, by the lexicon of that name."""
 
     def run(batches):
         from hashlib import sha256

@@ -120,3 +120,41 @@ def test_automaton_answers():
     encode = B.encoder(WORDS, lexicon, block_chars=12)
     assert [ids for _, ids, _ in encode(["The слово", None, "字 the", "ÉTÉ 字"])] == ["0 1", "", "2 0", "3 2"]
     assert asked == [["the", "слово", "字"], ["été", "字"]]
+
+
+def test_encoder_memory(spark, monkeypatch):
+    """A worker holds one copy of the library's tokenizer, and no more than 1000 texts at a time."""
+    import public_tokenizers
+    import tokenizers
+
+    from docrecon.llm import bpe_lexicon
+
+    path, loaded = public_tokenizers.path("word_bpe_49k.json"), []
+
+    class Counting:
+        @staticmethod
+        def from_file(name, load=tokenizers.Tokenizer.from_file):
+            loaded.append(name)
+            return load(name)
+
+    with monkeypatch.context() as m:
+        m.setattr(tokenizers, "Tokenizer", Counting)
+        assert [n for n, _, _ in bpe_lexicon.encoder(path, None)(["some words", ""])][1] == 0
+    assert loaded == [path]
+
+    send = bpe_lexicon.map_batches
+
+    def in_small_batches(df, run, schema):
+        def checked(batches):
+            def small(batch):
+                if batch.num_rows > 1000:
+                    raise ValueError(f"{batch.num_rows} texts at a time")
+                return batch
+
+            return run(map(small, batches))
+
+        return send(df, checked, schema)
+
+    monkeypatch.setattr(bpe_lexicon, "map_batches", in_small_batches)
+    docs = spark.range(2500).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1)
+    assert bpe_lexicon.bpe_encode(docs, path).count() == 2500
