@@ -145,6 +145,24 @@ def test_kneser_ney(spark):
     assert T.kneser_ney(T.count_pairs(spark.createDataFrame([("a b", 1), (None, 0)], "_text string, _label int")), (1, 1)) is None
 
 
+def test_all_toxic_counts_have_a_say(spark):
+    """No ratio is left out for being small: rare words of toxic texts count a little, frequent ones nearly in full, and how
+    much is fitted to the counts of all words."""
+    import random
+
+    draw = random.Random(6)
+    rows = [(" ".join(draw.choices("abcdefgh", k=12)) + (" vile" if k and i < 80 else " rare" if k and i < 82 else ""), k) for k in (0, 1) for i in range(300)]
+    pairs = T.count_pairs(spark.createDataFrame(rows, "_text string, _label int")).cache()
+    model = T.kneser_ney(pairs, (300, 300))
+    vile, rare = (model.gains(T.word_hashes(f"unknown {w}", T.Words())).tolist()[1] for w in ("vile", "rare"))
+    assert vile > 1 and 0 < rare < 0.8 * vile
+    told = T.estimates(pairs, (300, 300), T.KneserNey())[2]
+    assert 0.9 * pairs.filter("toxic > 0.9 or ordinary > 0.9").count() < len(model.pairs) == told.count() and (model.pair_gain != 0).mean() > 0.9
+    chance, counts = T.fit_chance(pairs), pairs.collect()
+    tells = chance.tells(np.array([r.toxic for r in counts], float), np.array([r.ordinary for r in counts], float))
+    assert tells.mean() == pytest.approx(chance.told, rel=0.05) and chance.share == pytest.approx(sum(r.toxic for r in counts) / sum(r.toxic + r.ordinary for r in counts))
+
+
 def test_language(docs):
     found = identify_languages(docs).collect()
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
