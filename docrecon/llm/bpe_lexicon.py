@@ -168,8 +168,13 @@ def word_cutter(tokenizer_path: str, library=None):
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max_words: int = 50_000, min_places: int = 5) -> list[str]:
-    """The most frequent words of all documents, max_words at most, of those with min_places or more. Each task hands on
-    its own counts of words; of the sums only how many words have which count and the words themselves reach the driver."""
+    """The words of frequent_word_rows, sorted."""
+    return sorted(r["word"] for r in frequent_word_rows(docs, tokenizer_path, text, max_words, min_places).collect())
+
+
+def frequent_word_rows(docs: DataFrame, tokenizer_path: str, text: str = "text", max_words: int = 50_000, min_places: int = 5) -> DataFrame:
+    """The most frequent words of all documents (word), max_words at most, of those with min_places or more. Each task
+    hands on its own counts of words; of the sums only how many words have which count reaches the driver."""
 
     def run(batches):
         from collections import Counter
@@ -201,13 +206,27 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", max
         if held > max_words:
             break
         edge = step["n"]
-    return [] if edge is None else sorted(r["word"] for r in counts.filter(F.col("n") >= edge).select("word").collect())
+    return counts.filter(F.lit(False) if edge is None else F.col("n") >= edge).select("word")
+
+
+def merged_words(words: DataFrame, tokenizer_path: str) -> dict[str, list[int]]:
+    """The ids of words(word), merged in tasks, so that the driver loads no vocabulary."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        merge = Merger(tokenizer_path)
+        for batch in batches:
+            ids = [merge(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    found = map_batches(words, run, "word string, ids array<int>").toArrow()
+    return dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
 
 
 def ship_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", max_words: int = 50_000) -> str:
     """Builds the lexicon of the documents' frequent words and hands it to all executors; returns its name there."""
-    merge = Merger(tokenizer_path)
-    data = build_lexicon({w: merge(w) for w in frequent_words(docs, tokenizer_path, text, max_words)})
+    data = build_lexicon(merged_words(frequent_word_rows(docs, tokenizer_path, text, max_words), tokenizer_path))
     with tempfile.NamedTemporaryFile(prefix="lexicon-", suffix=".bin", delete=False, dir=os.path.realpath(tempfile.gettempdir())) as f:
         f.write(data)
     docs.sparkSession.sparkContext.addFile(f.name)

@@ -16,6 +16,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60, keep=keep) -> D
     """
     edges = keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _digest(edges)
+    if not state[0]:
+        return edges.select(F.col("u").alias("_node"), F.col("v").alias("_component"))
     for _ in range(max_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

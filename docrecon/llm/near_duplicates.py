@@ -267,19 +267,26 @@ class _Links:
     def need(self, ids: DataFrame) -> DataFrame:
         """Full sets that hold those of ids(_id)."""
         wanted = self.keep(ids.distinct() if self.sets is None else ids.distinct().join(self.sets.select("_id"), "_id", "left_anti"), "wanted")
-        new = self.keep(self.make_sets(wanted), "sets")
-        self.sets = new if self.sets is None else self.sets.unionAll(new)
+        if self.sets is None or not wanted.isEmpty():
+            new = self.keep(self.make_sets(wanted), "sets")
+            self.sets = new if self.sets is None else self.sets.unionAll(new)
         return self.sets
 
     def add(self, pairs: DataFrame) -> None:
+        """Confirms pairs(a, b) and joins the parts that they link. Without a pair or a link it ends there, as every
+        further step is jobs of its own, whose plans the driver holds."""
         pairs = self.keep(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
         self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
-        near = self.keep(_estimate(pairs, self.marks, self.how), "near")
-        sets = self.need(near.select(F.col("a").alias("_id")).unionAll(near.select("b")))
-        new = self.keep(_confirm(near, sets, self.how), "confirmed")
+        new = pairs
+        if not pairs.isEmpty():
+            near = self.keep(_estimate(pairs, self.marks, self.how), "near")
+            sets = self.need(near.select(F.col("a").alias("_id")).unionAll(near.select("b")))
+            new = self.keep(_confirm(near, sets, self.how), "confirmed")
         if self.parts is None:
             self.parts = self.keep(connected_components(new, keep=self.keep), "components").withColumnRenamed("_node", "_id")
             return
+        if new.isEmpty():
+            return
         # a part is one node from now on, so later rounds are small
         ends = self.named(self.named(new.select(F.col("a").alias("_id"), "b")).select(F.col("_component").alias("a"), F.col("b").alias("_id"))).select("a", F.col("_component").alias("b"))
         merged = connected_components(ends, keep=self.keep).select(F.col("_node").alias("_component"), F.col("_component").alias("_to"))
@@ -292,6 +299,23 @@ class _Links:
         return rows.join(self.parts, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
 
 
+def _add_large(found: _Links, few: DataFrame, many: DataFrame) -> None:
+    """Links of the groups many(_centre, _id) by their members' differences from the body, and those of the pairs few(a, b)."""
+    how, keep = found.how, found.keep
+    differences = keep(_differences(many, found.need(many.select("_id")), how), "differences")
+    # sets that no shared difference need make similar are all similar to the one of the least excess
+    first = differences.groupBy("_centre").agg(F.min(F.struct("_excess", "_id")).alias("_first"))
+    near_body = differences.join(first, "_centre").filter("_excess + _first._excess <= 0 and _id <> _first._id").select(*_pairs("_id", "_first._id"))
+    prefixes = keep(_prefixes(differences), "prefixes")
+    bound = f"{2 * (100 + how.percent)} * least(l_reach, r_reach) >= l_excess + r_excess"
+    near = keep(_within_reach(found.named(prefixes), how), "reaching")
+    top = near.groupBy("_centre", "_token").agg(F.max(F.struct((2 * (100 + how.percent) * F.col("_reach") - F.col("_excess")).alias("_room"), "_id", "_component", "_reach", "_excess")).alias("_top"))
+    sides = {"l_reach": "_reach", "r_reach": "_top._reach", "l_excess": "_excess", "r_excess": "_top._excess"}
+    met = near.join(top, ["_centre", "_token"]).filter("_component <> _top._component").withColumns({k: F.col(v) for k, v in sides.items()}).filter(bound).select(*_pairs("_id", "_top._id")).distinct()
+    found.add(few.unionAll(near_body).unionAll(met).distinct())
+    found.add(_between(keep(_within_reach(found.named(prefixes), how), "reaching"), ["_centre", "_token"], bound))
+
+
 def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: str, keep) -> DataFrame:
     """Per input row: _id, _size (of its set) and _component, the smallest id that it reaches. keep(df, name) writes a
     table on the way."""
@@ -315,18 +339,10 @@ def similar_components(docs: DataFrame, how: Similarity, id_column: str, text: s
     heaviest = named.groupBy("_component").agg(F.max(F.struct("_weight", "_id")).alias("_h")).select(F.col("_component").alias("_part"), F.col("_h._id").alias("_centre"))
     large = left.filter(F.col("_m") > how.few).select("_id", F.col("_top._component").alias("_part")).distinct()
     many = keep(large.join(heaviest, "_part").select("_centre", "_id"), "many")
-    differences = keep(_differences(many, found.need(many.select("_id")), how), "differences")
-    # sets that no shared difference need make similar are all similar to the one of the least excess
-    first = differences.groupBy("_centre").agg(F.min(F.struct("_excess", "_id")).alias("_first"))
-    near_body = differences.join(first, "_centre").filter("_excess + _first._excess <= 0 and _id <> _first._id").select(*_pairs("_id", "_first._id"))
-    prefixes = keep(_prefixes(differences), "prefixes")
-    bound = f"{2 * (100 + how.percent)} * least(l_reach, r_reach) >= l_excess + r_excess"
-    near = _within_reach(found.named(prefixes), how)
-    top = near.groupBy("_centre", "_token").agg(F.max(F.struct((2 * (100 + how.percent) * F.col("_reach") - F.col("_excess")).alias("_room"), "_id", "_component", "_reach", "_excess")).alias("_top"))
-    sides = {"l_reach": "_reach", "r_reach": "_top._reach", "l_excess": "_excess", "r_excess": "_top._excess"}
-    met = near.join(top, ["_centre", "_token"]).filter("_component <> _top._component").withColumns({k: F.col(v) for k, v in sides.items()}).filter(bound).select(*_pairs("_id", "_top._id")).distinct()
-    found.add(few.unionAll(near_body).unionAll(met).distinct())
-    found.add(_between(_within_reach(found.named(prefixes), how), ["_centre", "_token"], bound))
+    if many.isEmpty():
+        found.add(few)
+    else:
+        _add_large(found, few, many)
     reached = classes.join(found.parts.withColumnRenamed("_id", "_least"), "_least", "left").select("_class", F.coalesce("_component", "_least").alias("_component"))
     return own.join(reached, "_class", "left").select("_id", "_size", F.coalesce("_component", "_id").alias("_component"))
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 from collections import Counter
 from itertools import combinations
 
@@ -132,6 +133,24 @@ def test_hot_group_without_its_base(spark):
     assert met[-1] < 3 * len(rows)
 
 
+def test_few_tables_where_nothing_is_left_to_meet(spark, tmp_path):
+    """Without a large group apart or a further pair, none of their tables is written, so the driver plans no such jobs."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (3, "something else of five words or more"), (4, "ä")]
+    docs, names = spark.createDataFrame(rows, "doc_id long, text string"), []
+
+    def keep(df, name):
+        names.append(name)
+        df.write.parquet(path := f"file://{tmp_path}/{uuid.uuid4().hex}")
+        return spark.read.schema(df.schema).parquet(path)
+
+    for some, parts, tables in ((docs, {1: 1, 2: 1, 3: 3, 4: 4}, 16), (docs.filter("doc_id > 2"), {3: 3, 4: 4}, 10)):
+        names.clear()
+        found = N.similar_components(some, N.Similarity(), "doc_id", "text", keep).collect()
+        assert {r._id: r._component for r in found} == parts
+        assert "differences" not in names and len(names) <= tables, names
+
+
 def test_recall_of_bands(spark):
     """Of the pairs of the given documents that are similar enough, all meet (a recall of 1): ids divisible by 20 against all
     rows of sf0.1, by counting shared shingles."""

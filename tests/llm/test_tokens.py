@@ -50,6 +50,18 @@ def test_frequent_words(spark):
     assert B.frequent_words(df, WORDS, max_words=3, min_places=1) == ["a", "b", "c"] and B.frequent_words(df.limit(0), WORDS) == []
 
 
+def test_driver_loads_no_vocabulary(docs, monkeypatch):
+    """The lexicon's words are merged in tasks."""
+    want = sorted(B.bpe_encode(docs, WORDS, max_words=50).collect())
+
+    monkeypatch.setattr("tokenizers.Tokenizer", None)
+    assert sorted(B.bpe_encode(docs, WORDS, max_words=50).collect()) == want
+    monkeypatch.undo()
+    merged = B.merged_words(docs.sparkSession.createDataFrame([("the",), ("zzqxy",), ("字",)], "word string"), WORDS)
+    library = Tokenizer.from_file(WORDS)
+    assert merged == {w: library.encode(w, add_special_tokens=False).ids for w in ("the", "zzqxy", "字")}
+
+
 def test_lexicon(tmp_path):
     draw = random.Random(4)
     words = {"".join(draw.choice("abcdé") for _ in range(draw.randint(1, 7))): [draw.randint(0, 9) for _ in range(draw.randint(0, 4))] for _ in range(2000)}
