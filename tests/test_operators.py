@@ -151,3 +151,16 @@ def test_rows_of_one_large_key(spark):
     # no number stands after all others, one row each; repeated spans share their row
     odd = spark.createDataFrame([(1, float("nan"), 1), (1, 5.0, 2), (1, 5.0, 2), (1, None, 3), (1, 9.0, 4)], "page long, y double, x long")
     assert rows(layout.group_rows(odd, ["page"], "y", "x"), "x", "row") == [(1, 4), (2, 2), (2, 2), (3, 1), (4, 3)]
+
+
+def test_near_colors_make_no_pairs(spark):
+    """Every colour of a dense cube against a dense base: counts as by all pairs, over slabs and at the cube's sides, and no
+    join makes the pairs."""
+    cube = spark.range(0, 18 * 18).selectExpr("id % 18 * 15 as a", "id div 18 * 15 as b").selectExpr("cast(a * 65536 + b * 256 + (a + b) % 256 as int) as c")
+    some = cube.filter("c % 3 = 0").withColumnRenamed("c", "b").unionAll(spark.createDataFrame([(None,), (0xFFFFFF,), (0xFFFFFF,)], "b int"))
+    for tolerance in (0, 10, 40, 300):
+        pairs = cube.crossJoin(some.filter("b is not null").distinct()).filter(layout.color_distance(F.col("c"), F.col("b")) <= tolerance)
+        found = layout.near_colors(cube.unionAll(spark.createDataFrame([(None,), (0,)], "c int")), some, "c", "b", tolerance)
+        assert "Join" not in found._jdf.queryExecution().toString()
+        assert rows(found, "color", "near") == rows(pairs.groupBy("c").agg(F.count("*").alias("near")), "c", "near")
+    assert layout.near_colors(cube, some, "c", "b", -1).count() == 0
