@@ -164,3 +164,28 @@ def test_near_colors_make_no_pairs(spark):
         assert "Join" not in found._jdf.queryExecution().toString()
         assert rows(found, "color", "near") == rows(pairs.groupBy("c").agg(F.count("*").alias("near")), "c", "near")
     assert layout.near_colors(cube, some, "c", "b", -1).count() == 0
+
+
+def test_points_in_boxes_by_cells_of_both_axes(spark):
+    """Pairs as by all pairs; points of cells without a box, and boxes of other heights, reach no candidate."""
+    points = spark.range(4000).selectExpr("id as p", "id % 3 as page", "cast(id * 37 % 101 as double) - 50 as x", "cast(id * 53 % 97 as double) / 3 - 4 as y", "id % 2 as kind").unionAll(spark.createDataFrame([(-1, 0, None, 1.0, 0), (-2, 0, 1.0, float("nan"), 0)], "p long, page long, x double, y double, kind long"))
+    boxes = spark.range(60).selectExpr("id as box", "id % 3 as page", "cast(id as double) - 30 as x0", "cast(id as double) - 22.5 as x1", "cast(id % 9 as double) as y0", "cast(id % 9 as double) + 4 as y1", "id % 2 as kind").unionAll(spark.createDataFrame([(99, 1, -1000.0, 1000.0, 7.0, 9.0, 1)], "box long, page long, x0 double, x1 double, y0 double, y1 double, kind long"))
+    inside = "x between x0 - 1.5 and x1 + 1.5 and y between y0 - 1.5 and y1 + 1.5"
+    want = points.drop("kind").join(boxes, "page").filter(inside)
+    met = layout.points_in_boxes(points.drop("kind"), boxes, "page", "x", "y", 8.0, 1.5, cell_y=4.0)
+    assert rows(met, "p", "box") == rows(want, "p", "box") == rows(layout.points_in_boxes(points.drop("kind"), boxes, "page", "x", "y", 8.0, 1.5), "p", "box")
+    assert rows(layout.points_in_boxes(points, boxes, "page", "x", "y", 8.0, 1.5, 4.0, ("kind",)), "p", "box") == rows(points.join(boxes, ["page", "kind"]).filter(inside), "p", "box")
+    near = layout.points_near_boxes(points, boxes.filter("box < 60"), "page", "x", "y", 8.0, 1.5, 4.0)
+    assert 0 < near.count() < points.count() // 2 and near.filter("p >= 0").agg(F.max("y")).head()[0] < 16
+    assert layout.points_near_boxes(points, boxes, "page", "x", "y", 8.0, 1.5, 4.0, max_broadcast_cells=3).count() == points.count()
+
+
+def test_code_words_meet_by_equality(spark):
+    """What code_starts offers equals a code's bare form exactly where is_code_word holds."""
+    from docrecon.operators import learn
+
+    words = spark.createDataFrame([(w,) for w in ("D1.0", "(D1.0)", "“D1.0.Merak", "D1.0,", "D1.00", "D1.0.1", "[\"D1.0x", "D1", "'D1.", "D10", "", "D1.0_", "xD1", None)], "word string")
+    codes = spark.createDataFrame([(c,) for c in ("D1.0.", "D1;", " D1.0.1 ", "", None)], "code string")
+    want = words.crossJoin(codes).filter(learn.is_code_word(F.col("word"), F.col("code")))
+    found = learn.code_starts(words, codes, "word", "code").join(codes, F.col("start") == learn.bare_code(F.col("code")))
+    assert rows(found, "word", "code") == rows(want, "word", "code") and found.count() == 8
