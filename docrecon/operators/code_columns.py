@@ -47,16 +47,21 @@ def code_categories(used: DataFrame, declared: DataFrame, scope: list[str]) -> D
     counts, and its text is the entry), cover (the first declared code that the used one is part of), prefix (the first of
     the same prefix) or null.
 
-    Each leading part of a used code is one row, so all three are equality joins; declarations are brought down to one row
-    a code, and to one a prefix, before them.
+    Codes and declarations are dealt out once, by scope and prefix, and meet in one join. What a scope declares of a prefix is one
+    row there: a map by first segment of maps by code, in which a used code looks up its leading parts.
     """
-    keys, code = [*scope, "prefix"], F.array_join("segments", ".")
-    rows = used.distinct().withColumn("_row", F.struct(*used.columns))
-    parts = rows.select("_row", *keys, F.explode(F.expr("transform(sequence(1, greatest(size(segments), 1)), n -> struct(array_join(slice(segments, 1, n), '.') as part, n >= size(segments) as whole))")).alias("_p")).select("_row", *keys, "_p.part", "_p.whole")
-    own = declared.withColumn("part", code).groupBy(*keys, "part").agg(F.min(F.struct("place", "category")).alias("_first"), F.max(F.struct("place", "category", "entry")).alias("_last"))
-    met = parts.join(own, [*keys, "part"]).groupBy("_row").agg(F.max(F.when(F.col("whole"), F.col("_last"))).alias("_exact"), F.min("_first").alias("_cover"))
-    some = declared.groupBy(*keys).agg(F.min(F.struct("place", "category")).alias("_some"))
-    found = rows.join(met, "_row", "left").join(some, keys, "left")
+    keys, code = [*scope, "prefix"], lambda c: F.concat(F.size(c), F.lit(":"), F.array_join(c, "\x1f", "\x00"))
+    one = F.coalesce(F.get("segments", F.lit(0)), F.lit(""))
+    known = declared.filter(code(F.col("segments")).isNotNull()).dropna(subset=keys).select(*keys, one.alias("_one"), code(F.col("segments")).alias("_code"), "place", "category", "entry").repartition(*keys)
+    told = known.groupBy(*keys, "_one", "_code").agg(F.min(F.struct("place", "category")).alias("first"), F.max(F.struct("place", "category", "entry")).alias("last"))
+    parts = told.groupBy(*keys, "_one").agg(F.map_from_entries(F.collect_list(F.struct("_code", F.struct("first", "last")))).alias("_codes"), F.min("first").alias("_some"))
+    own = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_one", "_codes"))).alias("_known"), F.min("_some").alias("_some"))
+    found = used.repartition(*keys).distinct().join(own.hint("shuffle_hash"), keys, "left")
+    # first the maps of a code's first segment and of none, so that no row carries all that its scope declares
+    found = found.select(*used.columns, "_some", F.try_element_at("_known", one).alias("_here"), F.try_element_at(F.try_element_at("_known", F.lit("")), code(F.array().cast("array<string>")))["first"].alias("_every"))
+    exact = F.try_element_at("_here", code(F.col("segments")))["last"]
+    covers = F.transform(F.sequence(F.lit(1), F.greatest(F.size("segments"), F.lit(1))), lambda n: F.try_element_at("_here", code(F.slice("segments", F.lit(1), n)))["first"])
+    found = found.withColumns({"_exact": exact, "_cover": F.least(F.array_min(covers), "_every")})
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_cover").isNotNull(), "cover").when(F.col("_some").isNotNull(), "prefix")
     return found.select(*used.columns, F.coalesce("_exact.category", "_cover.category", "_some.category").alias("category"), F.col("_exact.entry").alias("entry"), how.alias("how"))
 
@@ -64,9 +69,10 @@ def code_categories(used: DataFrame, declared: DataFrame, scope: list[str]) -> D
 def column_codes(categories: DataFrame, columns: dict[str, tuple[str, ...]] = CODE_COLUMNS) -> DataFrame:
     """code_categories with the columns (header) that a code falls into: those of which a word is in its category's name. A code
     without a column is left out."""
-    name = folded_name(last_part(F.col("category")))
-    headers = F.array_compact(F.array(*(F.when(F.exists(F.lit(list(words)), lambda w: F.contains(name, w)), header) for header, words in columns.items())))
-    return categories.filter("category is not null").withColumn("header", F.explode(headers))
+    # the name once a row; no filter on the category, which would be worked out a second time for it
+    named = categories.withColumn("_name", folded_name(last_part(F.col("category"))))
+    headers = F.array_compact(F.array(*(F.when(F.exists(F.lit(list(words)), lambda w: F.contains("_name", w)), header) for header, words in columns.items())))
+    return named.withColumn("header", F.explode(headers)).drop("_name")
 
 
 def declared_entries_of(used: DataFrame, declared: DataFrame, scope: list[str]) -> DataFrame:

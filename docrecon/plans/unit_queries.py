@@ -189,7 +189,7 @@ def q_adaptive_labels(spark, sf):
 def coded(spark, sf):
     """(used, declared) codes: a supplier is a unit, its parts' brands and sizes the codes."""
     parts = S.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper(F.substring("p_type", 1, 1)).alias("prefix"), F.regexp_extract("p_brand", "[0-9]+", 0).alias("b"), F.col("p_size").cast("string").alias("s"), "p_name")
-    rows = S.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("unit"), "l_partkey").distinct().join(parts, "l_partkey")
+    rows = S.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("unit"), "l_partkey").repartition("l_partkey").distinct().join(parts, "l_partkey")
     used = rows.select("unit", (F.col("l_partkey") % 4).alias("lo"), "prefix", F.array("b", "s").alias("segments"))
     key = F.col("l_partkey") + F.col("unit")
     category = F.element_at(F.array(*(F.lit(c) for c in CATEGORIES)), (F.col("l_partkey") % 6 + 1).cast("int"))

@@ -30,6 +30,26 @@ def test_code_categories(spark):
     assert [(r.segments, r.category) for r in K.placed_undeclared(lost.filter("prefix = 'D'"), split, ["unit"]).orderBy("segments").collect()] == [(["14"], "KAVRAMSAL"), (["3", "9"], "A > DEĞERLER")]
 
 
+def test_code_categories_are_dealt_out_once(spark):
+    """Codes of any depth, copies, nulls and empty codes against a loop; either side is dealt out once, for one join."""
+    rng = random.Random(5)
+    code = lambda: [rng.choice("12") for _ in range(rng.randrange(5))]
+    used = [(rng.choice([1, 2, None]), rng.randrange(2), rng.choice("DE"), code()) for _ in range(300)] + [(1, 0, "D", None), (1, 0, None, ["1"]), (1, 0, "D", ["1", "2", "1", "1", "2", "2", "1"])]
+    declared = [(rng.choice([1, 2, None]), place, f"c{place % 7}", rng.choice("DEF"), code(), f"e{place}") for place in range(25)] + [(1, 99, "none", None, ["1"], "x"), (1, 98, "none", "D", None, "x")]
+    kinds = "unit int, lo int, prefix string, segments array<string>", "unit int, place int, category string, prefix string, segments array<string>, entry string"
+    want = {}
+    for unit, lo, prefix, segments in used:
+        known = [d for d in declared if unit is not None and (d[0], d[3]) == (unit, prefix) and prefix and d[4] is not None]
+        exact, cover = [d for d in known if d[4] == segments], [d for d in known if segments is not None and segments[: len(d[4])] == d[4]]
+        best = (max(exact), "exact") if exact else (min(cover), "cover") if cover else (min(known), "prefix") if known else ((0, 0, None), None)
+        want[unit, lo, prefix, None if segments is None else tuple(segments)] = best[0][2], best[0][5] if exact else None, best[1]
+    found = K.code_categories(spark.createDataFrame(used, kinds[0]), spark.createDataFrame(declared, kinds[1]), ["unit"])
+    rows = found.collect()
+    assert {(r.unit, r.lo, r.prefix, r.segments if r.segments is None else tuple(r.segments)): (r.category, r.entry, r.how) for r in rows} == want and len(rows) == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("HashJoin") == 1 and "SortMergeJoin" not in plan
+
+
 def test_header_sections(spark):
     sections = spark.createDataFrame(
         [(1, 1, "öğrenmeçiktilari", "other"), (1, 2, "öğrenmeçiktilarivesüreç", "other"), (1, 3, "kisa", "other"), (1, 4, "öğrenmeçiktilari", "other"), (1, 5, "gruplamalar", "group"), (1, 6, None, "applications"), (2, 1, None, "applications"), (2, 2, "öğrenmeöğretmeuygulamalari", "other")],
