@@ -5,29 +5,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# White space as regular expressions of one byte a character have it.
+SPACE = " \t\n\x0b\f\r"
+
+
 def span_offsets(spans: DataFrame) -> DataFrame:
     """Per span: field, row, id, page, start and end in the field's text (from 0, end excluded), and piece, what the span
     adds to its row. A gap wider than 0.15 of the span's size is one space unless a side has one; rows lose the white
-    space at their ends and are joined by newlines. Empty spans are left out."""
-    in_row = Window.partitionBy("field", "row").orderBy("x0", "id")
+    space at their ends and are joined by newlines. Empty spans are left out.
+
+    Spans are dealt out by field and sorted once, and all windows go by that order; the page stands in it, so that every use of
+    the offsets reads the same exchange."""
+    bare = lambda cut: F.char_length("text") - F.char_length(cut("text", F.lit(SPACE)))
+    in_row = Window.partitionBy("field", "row").orderBy("x0", "id", "page")
     so_far = in_row.rowsBetween(Window.unboundedPreceding, 0)
-    rows = spans.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumns({"_x": F.lag("x1").over(in_row), "_before": F.lag("text").over(in_row)})
+    whole = in_row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = spans.filter(F.trim("text", F.lit(SPACE)) != "").dropna(subset=["field", "row"]).repartition("field").sortWithinPartitions("field", "row", "x0", "id", "page")
+    rows = dealt.withColumns({"_x": F.lag("x1").over(in_row), "_before": F.lag("text").over(in_row), "_k": F.row_number().over(in_row), "_lead": F.first(bare(F.ltrim)).over(whole), "_trail": F.last(bare(F.rtrim)).over(whole)})
     gap = (F.col("x0") - F.col("_x") > 0.15 * F.col("size")) & ~F.col("_before").rlike(r"[ \t]$") & ~F.col("text").rlike(r"^[ \t]")
-    rows = rows.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "text")).withColumn("_to", F.sum(F.char_length("piece")).over(so_far)).withColumn("_from", F.col("_to") - F.char_length("text"))
-    whole = rows.groupBy("field", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "id", "piece"))), lambda x: x["piece"]), "").alias("_line"))
-    whole = whole.withColumns({"_lead": F.char_length("_line") - F.char_length(F.regexp_replace("_line", r"^\s+", "")), "_size": F.char_length(F.regexp_replace("_line", r"^\s+|\s+$", ""))})
-    before = Window.partitionBy("field").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("_at", F.coalesce(F.sum(F.col("_size") + 1).over(before), F.lit(0)))
+    rows = rows.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "text"))
+    rows = rows.withColumns({"_to": F.sum(F.char_length("piece")).over(so_far), "_size": F.sum(F.char_length("piece")).over(whole) - F.col("_lead") - F.col("_trail")}).withColumn("_from", F.col("_to") - F.char_length("text"))
+    up_to = Window.partitionBy("field").orderBy("row", "x0", "id", "page").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_at", F.sum(F.when(F.col("_k") == 1, F.col("_size") + 1).otherwise(0)).over(up_to) - F.col("_size") - 1)
     inside = lambda c: F.least(F.greatest(F.col(c) - F.col("_lead"), F.lit(0)), F.col("_size")) + F.col("_at")
-    return rows.join(whole.drop("_line"), ["field", "row"]).select("field", "row", "id", "page", "x0", "piece", inside("_from").cast("int").alias("start"), inside("_to").cast("int").alias("end"))
+    return rows.select("field", "row", "id", "page", "x0", "piece", inside("_from").cast("int").alias("start"), inside("_to").cast("int").alias("end"))
 
 
 def field_texts(offsets: DataFrame) -> DataFrame:
     """Of span_offsets: field, text, pages and ids in reading order."""
-    lines = offsets.groupBy("field", "row").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "id", "piece"))), lambda x: x["piece"]), ""), r"^\s+|\s+$", "").alias("_line"))
-    texts = lines.groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "_line"))), lambda x: x["_line"]), "\n").alias("text"))
-    ids = offsets.groupBy("field").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.transform(F.array_sort(F.collect_list(F.struct("row", "x0", "id"))), lambda x: x["id"]).alias("ids"))
-    return texts.join(ids, "field")
+    words = F.array_sort(F.collect_list(F.struct("x0", "id", "piece")))
+    lines = offsets.groupBy("field", "row").agg(F.regexp_replace(F.array_join(F.transform(words, lambda x: x["piece"]), ""), r"^\s+|\s+$", "").alias("_line"), F.transform(F.array_sort(F.collect_list(F.struct("x0", "id"))), lambda x: x["id"]).alias("_ids"), F.collect_set("page").alias("_pages"))
+    of_rows = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("row", c))), lambda x: x[c])
+    return lines.groupBy("field").agg(F.array_join(of_rows("_line"), "\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_pages")))).alias("pages"), F.flatten(of_rows("_ids")).alias("ids"))
 
 
 def sub_fields(texts: DataFrame, offsets: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -45,7 +54,8 @@ def text_places(offsets: DataFrame, texts: DataFrame, wanted: DataFrame) -> Data
     """wanted(field, needle) -> the spans in which the first place of the needle in the field's text lies: field, needle,
     id, page."""
     found = wanted.join(texts.select("field", "text"), "field").withColumn("_a", F.instr("text", F.col("needle")) - 1).filter("_a >= 0")
-    ranges = found.select(F.col("needle").alias("part"), "field", F.col("_a").alias("start"), (F.col("_a") + F.char_length("needle")).alias("end"))
-    parts = sub_fields(texts, offsets, ranges)
-    spread = parts.select("field", F.col("part").alias("needle"), F.explode("ids").alias("id"))
-    return spread.join(offsets.select("field", "id", "page"), ["field", "id"]).select("field", "needle", "id", "page")
+    inner = F.regexp_replace("needle", r"^\s+|\s+$", "")
+    start = F.col("_a") + F.char_length("needle") - F.char_length(F.regexp_replace("needle", r"^\s+", ""))
+    ranges = found.filter(inner != "").select("field", "needle", start.alias("_from"), (start + F.char_length(inner)).alias("_to"))
+    met = ranges.join(offsets.select("field", "id", "page", "start", "end"), "field").filter((F.col("start") < F.col("_to")) & (F.col("end") > F.col("_from")))
+    return met.select("field", "needle", "id", "page")

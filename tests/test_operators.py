@@ -189,3 +189,50 @@ def test_code_words_meet_by_equality(spark):
     want = words.crossJoin(codes).filter(learn.is_code_word(F.col("word"), F.col("code")))
     found = learn.code_starts(words, codes, "word", "code").join(codes, F.col("start") == learn.bare_code(F.col("code")))
     assert rows(found, "word", "code") == rows(want, "word", "code") and found.count() == 8
+
+
+def test_fields_are_dealt_out_once(spark):
+    """Offsets, texts and places of needles by a loop over spans with white space at their ends, gaps and blanks; all of them
+    read one exchange of the spans."""
+    import random
+
+    from docrecon.operators import fields
+
+    rng = random.Random(3)
+    spans = []
+    for i in range(600):
+        text = rng.choice(["", " ", "\t"]) + rng.choice(["a", "bb", "c d", "", "ab"]) + rng.choice(["", " ", "\n", " \n"])
+        x0 = float(rng.randrange(60))
+        spans.append((rng.choice([1, 2, 3, None]), rng.randrange(12), x0, x0 + rng.randrange(5), 10.0, i, rng.randrange(3), text))
+    df = spark.createDataFrame(spans, "field long, row int, x0 double, x1 double, size double, id long, page int, text string")
+    offsets, want, texts = fields.span_offsets(df), [], {}
+    white = " \t\n\x0b\f\r"
+    for field in (1, 2, 3):
+        at, lines = 0, []
+        for row in range(12):
+            held, line, places = sorted((s for s in spans if s[:2] == (field, row) and s[7].strip(white)), key=lambda s: (s[2], s[5])), "", []
+            for before, s in zip([None, *held], held):
+                gap = before is not None and s[2] - before[3] > 0.15 * s[4] and not before[7].removesuffix("\n").endswith((" ", "\t")) and not s[7].startswith((" ", "\t"))
+                line += " " * gap + s[7]
+                places.append((s[5], len(line) - len(s[7]), len(line)))
+            lead, size = len(line) - len(line.lstrip(white)), len(line.strip(white))
+            want += [(field, k, min(max(a - lead, 0), size) + at, min(max(b - lead, 0), size) + at) for k, a, b in places]
+            if held:
+                at += size + 1
+                lines.append(line.strip(white))
+        texts[field] = "\n".join(lines)
+    assert rows(offsets, "field", "id", "start", "end") == sorted(want)
+    found = fields.field_texts(offsets)
+    assert {r.field: r.text for r in found.collect()} == texts
+    assert all(set(r.ids) == {k for f, k, _, _ in want if f == r.field} and r.pages == sorted(set(r.pages)) for r in found.collect())
+    needles = [(f, n) for f, t in texts.items() for n in (t[5:11], t[20:24], t[:3], "zz")]
+    met = fields.text_places(offsets, found, spark.createDataFrame(needles, "field long, needle string"))
+    hits = []
+    for f, n in needles:
+        a = texts[f].find(n)
+        a, b = a + len(n) - len(n.lstrip(white)), a + len(n.rstrip(white))
+        hits += [(f, n, k) for g, k, s, e in want if g == f and texts[f].find(n) >= 0 and a < b and s < b and e > a]
+    assert rows(met, "field", "needle", "id") == sorted(hits) and hits
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    dealt = [line for line in plan if "REPARTITION_BY_COL" in line]
+    assert len(dealt) > 1 and sum("ReusedExchange" not in line for line in dealt) == 1
