@@ -48,18 +48,21 @@ def code_categories(used: DataFrame, declared: DataFrame, scope: list[str]) -> D
     the same prefix) or null.
 
     Codes and declarations are dealt out once, by scope and prefix, and meet in one join. What a scope declares of a prefix is one
-    row there: a map by first segment of maps by code, in which a used code looks up its leading parts.
+    row there: a map by first segment of maps by code, in which a used code looks up its leading parts. Codes go there as texts; only
+    segments that their text does not give back go beside it.
     """
-    keys, code = [*scope, "prefix"], lambda c: F.concat(F.size(c), F.lit(":"), F.array_join(c, "\x1f", "\x00"))
-    one = F.coalesce(F.get("segments", F.lit(0)), F.lit(""))
-    known = declared.filter(code(F.col("segments")).isNotNull()).dropna(subset=keys).select(*keys, one.alias("_one"), code(F.col("segments")).alias("_code"), "place", "category", "entry").repartition(*keys)
-    told = known.groupBy(*keys, "_one", "_code").agg(F.min(F.struct("place", "category")).alias("first"), F.max(F.struct("place", "category", "entry")).alias("last"))
+    keys, code = [*scope, "prefix"], lambda c: F.concat(F.array_join(c, "\x1f", "\x00"), F.lit("\x1e"), F.size(c))
+    one = F.substring_index(F.substring_index("_code", "\x1f", 1), "\x1e", 1)
+    told_by = F.split(F.substring_index("_code", "\x1e", 1), "\x1f")
+    known = declared.filter(code(F.col("segments")).isNotNull()).dropna(subset=keys).select(*keys, code(F.col("segments")).alias("_code"), "place", "category", "entry").repartition(*keys)
+    told = known.withColumn("_one", one).groupBy(*keys, "_one", "_code").agg(F.min(F.struct("place", "category")).alias("first"), F.max(F.struct("place", "category", "entry")).alias("last"))
     parts = told.groupBy(*keys, "_one").agg(F.map_from_entries(F.collect_list(F.struct("_code", F.struct("first", "last")))).alias("_codes"), F.min("first").alias("_some"))
     own = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_one", "_codes"))).alias("_known"), F.min("_some").alias("_some"))
-    found = used.repartition(*keys).distinct().join(own.hint("shuffle_hash"), keys, "left")
+    rows = used.withColumn("_code", code(F.col("segments"))).withColumn("_odd", F.when(~told_by.eqNullSafe(F.col("segments")), F.col("segments"))).drop("segments")
+    found = rows.repartition(*keys).distinct().join(own.hint("shuffle_hash"), keys, "left").withColumn("segments", F.coalesce("_odd", told_by))
     # first the maps of a code's first segment and of none, so that no row carries all that its scope declares
-    found = found.select(*used.columns, "_some", F.try_element_at("_known", one).alias("_here"), F.try_element_at(F.try_element_at("_known", F.lit("")), code(F.array().cast("array<string>")))["first"].alias("_every"))
-    exact = F.try_element_at("_here", code(F.col("segments")))["last"]
+    found = found.select(*used.columns, "_some", "_code", F.try_element_at("_known", F.coalesce(one, F.lit(""))).alias("_here"), F.try_element_at(F.try_element_at("_known", F.lit("")), code(F.array().cast("array<string>")))["first"].alias("_every"))
+    exact = F.try_element_at("_here", F.col("_code"))["last"]
     covers = F.transform(F.sequence(F.lit(1), F.greatest(F.size("segments"), F.lit(1))), lambda n: F.try_element_at("_here", code(F.slice("segments", F.lit(1), n)))["first"])
     found = found.withColumns({"_exact": exact, "_cover": F.least(F.array_min(covers), "_every")})
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_cover").isNotNull(), "cover").when(F.col("_some").isNotNull(), "prefix")
